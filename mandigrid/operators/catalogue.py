@@ -70,32 +70,40 @@ def catalogue(level, market_rows: DataFrame, rollup_rows: DataFrame = None) -> D
         F.sort_array(F.collect_list(F.struct(*fields))).alias("commodities"))
 
 
-def nested_catalogue(market_catalogue: DataFrame) -> DataFrame:
-    """state -> districts[] -> markets[] with their catalogues."""
-    districts = market_catalogue.groupBy("state", "district").agg(
-        F.sort_array(F.collect_list(F.struct("market", "commodities"))).alias("markets"))
-    return districts.groupBy("state").agg(
-        F.sort_array(F.collect_list(F.struct("district", "markets"))).alias("districts"))
+_FIELDS = ["grade", "variety", "state", "market", "category"]
 
 
-_DICTIONARY = ["grade", "variety", "state", "market", "category"]
+def dictionary_entries(obs: DataFrame) -> DataFrame:
+    """Every spelling that occurs with a commodity: (commodity, field, value) rows."""
+    fields = [c for c in _FIELDS if c in obs.columns]
+    seen = obs.select(strip("commodity").alias("commodity"),
+                      *[F.nullif(strip(c), F.lit("")).alias(c) for c in fields]).distinct()
+    return seen.unpivot(["commodity"], fields, "field", "value").filter(
+        F.col("value").isNotNull()).distinct()
 
 
-def _names(c):
-    return F.sort_array(F.collect_set(F.nullif(strip(c), F.lit(""))))
+_PLURAL = {"category": "categories", "variety": "varieties"}
 
 
-def commodity_dictionary(obs: DataFrame) -> DataFrame:
-    """All spellings that occur with a commodity, one array per column."""
-    columns = [c for c in _DICTIONARY if c in obs.columns]
-    plural = {"category": "categories", "variety": "varieties"}
-    return obs.groupBy(strip("commodity").alias("commodity")).agg(
-        *[_names(c).alias(plural.get(c, c + "s")) for c in columns])
+def commodity_dictionary(obs: DataFrame, fields=("grade", "variety", "state", "category")
+                         ) -> DataFrame:
+    """One row per commodity with a sorted array per field.
+
+    Markets are not among the default fields: there can be very many of them, and
+    ``dictionary_entries`` lists them as rows.
+    """
+    entries = dictionary_entries(obs)
+    fields = [f for f in fields if f in obs.columns]
+    return entries.filter(F.col("field").isin(*fields)).groupBy("commodity").agg(*[
+        F.sort_array(F.collect_list(F.when(F.col("field") == f, F.col("value"))))
+        .alias(_PLURAL.get(f, f + "s")) for f in fields])
 
 
 def commodities_by(obs: DataFrame, key) -> DataFrame:
     """key (category or market) -> its commodities, sorted."""
-    return obs.groupBy(key).agg(_names("commodity").alias("commodities"))
+    pairs = obs.select(key, F.nullif(strip("commodity"), F.lit("")).alias("commodity")).distinct()
+    return pairs.groupBy(key).agg(
+        F.sort_array(F.collect_list("commodity")).alias("commodities"))
 
 
 def without_other(dictionary: DataFrame, word="Other") -> DataFrame:

@@ -1,10 +1,15 @@
 """Fuzzy matching of names.
 
-Candidates come from equality joins only. Two names within k edits share a
-segment: the shorter description (a name cut into k + 1 segments) must occur in
-the other name at a place the edits can have moved it to. Pairs that share one
-are then checked exactly, so the result is that of comparing all pairs while
-the work follows the number of near matches.
+Candidates come from equality joins only and are then checked exactly, so the
+result is that of comparing all pairs while the work follows the number of near
+matches.
+
+Up to three edits: names within k edits have a common remainder after at most k
+letters are struck from each. Names that share one are at most 2k edits apart, so
+even among names that are mostly alike few wrong candidates arise.
+
+More edits would leave too many remainders. There a name is cut into k + 1
+segments, one of which must occur in the other name near its place.
 """
 
 from pyspark.sql import DataFrame, functions as F
@@ -14,6 +19,25 @@ from mandigrid.functions.similarity import ngram_similarity
 from mandigrid.session import shared_dir
 
 
+_MAX_STRUCK = 3
+
+
+def remainders(name, k: int):
+    """Everything that is left of a name after at most k letters are struck."""
+    def without_one(x):
+        return F.when(F.length(x) > 0, F.transform(
+            F.sequence(F.lit(1), F.length(x)),
+            lambda p: F.concat(F.substring(x, F.lit(1), p - 1),
+                               F.substring(x, p + 1, F.length(x))),
+        )).otherwise(F.array().cast("array<string>"))
+
+    out = F.array(col(name))
+    for _ in range(k):
+        out = F.array_distinct(F.flatten(F.transform(
+            out, lambda x: F.concat(F.array(x), without_one(x)))))
+    return out
+
+
 def _segment_start(length, i, k):
     """Segments are as even as possible, the longer ones at the end."""
     short = F.floor(length / (k + 1))
@@ -74,8 +98,14 @@ def near_pairs(left: DataFrame, right: DataFrame, on_left, on_right, k, block=()
     x, y = F.col("left_name"), F.col("right_name")
     if fold:
         x, y = F.lower(x), F.lower(y)
-    a = a.select(*block, "left_name", F.explode(probes(x, k)).alias("p"))
-    b = b.select(*block, "right_name", F.explode(segments(y, k)).alias("p"))
+    if k <= _MAX_STRUCK:
+        left_keys, right_keys = remainders(x, k), remainders(y, k)
+    else:
+        left_keys, right_keys = probes(x, k), segments(y, k)
+    # hashed keys keep the shuffle narrow; a collision is one more pair to check
+    a = a.select(*block, "left_name", F.explode(left_keys).alias("p"))
+    b = b.select(*block, "right_name", F.explode(right_keys).alias("p"))
+    a, b = (side.withColumn("p", F.xxhash64("p")) for side in (a, b))
     distance = F.levenshtein(x, y, k)
     return (a.join(b, [*block, "p"]).withColumn("distance", distance)
             .filter("distance >= 0").drop("p").distinct())

@@ -51,17 +51,19 @@ def _with(df, **defaults):
 
 
 def district_partials(market_rows: DataFrame) -> DataFrame:
-    """Sums that every higher level can be built from, at district grain."""
+    """Sums that every higher level can be built from, at district grain.
+
+    All buffers are numbers (the category is a key here), so this step, which sees
+    every market row, runs as a hash aggregate.
+    """
     priced = F.col("price").isNotNull()
     return market_rows.filter(has_tonnage("tonnage")).groupBy(
-        "date", "state", "district", "commodity"
+        "date", "state", "district", "commodity", "category"
     ).agg(
-        F.min("category").alias("category"),
         F.sum(F.col("price") * F.col("tonnage")).alias("value"),
         F.sum(F.when(priced, F.col("tonnage"))).alias("priced_tonnage"),
         F.sum("tonnage").alias("tonnage"),
         F.count(F.lit(1)).alias("contrib"),
-        F.collect_set("market").alias("markets"),
     )
 
 
@@ -82,25 +84,21 @@ def _measures(missing_price):
     ]
 
 
-def _union_of(arrays):
-    """Distinct elements of all the arrays; each array is a set of few names."""
-    return F.sort_array(F.array_distinct(F.flatten(F.collect_set(arrays))))
-
-
 def rollup_level(market_rows: DataFrame, level, missing_price="exclude") -> DataFrame:
     """Tonnage-weighted roll-up of market rows to one level.
 
     Rows without tonnage do not count. With ``exclude`` a row without a price
-    counts for tonnage only; with ``dilute`` its tonnage lowers the price.
+    counts for tonnage only; with ``dilute`` its tonnage lowers the price. The
+    states and districts behind a row come as arrays (there are a few hundred of
+    them); the markets behind it come from ``contributors``, one row each.
     """
-    keys = LEVEL_KEYS[level]
-    sets = [_union_of("markets").alias("markets")]
+    names = []
     if level in ("state", "india"):
-        sets.append(F.sort_array(F.collect_set("district")).alias("districts"))
+        names.append(F.sort_array(F.collect_set("district")).alias("districts"))
     if level == "india":
-        sets.append(F.sort_array(F.collect_set("state")).alias("states"))
-    return district_partials(market_rows).groupBy("date", *keys, "commodity").agg(
-        *_measures(missing_price), *sets)
+        names.append(F.sort_array(F.collect_set("state")).alias("states"))
+    return district_partials(market_rows).groupBy("date", *LEVEL_KEYS[level], "commodity").agg(
+        *_measures(missing_price), *names)
 
 
 def rollup_all_levels(market_rows: DataFrame, missing_price="exclude") -> DataFrame:
@@ -108,18 +106,31 @@ def rollup_all_levels(market_rows: DataFrame, missing_price="exclude") -> DataFr
 
     Grouping sets are expanded over district rows, not over market rows.
     """
-    partials = district_partials(market_rows)
-    grouped = partials.groupingSets(
+    grouped = district_partials(market_rows).groupingSets(
         [["date", "commodity", "state", "district"], ["date", "commodity", "state"],
          ["date", "commodity"]],
         "date", "commodity", "state", "district",
-    ).agg(F.grouping_id().alias("_level"), *_measures(missing_price),
-          _union_of("markets").alias("markets"))
+    ).agg(F.grouping_id().alias("_level"), *_measures(missing_price))
     level = (F.when(F.col("_level") == 0, "district")
              .when(F.col("_level") == 1, "state").otherwise("india"))
     return grouped.select(level.alias("level"), *[c for c in grouped.columns if c != "_level"])
 
 
+def contributors(market_rows: DataFrame, level) -> DataFrame:
+    """The markets behind each roll-up row, one row each."""
+    return market_rows.filter(has_tonnage("tonnage")).select(
+        "date", *LEVEL_KEYS[level], "commodity", *(["market"] if level != "market" else [])
+    ).distinct()
+
+
+def with_market_names(rollup_rows: DataFrame, market_rows: DataFrame, level) -> DataFrame:
+    """Roll-up rows with the array ``markets``, for units of moderately many markets."""
+    keys = ["date", *LEVEL_KEYS[level], "commodity"]
+    names = contributors(market_rows, level).groupBy(*keys).agg(
+        F.sort_array(F.collect_list("market")).alias("markets"))
+    return rollup_rows.join(names, keys, "left")
+
+
 def rollup_variety_level(obs: DataFrame, level) -> DataFrame:
     """Mean price and row count per date, unit, commodity and variety."""
     return obs.groupBy("date", *LEVEL_KEYS[level], "category", "commodity", "variety").agg(
