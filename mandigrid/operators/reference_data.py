@@ -127,8 +127,15 @@ def city_prices(wide: DataFrame, products, ids=("date", "zone", "city")) -> Data
 
 # --- boundaries ------------------------------------------------------------
 
-def bounding_centres(boundaries: DataFrame, unit="name", points="points") -> DataFrame:
-    """Centre of the bounding box of each unit's boundary points (lng, lat)."""
-    p = boundaries.select(unit, F.explode(points).alias("p"))
-    return p.groupBy(unit).agg(*[
-        ((F.min(f"p.{axis}") + F.max(f"p.{axis}")) / 2).alias(axis) for axis in ("lat", "lng")])
+def bounding_centres(points: DataFrame, unit="name", point="p") -> DataFrame:
+    """Centre of the bounding box of each unit's boundary points (lat, lng).
+
+    Takes one row per point; ``boundary_points`` makes them from arrays.
+    """
+    return points.groupBy(unit).agg(*[
+        ((F.min(f"{point}.{axis}") + F.max(f"{point}.{axis}")) / 2).alias(axis)
+        for axis in ("lat", "lng")])
+
+
+def boundary_points(boundaries: DataFrame, unit="name", points="points") -> DataFrame:
+    return boundaries.select(unit, F.explode(points).alias("p"))

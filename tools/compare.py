@@ -1,6 +1,6 @@
 """Run registered queries on Spark and their SQL twins on DuckDB, and compare.
 
-    python tools/compare.py /root/testdata/sf0.01 [name ...]
+    python tools/compare.py /root/testdata/sf0.01 [query or module name ...]
 """
 
 import sys
@@ -54,7 +54,10 @@ def compare(spark, con, sf_dir, query, sql):
 
 
 def main(sf_dir, *wanted):
-    from mandigrid.queries import all_queries, all_sql
+    from mandigrid.queries import MODULES, all_queries, all_sql
+    for module in MODULES:
+        if module.__name__.split(".")[-1] in wanted:
+            wanted = (*wanted, *module.QUERIES)
     spark = build_session(master="local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
         "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
