@@ -21,10 +21,7 @@ def add_location(obs: DataFrame, locations: DataFrame) -> DataFrame:
     """
     known = locations.select(F.col("location_key").alias("_k"), F.col("district").alias("_d"),
                              F.col("taluk").alias("_t"))
-    key = location_key("state", "market")
-    bare = F.regexp_replace(key, r"(\(.*\))", "")
-    for part, alias in MARKET_KEY_ALIASES.items():
-        bare = F.when(F.contains(key, F.lit(part)), F.lit(alias)).otherwise(bare)
+    key, bare = _lookup_keys()
     markets = obs.select("state", "market").distinct()
     tries = markets.select("state", "market", F.posexplode(F.array(key, bare)).alias("_p", "_k"))
     placed = tries.join(known, "_k").groupBy("state", "market").agg(
@@ -33,6 +30,27 @@ def add_location(obs: DataFrame, locations: DataFrame) -> DataFrame:
     return obs.drop("district", "taluk").join(placed, ["state", "market"], "left")
 
 
+def _lookup_keys():
+    """The key as written, and the one to try when that is unknown."""
+    key = location_key("state", "market")
+    bare = F.regexp_replace(key, r"(\(.*\))", "")
+    for part, alias in MARKET_KEY_ALIASES.items():
+        bare = F.when(F.contains(key, F.lit(part)), F.lit(alias)).otherwise(bare)
+    return key, bare
+
+
+def add_location_rowwise(obs: DataFrame, locations: DataFrame) -> DataFrame:
+    """``add_location`` for streams, which cannot be reduced to distinct markets first."""
+    out = obs.drop("district", "taluk").withColumns(dict(zip(("_k0", "_k1"), _lookup_keys())))
+    for i in (0, 1):
+        known = locations.select(*[F.col(c).alias(f"_{c[0]}{i}") for c in ("district", "taluk")],
+                                 F.col("location_key").alias(f"_k{i}"))
+        out = out.join(known, f"_k{i}", "left")
+    return out.withColumns({
+        "district": F.coalesce("_d0", "_d1"), "taluk": F.coalesce("_t0", "_t1"),
+    }).drop("_k0", "_k1", "_d0", "_d1", "_t0", "_t1")
+
+
 def unit_names(postal: DataFrame) -> DataFrame:
     """One row per state with its district and taluk names.
 

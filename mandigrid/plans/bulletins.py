@@ -11,7 +11,7 @@ from mandigrid.functions.missing import marker_as_null, normalise, number, zero_
 from mandigrid.functions.text import (
     per_kg, replace_patterns, replace_whole, split_origin, squeeze, strip,
 )
-from mandigrid.operators.locate import add_location
+from mandigrid.operators.locate import add_location, add_location_rowwise
 from mandigrid.operators.timeseries import carry_headers, forward_fill
 
 
@@ -52,7 +52,8 @@ def integrate_bulletins(clean: DataFrame, locations: DataFrame) -> DataFrame:
     """Clean rows with district and taluk; a tonnage of zero is missing."""
     named = clean.withColumn("market", F.trim(
         replace_patterns("market", BULLETIN_MARKET_PATTERNS)))
-    placed = add_location(named, locations)
+    place = add_location_rowwise if clean.isStreaming else add_location
+    placed = place(named, locations)
     return placed.withColumns({
         "tonnage": zero_as_null("tonnage"),
         "variety_tonnage": F.lit(None).cast("double"),

@@ -1,10 +1,10 @@
 """The registered queries: each operator on the benchmark tables, with its SQL twin."""
 
 from mandigrid.queries import (
-    catalogue, cleaning, quality, rollups, serving, timeseries,
+    catalogue, cleaning, matching, quality, rollups, serving, timeseries,
 )
 
-MODULES = (rollups, catalogue, quality, timeseries, serving, cleaning)
+MODULES = (rollups, catalogue, quality, timeseries, serving, cleaning, matching)
 
 
 

@@ -11,33 +11,7 @@ KEY = ["date", "state", "market", "commodity", "variety", "grade"]
 def ingest(bulletins: DataFrame, locations: DataFrame = None) -> DataFrame:
     """The batch cleaning steps on a stream (without the whole-commodity variety rule)."""
     clean = clean_bulletins(bulletins, variety_rule=False)
-    if locations is None:
-        return clean
-    # a stream cannot look up distinct markets first, so each row is looked up
-    return integrate_stream(clean, locations)
-
-
-def integrate_stream(clean: DataFrame, locations: DataFrame) -> DataFrame:
-    if not clean.isStreaming:
-        return integrate_bulletins(clean, locations)
-    from mandigrid.fixed_values import BULLETIN_MARKET_PATTERNS
-    from mandigrid.functions.keys import location_key
-    from mandigrid.functions.missing import zero_as_null
-    from mandigrid.functions.text import replace_patterns
-
-    named = clean.withColumn("market", F.trim(
-        replace_patterns("market", BULLETIN_MARKET_PATTERNS)))
-    known = locations.select("location_key", "district", "taluk")
-    exact = known.select(F.col("location_key").alias("_k1"), F.col("district").alias("_d1"),
-                         F.col("taluk").alias("_t1"))
-    bare = known.select(F.col("location_key").alias("_k2"), F.col("district").alias("_d2"),
-                        F.col("taluk").alias("_t2"))
-    key = location_key("state", "market")
-    keyed = named.withColumns({"_k1": key, "_k2": F.regexp_replace(key, r"(\(.*\))", "")})
-    return keyed.join(exact, "_k1", "left").join(bare, "_k2", "left").withColumns({
-        "district": F.coalesce("_d1", "_d2"), "taluk": F.coalesce("_t1", "_t2"),
-        "tonnage": zero_as_null("tonnage"), "variety_tonnage": F.lit(None).cast("double"),
-    }).drop("_k1", "_k2", "_d1", "_d2", "_t1", "_t2")
+    return clean if locations is None else integrate_bulletins(clean, locations)
 
 
 def without_repeats(rows: DataFrame, key, lateness="30 days", date="date") -> DataFrame:
@@ -69,10 +43,10 @@ def refresh_rollups(arrivals: DataFrame, store, target, checkpoint):
     """
     def update(batch: DataFrame, number: int):
         spark = batch.sparkSession
-        (batch.withColumn("batch_no", F.lit(number)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_no", "date")
-         .parquet(store))
-        # read the batch back instead of computing it twice
+        (batch.withColumn("batch_no", F.lit(number)).repartition("date", "market")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_no", "date").parquet(store))
+        # the batch is read back instead of being computed twice
         stored = spark.read.parquet(store)
         touched = stored.filter(F.col("batch_no") == number).select("date").distinct()
         rows = stored.join(touched, "date", "left_semi").drop("batch_no")
