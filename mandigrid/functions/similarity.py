@@ -8,17 +8,22 @@ _N = 3
 _PAD = "$"
 
 
+def let(value, body) -> Column:
+    """``body`` applied to ``value``, which is computed once however often it is used.
+
+    A lambda would otherwise recompute what it refers to for every element.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def grams(c) -> Column:
     """All trigrams of the padded text, repeats included."""
     pad = F.lit(_PAD * (_N - 1))
     padded = F.concat(pad, col(c), pad)
-    return F.transform(
-        F.sequence(F.lit(1), F.length(padded) - (_N - 1)),
-        lambda i: F.substring(padded, i, F.lit(_N)),
-    )
+    return F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{_N}}}))"), F.lit(1))
 
 
-def _shared(a: Column, b: Column) -> Column:
+def _count_shared(a: Column, b: Column) -> Column:
     def times(xs, gram):
         return F.size(F.filter(xs, lambda x: x == gram))
 
@@ -28,11 +33,20 @@ def _shared(a: Column, b: Column) -> Column:
     )
 
 
+def _overlap(a: Column, b: Column) -> Column:
+    """Shared over all. Repeats have to be counted only if both texts have some."""
+    def no_repeats(xs):
+        return F.size(F.array_distinct(xs)) == F.size(xs)
+
+    shared = F.when(no_repeats(a) | no_repeats(b), F.size(F.array_intersect(a, b))).otherwise(
+        _count_shared(a, b))
+    return let(shared, lambda m: m / (F.size(a) + F.size(b) - m))
+
+
 def ngram_similarity(a, b) -> Column:
     """Shared trigrams over all trigrams, in [0, 1]; case does not count."""
-    ga, gb = grams(F.lower(col(a))), grams(F.lower(col(b)))
-    shared = _shared(ga, gb)
-    return shared / (F.size(ga) + F.size(gb) - shared)
+    both = F.struct(grams(F.lower(col(a))).alias("a"), grams(F.lower(col(b))).alias("b"))
+    return let(both, lambda x: _overlap(x["a"], x["b"]))
 
 
 def within(a, b, k) -> Column:

@@ -8,7 +8,7 @@ from mandigrid.fixed_values import (
 )
 from mandigrid.functions.keys import location_key
 from mandigrid.functions.missing import col
-from mandigrid.functions.similarity import edit_allowance, ngram_similarity
+from mandigrid.functions.similarity import edit_allowance, let, ngram_similarity
 from mandigrid.functions.text import replace_whole, to_initials
 
 
@@ -80,26 +80,28 @@ def _most_similar(names, phrase):
     return F.get(F.array_sort(ranked), 0)
 
 
+_MOST_EDITS = 2
+
+
 def _fuzzy(names, phrase, allowance):
-    """The names within reach of a phrase; the exact test runs before any scoring."""
-    low = F.lower(phrase)
-    reach = edit_allowance(phrase, allowance)
-    return F.filter(names, lambda n: (F.abs(F.length(n) - F.length(phrase)) <= reach)
-                    & (F.levenshtein(F.lower(n), low) <= reach))
+    """The names within reach of a phrase."""
+    wanted = F.struct(F.lower(phrase).alias("low"), edit_allowance(phrase, allowance).alias("k"))
+    return let(wanted, lambda w: F.filter(names, lambda n: F.levenshtein(
+        F.lower(n), w["low"], _MOST_EDITS).between(0, w["k"])))
 
 
-def _window_match(names, before, after, allowance):
+def _window_match(names, phrases, allowance):
     """Best name among those near the words before or after a marker word."""
-    return F.get(F.array_sort(F.filter(F.array(
-        _most_similar(_fuzzy(names, before, allowance), before),
-        _most_similar(_fuzzy(names, after, allowance), after),
-    ), lambda x: x.isNotNull())), 0)["n"]
+    return _word_match(names, F.array(*phrases), allowance, None)
 
 
 def _word_match(names, words, allowance, allowed):
     """Best name over all words of an address."""
-    scored = F.transform(words, lambda w: _most_similar(
-        F.filter(_fuzzy(names, w, allowance), lambda n: allowed(n, w)), w))
+    def near(w):
+        found = _fuzzy(names, w, allowance)
+        return found if allowed is None else F.filter(found, lambda n: allowed(n, w))
+
+    scored = F.transform(words, lambda w: _most_similar(near(w), w))
     return F.get(F.array_sort(F.filter(scored, lambda x: x.isNotNull())), 0)["n"]
 
 
@@ -116,8 +118,8 @@ def district_of(address, districts):
     """
     address, districts = col(address), col(districts)
     contained = _longest(F.filter(districts, lambda d: F.contains(address, d)))
-    before, after = _district_words(address)
-    marked = F.when(address.rlike(DISTRICT_WINDOW), _window_match(districts, before, after, 2))
+    marked = F.when(address.rlike(DISTRICT_WINDOW),
+                    _window_match(districts, _district_words(address), 2))
     by_initials = F.get(F.array_sort(F.filter(
         districts, lambda d: F.exists(to_initials(d), lambda i: F.contains(address, i)))), 0)
     last_part = F.split(F.element_at(F.split(address, ", "), -1), " ")
@@ -151,7 +153,7 @@ def taluk_of(address, taluks, districts, market=None):
     address, taluks, districts = col(address), col(taluks), col(districts)
     words = [F.trim(F.regexp_replace(F.regexp_extract(address, TALUK_WINDOW, i), r"\d", ""))
              for i in (1, 2)]
-    marked = F.when(address.rlike(TALUK_WINDOW), _window_match(taluks, *words, 1))
+    marked = F.when(address.rlike(TALUK_WINDOW), _window_match(taluks, words, 1))
     rules = [marked]
     if market is not None:
         named = replace_whole(market, MARKET_TALUK_ALIASES)
@@ -167,7 +169,7 @@ def taluk_of(address, taluks, districts, market=None):
     rules.append(_longest(F.filter(taluks, in_address)))
     long_words = F.filter(F.split(rest, " "),
                           lambda w: (F.length(w) >= 4) & ~w.isin(*TALUK_STOPWORDS))
-    rules.append(_word_match(taluks, long_words, 2, lambda t, w: F.lit(True)))
+    rules.append(_word_match(taluks, long_words, 2, None))
     return F.when(F.length(address) > 0, F.coalesce(*rules))
 
 
