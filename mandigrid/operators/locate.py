@@ -198,15 +198,19 @@ def location_score(district, taluk, pin_district, pin_taluk):
 def best_by_pin(markets: DataFrame, postal: DataFrame, key) -> DataFrame:
     """The postal entry of each market's pin that fits best, by key.
 
-    Markets without a pin, or with an unknown one, are not in the result.
+    Markets without a pin, or with an unknown one, are not in the result. Each
+    distinct (pin, district, taluk) is scored once, so a pin that very many
+    addresses share costs no more than the places it stands for.
     """
+    said = ["pin", "district", "taluk"]
     entries = postal.select("pin", F.col("district").alias("pin_district"),
                             F.col("taluk").alias("pin_taluk")).distinct()
-    wanted = markets.filter(F.col("pin").isNotNull()).select(key, "pin", "district", "taluk")
-    scored = wanted.join(entries, "pin").withColumn(
+    wanted = markets.filter(F.col("pin").isNotNull()).select(
+        key, "pin", *[F.coalesce(c, F.lit("")).alias(c) for c in said[1:]])
+    scored = wanted.select(*said).distinct().join(entries, "pin").withColumn(
         "score", location_score("district", "taluk", "pin_district", "pin_taluk"))
     best = F.min(F.struct((-F.col("score")).alias("s"), "pin_district", "pin_taluk")).alias("_r")
-    return scored.groupBy(key).agg(best).select(
+    return wanted.join(scored.groupBy(*said).agg(best), said).select(
         key, F.col("_r.pin_district").alias("pin_district"),
         F.nullif(F.col("_r.pin_taluk"), F.lit("")).alias("pin_taluk"),
         (-F.col("_r.s")).alias("score"))

@@ -58,30 +58,40 @@ def unit_statistics(rows: DataFrame, level, start, end, commodity=None, state=No
     return within_thresholds(grouped, **(thresholds or {}))
 
 
-def missing_by(obs: DataFrame, units=(), time=()) -> DataFrame:
-    """Missing prices and tonnages per unit, period and commodity.
+def market_days(obs: DataFrame) -> DataFrame:
+    """One row per market, commodity and day with its counts of missing values.
 
+    All reports on missing values and coverage can be made from these rows.
     Prices count once per bulletin row. Tonnage is repeated on every variety of
     a market's day, so it counts once per (date, market), as do rows without both;
     of several varieties the first one, in order, stands for the day.
-
-    One pass: market days are aggregated first, with map-side combining, and the
-    groups are sums over them. Nothing is joined.
     """
-    time = list(time)
-    keys = [*units, *time]
     place = [c for c in ("state", "district", "market") if c in obs.columns]
     first = F.struct("variety", "modal_price", "tonnage")
     days = obs.groupBy("date", *place, "category", "commodity").agg(
         *[count_missing(f"{p}_price").alias(f"{p}_nas") for p in ("min", "max", "modal")],
         F.count(F.lit(1)).alias("modal_len"),
+        (count_missing("tonnage") > 0).cast("long").alias("tonnage_gap"),
         F.min(first).alias("first"),
     )
-    days = add_year_month(days).withColumns({
+    return add_year_month(days).withColumns({
         "tonnage_na": F.col("first.tonnage").isNull().cast("long"),
         "joint_na": (F.col("first.tonnage").isNull()
                      & F.col("first.modal_price").isNull()).cast("long"),
-    })
+    }).drop("first")
+
+
+def missing_by(obs: DataFrame, units=(), time=()) -> DataFrame:
+    """Missing prices and tonnages per unit, period and commodity.
+
+    One pass: market days are aggregated first, with map-side combining, and the
+    groups are sums over them. Nothing is joined.
+    """
+    return missing_in_days(market_days(obs), units, time)
+
+
+def missing_in_days(days: DataFrame, units=(), time=()) -> DataFrame:
+    keys = [*units, *time]
     return days.groupBy("category", "commodity", *keys).agg(
         F.sum("min_nas").alias("min_nas"),
         F.sum("max_nas").alias("max_nas"),
@@ -99,21 +109,22 @@ def missing_over_time(obs: DataFrame, time=("year", "month")) -> DataFrame:
 
 def missing_total(obs: DataFrame) -> DataFrame:
     """Missing values per commodity; tonnage once per distinct (date, market, tonnage)."""
-    place = [c for c in ("state", "district", "market") if c in obs.columns]
-    by_day = obs.groupBy("commodity", "date", *place, "tonnage").agg(
-        *[count_missing(f"{p}_price").alias(p) for p in ("modal", "min", "max")])
-    return by_day.groupBy("commodity").agg(
-        F.count_if(F.col("tonnage").isNull()).alias("tonnage_nas"),
-        *[F.sum(p).alias(f"{p}_nas") for p in ("modal", "min", "max")])
+    return missing_total_in_days(market_days(obs))
 
 
-_MISSING = ["min_nas", "max_nas", "modal_nas", "modal_len", "tonnage_nas", "tonnage_len",
+def missing_total_in_days(days: DataFrame) -> DataFrame:
+    return days.groupBy("commodity").agg(
+        F.sum("tonnage_gap").alias("tonnage_nas"),
+        *[F.sum(f"{p}_nas").alias(f"{p}_nas") for p in ("modal", "min", "max")])
+
+
+MISSING = ["min_nas", "max_nas", "modal_nas", "modal_len", "tonnage_nas", "tonnage_len",
             "joint_nas"]
 
 
 def missing_percent(missing: DataFrame) -> DataFrame:
     """Counts to shares; the counts themselves are left out."""
-    keys = [c for c in missing.columns if c not in _MISSING]
+    keys = [c for c in missing.columns if c not in MISSING]
     return missing.select(
         *keys,
         percent("modal_nas", "modal_len").alias("price_na_pct"),
@@ -138,9 +149,12 @@ def tonnage_by_time(obs: DataFrame, units=()) -> DataFrame:
 
     ``grain`` names the row's kind; the months are the input of the mean below.
     """
-    units = list(units)
+    return tonnage_of_days(market_day_tonnage(obs), units)
+
+
+def tonnage_of_days(days: DataFrame, units=()) -> DataFrame:
     fixed = [*units, "category", "commodity"]
-    rows = add_year_month(market_day_tonnage(obs))
+    rows = add_year_month(days)
     monthly = rows.groupBy(*fixed, "year", "month").agg(F.sum("tonnage").alias("tonnage"))
     sets = [[*fixed, "year", "month"], [*fixed, "year"], fixed]
     out = monthly.groupingSets(sets, *fixed, "year", "month").agg(
@@ -152,8 +166,12 @@ def tonnage_by_time(obs: DataFrame, units=()) -> DataFrame:
 
 def tonnage_month_mean(obs: DataFrame, units=()) -> DataFrame:
     """Mean over the years of each calendar month's total."""
+    return tonnage_month_mean_of_days(market_day_tonnage(obs), units)
+
+
+def tonnage_month_mean_of_days(days: DataFrame, units=()) -> DataFrame:
     fixed = [*units, "category", "commodity"]
-    monthly = add_year_month(market_day_tonnage(obs)).groupBy(*fixed, "year", "month").agg(
+    monthly = add_year_month(days).groupBy(*fixed, "year", "month").agg(
         F.sum("tonnage").alias("tonnage"))
     return monthly.groupBy(*fixed, "month").agg(F.avg("tonnage").alias("tonnage"))
 

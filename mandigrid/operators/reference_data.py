@@ -102,7 +102,7 @@ def reshape_production(cells: DataFrame) -> DataFrame:
     filled = forward_fill(named, "sheet", "row_no", keys)
     kept = filled.dropna(thresh=4, subset=[*keys, *figures])
     last = kept.agg(F.max(F.struct("sheet", "row_no")).alias("_last"))  # one row
-    kept = kept.join(F.broadcast(last), F.struct("sheet", "row_no") != F.col("_last"))
+    kept = kept.join(last.select("_last.*"), ["sheet", "row_no"], "left_anti")
 
     def zero(c):
         return F.coalesce(F.col(c), F.lit(0.0))

@@ -18,16 +18,25 @@ def fill_dates(obs: DataFrame, start, end, series=SERIES) -> DataFrame:
     """Every series has a row for every day; measures of added days are NULL.
 
     Attributes are constant within a series, so they travel with the key table
-    and no window is needed. Rows outside the range are kept as they are. The
-    join key is (series, date): even one dominant series spreads over all tasks.
+    and no window is needed. Rows outside the range are kept as they are.
+
+    The rows themselves are not shuffled by day: only the distinct days of each
+    series are compared with the calendar, and the days it lacks are added. A day
+    with a third of all rows is a single key there.
     """
     series = [c for c in series if c in obs.columns]
     attributes = [c for c in ATTRIBUTES if c in obs.columns and c not in series]
     keys = obs.groupBy(*series).agg(*[F.max(a).alias(f"_{a}") for a in attributes],
                                     F.count(F.lit(1)).alias("_n")).drop("_n")
-    full = _calendar(keys, start, end).join(obs, [*series, "date"], "full")
-    return full.select(*[
-        F.coalesce(c, f"_{c}").alias(c) if c in attributes else F.col(c) for c in obs.columns])
+    seen = obs.select(*series, "date").distinct()
+    absent = _calendar(keys, start, end).join(seen, [*series, "date"], "left_anti").select(
+        *series, "date", *[F.col(f"_{a}").alias(a) for a in attributes])
+    if attributes:
+        obs_columns = obs.columns
+        obs = obs.join(keys, series, "left").select(*[
+            F.coalesce(c, f"_{c}").alias(c) if c in attributes else F.col(c)
+            for c in obs_columns])
+    return obs.unionByName(absent, allowMissingColumns=True)
 
 
 def complete_axis(df: DataFrame, axis, low, high, keys=()) -> DataFrame:

@@ -1,33 +1,50 @@
 """All statistics reports of a bulletin table."""
 
+from pyspark.sql import DataFrame
+
 from mandigrid.operators import quality
+from mandigrid.session import shared_dir
 
 _TIMES = {"": [], "_year-month": ["year", "month"], "_year": ["year"], "_month": ["month"]}
 
 
-def compute_statistics(obs, start, end) -> dict:
-    """Report name -> lazy DataFrame, for all commodities at once."""
-    reports = {"nas_by_commodity": quality.missing_total(obs)}
+def compute_statistics(obs: DataFrame, start, end, store=None) -> dict:
+    """Report name -> lazy DataFrame, for all commodities at once.
+
+    The bulletins are read twice, whatever the number of reports: once for a table
+    of market days and once for one of day tonnages. Both are written to the
+    shared folder, where they also outlive a lost executor.
+    """
+    spark = obs.sparkSession
+    store = store or shared_dir(spark, "statistics")
+    quality.market_days(obs).write.parquet(f"{store}/days")
+    quality.market_day_tonnage(obs).write.parquet(f"{store}/tonnage")
+    days = spark.read.parquet(f"{store}/days")
+    tonnage = spark.read.parquet(f"{store}/tonnage")
+
+    reports = {"nas_by_commodity": quality.missing_total_in_days(days)}
     for suffix, time in _TIMES.items():
-        reports[f"nas_by_state{suffix}"] = quality.missing_by(obs, ["state"], time)
+        reports[f"nas_by_state{suffix}"] = quality.missing_in_days(days, ["state"], time)
         if time:
-            reports[f"nas_by{suffix}"] = quality.missing_over_time(obs, time)
+            reports[f"nas_by{suffix}"] = quality.missing_in_days(days, (), time)
     for name, units in (("tonnage", []), ("tonnage_by_state", ["state"])):
-        reports[name] = quality.tonnage_by_time(obs, units)
-        reports[f"{name}_month_mean"] = quality.tonnage_month_mean(obs, units)
-    for name, report in quality.coverage_reports(obs, start, end).items():
+        reports[name] = quality.tonnage_of_days(tonnage, units)
+        reports[f"{name}_month_mean"] = quality.tonnage_month_mean_of_days(tonnage, units)
+    for name, report in quality.coverage_reports(days, start, end).items():
         reports[f"coverage_by_{name}"] = report
     return reports
 
 
+_MEASURES = {"nas": quality.MISSING, "tonnage": ["tonnage"], "coverage": ["coverage"]}
+
+
 def combine_statistics(reports: dict) -> dict:
     """Each report summed (coverage: averaged) over commodities as well."""
     out = {}
-    measures = {"nas": quality._MISSING, "tonnage": ["tonnage"], "coverage": ["coverage"]}
     for name, report in reports.items():
         kind = name.split("_")[0]
-        columns = [c for c in measures[kind] if c in report.columns]
-        keys = [c for c in report.columns if c not in ("category", "commodity", *measures[kind])]
+        columns = [c for c in _MEASURES[kind] if c in report.columns]
+        keys = [c for c in report.columns if c not in ("category", "commodity", *_MEASURES[kind])]
         if "category" not in report.columns or not keys:
             continue
         sums, means = (([], columns) if kind == "coverage" else (columns, []))

@@ -107,21 +107,14 @@ def address_district(spark, sf_dir):
         .when(F.col("l_returnflag") == "N", F.concat(
             "market", F.lit(" Mill, Dist "), wrong, F.lit("-534001, "), "state"))
         .otherwise(F.concat("market", F.lit(" Mill, "), _damaged(second), F.lit(", "), "state")))
-    rows = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select("state", written
-                                                                              .alias("written"))
-    addresses = rows.select("state", normalize_address("written", "state").alias("address")
-                            ).groupBy("state", "address").agg(F.count(F.lit(1)).alias("n"))
-    names = table(spark, sf_dir, "region").select(F.col("r_name").alias("state")).join(
-        F.broadcast(_district_names(spark, sf_dir)))
-    return locate.assign_districts(addresses, names, ["address"])
-
-
-def _district_names(spark, sf_dir):
-    """Part names and their second words, as one array (72 names at any scale)."""
+    rows = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        "state", "p_name", normalize_address(written, "state").alias("address"))
+    addresses = rows.groupBy("state", "address").agg(F.count(F.lit(1)).alias("n"))
     name = capwords("p_name")
-    return table(spark, sf_dir, "part").select(F.explode(F.array(
-        name, F.element_at(F.split(name, " "), 2))).alias("d")).agg(
-        F.sort_array(F.collect_set("d")).alias("districts"))
+    units = rows.select("state", "p_name").distinct().select(
+        "state", F.explode(F.array(name, F.element_at(F.split(name, " "), 2))).alias("district"),
+        F.lit("").alias("taluk"))
+    return locate.assign_districts(addresses, locate.unit_names(units), ["address"])
 
 
 # --- SQL -------------------------------------------------------------------
@@ -221,33 +214,33 @@ _cap = "(upper({0}[1]) || lower({0}[2:]))"
 _W1, _W2 = "string_split(p_name, ' ')[1]", "string_split(p_name, ' ')[2]"
 _ADDRESS = f"""
 WITH rows AS (
-  SELECT r_name AS state, CASE l_returnflag
+  SELECT r_name AS state, p_name, CASE l_returnflag
     WHEN 'A' THEN 'Supplier Mill , Dist ' || {_cap.format(_W1)} || ' ' || {_cap.format(_W2)}
     WHEN 'N' THEN 'Supplier Mill , Dist ' || {_cap.format(damaged(_W1))} || ' '
                   || {_cap.format(damaged(_W2))}
     ELSE 'Supplier Mill , ' || {_cap.format(damaged(_W2))} END AS address
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
   JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-addresses AS (SELECT state, address, {n('count(*)')} AS n FROM rows GROUP BY ALL),
-names AS (SELECT DISTINCT unnest([{_cap.format(_W1)} || ' ' || {_cap.format(_W2)},
-                                  {_cap.format(_W2)}]) AS d FROM part),
+addresses AS (SELECT state, address, {n('count(*)')} AS n FROM rows GROUP BY state, address),
+names AS (SELECT DISTINCT state, unnest([{_cap.format(_W1)} || ' ' || {_cap.format(_W2)},
+                                  {_cap.format(_W2)}]) AS d FROM rows),
 phrases AS (
-  SELECT DISTINCT address, 2 AS rule, 2 AS k,
+  SELECT DISTINCT state, address, 2 AS rule, 2 AS k,
          trim(regexp_extract(address, '(?i)dist((?:\\s+\\w+){{0,2}})', 1)) AS phrase
   FROM addresses WHERE regexp_matches(address, '(?i)dist') UNION ALL
-  SELECT DISTINCT address, 4, 1, unnest(string_split(list_extract(string_split(address, ', '), -1),
+  SELECT DISTINCT state, address, 4, 1, unnest(string_split(list_extract(string_split(address, ', '), -1),
                                                      ' ')) FROM addresses),
-hits AS (SELECT address, rule, phrase, d FROM phrases, names
+hits AS (SELECT p.state, address, rule, phrase, d FROM phrases p JOIN names USING (state)
          WHERE levenshtein(lower(phrase), lower(d)) <= k),
 {sims('hits', 'phrase', 'd')},
 found AS (
-  SELECT DISTINCT address, 1 AS rule, CAST(length(d) AS DOUBLE) AS score, d
-  FROM addresses, names WHERE contains(address, d) UNION ALL
-  SELECT address, rule, similarity, d FROM hits JOIN sim ON sim.a = phrase AND sim.b = d),
-best AS (SELECT address, d FROM found
-         QUALIFY row_number() OVER (PARTITION BY address ORDER BY rule, score DESC, d) = 1)
-SELECT state, a.address, n, best.d AS district FROM addresses a
-LEFT JOIN best ON best.address = a.address"""
+  SELECT state, address, 1 AS rule, CAST(length(d) AS DOUBLE) AS score, d
+  FROM addresses JOIN names USING (state) WHERE contains(address, d) UNION ALL
+  SELECT state, address, rule, similarity, d FROM hits JOIN sim ON sim.a = phrase AND sim.b = d),
+best AS (SELECT state, address, d FROM found
+         QUALIFY row_number() OVER (PARTITION BY state, address ORDER BY rule, score DESC, d) = 1)
+SELECT a.state, a.address, n, best.d AS district FROM addresses a
+LEFT JOIN best ON best.address = a.address AND best.state = a.state"""
 
 QUERIES = {
     "fuzzy_best": (fuzzy_best, _best_sql(

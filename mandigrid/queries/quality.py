@@ -82,7 +82,7 @@ def combine_tonnage(spark, sf_dir):
 
 def combine_missing(spark, sf_dir):
     report = quality.missing_by(observations(spark, sf_dir), ["state"], ["year"])
-    return present(quality.combine_commodities(report, ["state", "year"], sums=quality._MISSING))
+    return present(quality.combine_commodities(report, ["state", "year"], sums=quality.MISSING))
 
 
 def combine_coverage(spark, sf_dir):
@@ -151,7 +151,7 @@ missing AS (
   FROM first_rows GROUP BY category, commodity{group.replace('year', 'year(date)').replace('month', 'month(date)')})"""
 
 
-_COUNTS = ", ".join(f"{n(c)} AS {c}" for c in quality._MISSING)
+_COUNTS = ", ".join(f"{n(c)} AS {c}" for c in quality.MISSING)
 
 
 def _missing_sql(*keys):
@@ -260,7 +260,7 @@ SELECT {n('year')} AS year, {s('avg(coverage)')} AS coverage FROM cov GROUP BY y
         "days", f"{s('sum(tonnage)')} AS tonnage")),
     "combine_missing": (combine_missing, _combine_sql(
         _missing_cte("state", "year"), "missing",
-        ", ".join(f"{n(f'sum({c})')} AS {c}" for c in quality._MISSING))),
+        ", ".join(f"{n(f'sum({c})')} AS {c}" for c in quality.MISSING))),
     "combine_coverage": (combine_coverage, _combine_sql(
         _coverage_cte(*_NAMED, "state", "year"), "cov", f"{s('avg(coverage)')} AS coverage")),
     "weighted_mean_ratio": (weighted_mean_ratio, f"""

@@ -10,16 +10,25 @@ from mandigrid.plans import serving
 from mandigrid.queries.common import DISTRICT, LEVELS, MARKET, OBS, STATE, d, n, present, s
 from mandigrid.queries.quality import END, LOOSE, START, _stats_sql
 from mandigrid.queries.rollups import market_rows
+from mandigrid.sources.bulletins import stack
 from mandigrid.sources.standins import observations, table
 
 
+_COLUMNS = ["level", "date", "commodity", "state", "district", "market", "category", "price",
+            "tonnage", "contrib"]
+
+
 def rollup_table(spark, sf_dir) -> DataFrame:
-    """All levels, market rows included, as one table."""
+    """All levels, market rows included, as one table.
+
+    A condition on the level leaves one branch of the union, and one on the
+    commodity reaches that branch's scan.
+    """
     markets = market_rows(spark, sf_dir)
-    above = rollup.rollup_all_levels(markets)
-    rows = markets.select(F.lit("market").alias("level"), "date", "commodity", "state", "district",
-                          "market", "category", "price", "tonnage")
-    return above.unionByName(rows, allowMissingColumns=True)
+    levels = [markets.withColumn("level", F.lit("market"))] + [
+        rollup.rollup_level(markets, level).withColumn("level", F.lit(level))
+        for level in ("district", "state", "india")]
+    return stack([f.select(*[c for c in _COLUMNS if c in f.columns]) for f in levels])
 
 
 def series_state(spark, sf_dir):
