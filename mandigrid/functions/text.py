@@ -66,14 +66,12 @@ def tidy_punctuation(c) -> Column:
 
 def correct_address(c, state) -> Column:
     """The state's own spelling table, literal replacements in order."""
-    c, state = col(c), col(state)
-    out = None
-    for name, table in ADDRESS_CORRECTIONS.items():
-        fixed = c
-        for wrong, right in table.items():
-            fixed = F.replace(fixed, F.lit(wrong), F.lit(right))
-        out = F.when(state == name, fixed) if out is None else out.when(state == name, fixed)
-    return out.otherwise(c)
+    tables = F.create_map(*chain.from_iterable(
+        (F.lit(name), F.array(*[F.array(F.lit(wrong), F.lit(right))
+                                for wrong, right in table.items()]))
+        for name, table in ADDRESS_CORRECTIONS.items()))
+    own = F.coalesce(F.try_element_at(tables, col(state)), F.array().cast("array<array<string>>"))
+    return F.aggregate(own, col(c), lambda text, pair: F.replace(text, pair[0], pair[1]))
 
 
 def normalize_address(c, state) -> Column:
@@ -86,7 +84,7 @@ def normalize_address(c, state) -> Column:
     a = F.regexp_replace(a, r"[\p{Punct}&&[^,]]", " ")
     a = F.regexp_replace(a, r"\d+", " ")
     a = F.regexp_replace(a, r"(?i)\sPin\s", " ")
-    a = F.when(F.length(state) > 0, F.replace(a, state, F.lit(""))).otherwise(a)
+    a = F.replace(a, F.coalesce(state, F.lit("")), F.lit(""))
     a = F.regexp_replace(a, r"\s+$", "")
     a = F.regexp_replace(a, r",+$", "")
     a = F.regexp_replace(a, r"([a-z])([A-Z])", "$1 $2")

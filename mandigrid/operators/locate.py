@@ -132,15 +132,25 @@ def district_of(address, districts):
 
 
 def _without_district_words(address, districts):
-    """The address less the words its district was recognised by, if they occur once."""
+    """The address less the words its district was recognised by, if they occur once.
+
+    Words count as such only if the address does not hold a district's name as it is.
+    """
     before, after = _district_words(address)
-    plain = F.size(F.filter(districts, lambda d: F.contains(address, d))) == 0
-    found = F.when(F.size(_fuzzy(districts, after, 2)) > 0, after).when(
-        F.size(_fuzzy(districts, before, 2)) > 0, before)
-    once = F.size(F.split(address, F.concat(F.lit(r"\Q"), found, F.lit(r"\E")))) == 2
-    cut = F.regexp_replace(F.regexp_replace(F.regexp_replace(
-        F.replace(address, found, F.lit("")), r"\s+$", ""), r",+$", ""), r"\s+", " ")
-    return F.when(plain & (F.length(found) > 0) & once, cut).otherwise(address)
+
+    def near(words):
+        return F.when(F.size(_fuzzy(districts, words, 2)) > 0, F.nullif(words, F.lit("")))
+
+    found = F.when(~F.exists(districts, lambda d: F.contains(address, d)),
+                   F.coalesce(near(after), near(before)))
+
+    def cut(words):
+        once = F.size(F.split(address, F.concat(F.lit(r"\Q"), words, F.lit(r"\E")))) == 2
+        rest = F.regexp_replace(F.replace(address, words, F.lit("")), r"\s+$", "")
+        rest = F.regexp_replace(F.regexp_replace(rest, r",+$", ""), r"\s+", " ")
+        return F.when(words.isNotNull() & once, rest).otherwise(address)
+
+    return let(found, cut)
 
 
 def taluk_of(address, taluks, districts, market=None):
@@ -158,18 +168,20 @@ def taluk_of(address, taluks, districts, market=None):
     if market is not None:
         named = replace_whole(market, MARKET_TALUK_ALIASES)
         rules.append(_longest(F.filter(taluks, lambda t: F.contains(named, t))))
-    rest = _without_district_words(address, districts)
-
-    def in_address(t):
-        hit = F.contains(rest, t)
-        for suffix in TALUK_FALSE_SUFFIXES:
-            hit = hit & ~F.contains(rest, F.concat(t, F.lit(suffix)))
-        return hit
-
-    rules.append(_longest(F.filter(taluks, in_address)))
-    long_words = F.filter(F.split(rest, " "),
-                          lambda w: (F.length(w) >= 4) & ~w.isin(*TALUK_STOPWORDS))
-    rules.append(_word_match(taluks, long_words, 2, None))
+
+    def in_rest(rest):
+        def named(t):
+            hit = F.contains(rest, t)
+            for suffix in TALUK_FALSE_SUFFIXES:
+                hit = hit & ~F.contains(rest, F.concat(t, F.lit(suffix)))
+            return hit
+
+        long_words = F.filter(F.split(rest, " "),
+                              lambda w: (F.length(w) >= 4) & ~w.isin(*TALUK_STOPWORDS))
+        return F.coalesce(_longest(F.filter(taluks, named)),
+                          _word_match(taluks, long_words, 2, None))
+
+    rules.append(let(_without_district_words(address, districts), in_rest))
     return F.when(F.length(address) > 0, F.coalesce(*rules))
 
 

@@ -19,6 +19,7 @@ from mandigrid.operators.matching import (
     alternate_candidates, assign_once, candidates,
 )
 from mandigrid.operators.relational import exclude_row, keep_last
+from mandigrid.session import materialise
 
 
 def clean_postal_directory(raw: DataFrame) -> DataFrame:
@@ -50,7 +51,8 @@ def locate_markets(markets: DataFrame, postal: DataFrame, key="market_id") -> Da
     placed = joined.withColumn("taluk", F.coalesce(
         locate.taluk_of("apmc_address", pool, "districts", "market"),
         locate.taluk_of("secretary_address", pool, "districts")))
-    placed = placed.drop("districts", "taluks", "district_taluks")
+    # the rules are costly, and their result is used three times below
+    placed = materialise(placed.drop("districts", "taluks", "district_taluks"), "addresses")
     by_pin = locate.best_by_pin(placed, postal, key)
     merged = placed.join(by_pin, key, "left").withColumns({
         "district": F.coalesce("pin_district", "district"),

@@ -1,10 +1,11 @@
 """The registered queries: each operator on the benchmark tables, with its SQL twin."""
 
 from mandigrid.queries import (
-    catalogue, cleaning, matching, quality, reference, rollups, serving, streaming, timeseries,
+    catalogue, cleaning, matching, plans, quality, reference, rollups, serving, streaming,
+    timeseries,
 )
 
-MODULES = (rollups, catalogue, quality, timeseries, serving, cleaning, matching, reference,
+MODULES = (rollups, catalogue, quality, timeseries, serving, cleaning, matching, reference, plans,
            streaming)
 
 

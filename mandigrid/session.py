@@ -26,6 +26,17 @@ def build_session(app="mandigrid", master=None, **extra):
     return builder.getOrCreate()
 
 
+def materialise(df, purpose):
+    """``df`` as a table written to the shared folder, read back.
+
+    Used where a costly result is needed several times. The files outlive the
+    executors that wrote them and cut the lineage.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def shared_dir(spark, purpose):
     """A fresh folder for ``purpose`` below the cluster's shared checkpoint folder.
 
