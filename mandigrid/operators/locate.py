@@ -52,15 +52,18 @@ def add_location_rowwise(obs: DataFrame, locations: DataFrame) -> DataFrame:
 
 
 def unit_names(postal: DataFrame) -> DataFrame:
-    """One row per state with its district and taluk names.
+    """One row per state with its district and taluk names, and districts' initials.
 
     The arrays hold the names of administrative units, a few hundred per state.
     """
     def names(c):
         return F.sort_array(F.collect_set(F.nullif(F.col(c), F.lit(""))))
 
-    return postal.groupBy("state").agg(
+    units = postal.groupBy("state").agg(
         names("district").alias("districts"), names("taluk").alias("taluks"))
+    spelt = F.transform("districts", lambda d: F.struct(
+        d.alias("name"), to_initials(d).alias("spellings")))
+    return units.withColumn("initials", F.filter(spelt, lambda i: F.size(i["spellings"]) > 0))
 
 
 def taluks_by_district(postal: DataFrame) -> DataFrame:
@@ -109,19 +112,19 @@ def _district_words(address):
     return [F.trim(F.regexp_extract(address, DISTRICT_WINDOW, i)) for i in (1, 2)]
 
 
-def district_of(address, districts):
+def district_of(address, districts, initials):
     """The district an address names, by the first rule that finds one.
 
     1. a known name occurs in it (the longest); 2. the words around "dist" or "dt"
     are nearly a name; 3. a name's initials occur; 4. a word of the last part is
     one edit from a name.
     """
-    address, districts = col(address), col(districts)
+    address, districts, initials = col(address), col(districts), col(initials)
     contained = _longest(F.filter(districts, lambda d: F.contains(address, d)))
     marked = F.when(address.rlike(DISTRICT_WINDOW),
                     _window_match(districts, _district_words(address), 2))
-    by_initials = F.get(F.array_sort(F.filter(
-        districts, lambda d: F.exists(to_initials(d), lambda i: F.contains(address, i)))), 0)
+    by_initials = F.get(F.filter(initials, lambda i: F.exists(
+        i["spellings"], lambda s: F.contains(address, s))), 0)["name"]
     last_part = F.split(F.element_at(F.split(address, ", "), -1), " ")
 
     def allowed(d, word):
@@ -187,10 +190,16 @@ def taluk_of(address, taluks, districts, market=None):
 
 def assign_districts(addresses: DataFrame, names: DataFrame, columns=("apmc_address",)
                      ) -> DataFrame:
-    """Addresses with the district found in the first of the columns that names one."""
-    joined = addresses.join(names.select("state", "districts"), "state", "left")
-    found = F.coalesce(*[district_of(c, "districts") for c in columns])
-    return joined.withColumn("district", found).drop("districts")
+    """Addresses with the district found in the first of the columns that names one.
+
+    The rules take milliseconds for a row, so rows are dealt out by number, not by
+    the few bytes they have.
+    """
+    parallel = int(addresses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = addresses.repartition(parallel).join(
+        names.select("state", "districts", "initials"), "state", "left")
+    found = F.coalesce(*[district_of(c, "districts", "initials") for c in columns])
+    return joined.withColumn("district", found).drop("districts", "initials")
 
 
 def location_score(district, taluk, pin_district, pin_taluk):

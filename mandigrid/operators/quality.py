@@ -8,6 +8,8 @@ from mandigrid.functions.dates import (
 from mandigrid.functions.missing import count_missing
 from mandigrid.operators.relational import date_range, within_thresholds
 
+MISSING = ["min_nas", "max_nas", "modal_nas", "modal_len", "tonnage_nas", "tonnage_len",
+            "joint_nas"]
 _UNIT = {
     "state": ["state"],
     "district": ["state", "district"],
@@ -75,9 +77,10 @@ def market_days(obs: DataFrame) -> DataFrame:
         F.min(first).alias("first"),
     )
     return add_year_month(days).withColumns({
-        "tonnage_na": F.col("first.tonnage").isNull().cast("long"),
-        "joint_na": (F.col("first.tonnage").isNull()
-                     & F.col("first.modal_price").isNull()).cast("long"),
+        "tonnage_nas": F.col("first.tonnage").isNull().cast("long"),
+        "tonnage_len": F.lit(1).cast("long"),
+        "joint_nas": (F.col("first.tonnage").isNull()
+                      & F.col("first.modal_price").isNull()).cast("long"),
     }).drop("first")
 
 
@@ -91,16 +94,8 @@ def missing_by(obs: DataFrame, units=(), time=()) -> DataFrame:
 
 
 def missing_in_days(days: DataFrame, units=(), time=()) -> DataFrame:
-    keys = [*units, *time]
-    return days.groupBy("category", "commodity", *keys).agg(
-        F.sum("min_nas").alias("min_nas"),
-        F.sum("max_nas").alias("max_nas"),
-        F.sum("modal_nas").alias("modal_nas"),
-        F.sum("modal_len").alias("modal_len"),
-        F.sum("tonnage_na").alias("tonnage_nas"),
-        F.count(F.lit(1)).alias("tonnage_len"),
-        F.sum("joint_na").alias("joint_nas"),
-    )
+    return days.groupBy("category", "commodity", *units, *time).agg(
+        *[F.sum(c).alias(c) for c in MISSING])
 
 
 def missing_over_time(obs: DataFrame, time=("year", "month")) -> DataFrame:
@@ -118,10 +113,6 @@ def missing_total_in_days(days: DataFrame) -> DataFrame:
         *[F.sum(f"{p}_nas").alias(f"{p}_nas") for p in ("modal", "min", "max")])
 
 
-MISSING = ["min_nas", "max_nas", "modal_nas", "modal_len", "tonnage_nas", "tonnage_len",
-            "joint_nas"]
-
-
 def missing_percent(missing: DataFrame) -> DataFrame:
     """Counts to shares; the counts themselves are left out."""
     keys = [c for c in missing.columns if c not in MISSING]
@@ -198,17 +189,27 @@ def coverage(obs: DataFrame, keys, start=None, end=None) -> DataFrame:
 _PLACE_SETS = {"market": ["state", "district", "market"], "state": ["state"]}
 
 
-def coverage_reports(obs: DataFrame, start, end) -> dict:
-    """All coverage reports, by name; each is a lazy DataFrame."""
+def state_days(obs: DataFrame) -> DataFrame:
+    """The distinct days of each state and commodity: all that wider reports need."""
+    return add_year_month(obs.select("category", "commodity", "state", "date").distinct())
+
+
+def coverage_reports(obs: DataFrame, start, end, by_state: DataFrame = None) -> dict:
+    """All coverage reports, by name; each is a lazy DataFrame.
+
+    ``by_state`` are the days of the states, if they have been stored.
+    """
     obs = add_year_month(obs)
+    by_state = state_days(obs) if by_state is None else by_state
     named = ["category", "commodity"]
-    reports = {"commodity": coverage(obs, named, start, end)}
+    reports = {"commodity": coverage(by_state, named, start, end)}
     for time in (["year"], ["month"], ["year", "month"]):
-        reports["-".join(time)] = coverage(obs, [*named, *time])
+        reports["-".join(time)] = coverage(by_state, [*named, *time])
     for name, place in _PLACE_SETS.items():
-        reports[name] = coverage(obs, [*named, *place], start, end)
+        days = obs if name == "market" else by_state
+        reports[name] = coverage(days, [*named, *place], start, end)
         for time in (["year"], ["year", "month"]):
-            reports[f"{name}_{'-'.join(time)}"] = coverage(obs, [*named, *place, *time])
+            reports[f"{name}_{'-'.join(time)}"] = coverage(days, [*named, *place, *time])
         reports[f"{name}_month"] = coverage_month_mean(reports[f"{name}_year-month"])
     return reports
 

@@ -44,15 +44,16 @@ def locate_markets(markets: DataFrame, postal: DataFrame, key="market_id") -> Da
     read = raw.withColumns({a: normalize_address(a, "state")
                             for a in ("apmc_address", "secretary_address")})
     joined = read.join(names, "state", "left").withColumn("district", F.coalesce(
-        locate.district_of("apmc_address", "districts"),
-        locate.district_of("secretary_address", "districts")))
+        locate.district_of("apmc_address", "districts", "initials"),
+        locate.district_of("secretary_address", "districts", "initials")))
     joined = joined.join(locate.taluks_by_district(postal), ["state", "district"], "left")
     pool = F.coalesce("district_taluks", "taluks")
     placed = joined.withColumn("taluk", F.coalesce(
         locate.taluk_of("apmc_address", pool, "districts", "market"),
         locate.taluk_of("secretary_address", pool, "districts")))
     # the rules are costly, and their result is used three times below
-    placed = materialise(placed.drop("districts", "taluks", "district_taluks"), "addresses")
+    placed = materialise(placed.drop(
+        "districts", "taluks", "initials", "district_taluks"), "addresses")
     by_pin = locate.best_by_pin(placed, postal, key)
     merged = placed.join(by_pin, key, "left").withColumns({
         "district": F.coalesce("pin_district", "district"),

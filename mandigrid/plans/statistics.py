@@ -1,6 +1,6 @@
 """All statistics reports of a bulletin table."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from mandigrid.operators import quality
 from mandigrid.session import shared_dir
@@ -12,25 +12,32 @@ def compute_statistics(obs: DataFrame, start, end, store=None) -> dict:
     """Report name -> lazy DataFrame, for all commodities at once.
 
     The bulletins are read twice, whatever the number of reports: once for a table
-    of market days and once for one of day tonnages. Both are written to the
-    shared folder, where they also outlive a lost executor.
+    of market days and once for one of day tonnages. Reports by month or by state
+    come from small tables made of these. All of them are written to the shared
+    folder, where they also outlive a lost executor.
     """
     spark = obs.sparkSession
     store = store or shared_dir(spark, "statistics")
-    quality.market_days(obs).write.parquet(f"{store}/days")
-    quality.market_day_tonnage(obs).write.parquet(f"{store}/tonnage")
-    days = spark.read.parquet(f"{store}/days")
-    tonnage = spark.read.parquet(f"{store}/tonnage")
 
-    reports = {"nas_by_commodity": quality.missing_total_in_days(days)}
+    def stored(df, name):
+        df.write.parquet(f"{store}/{name}")
+        return spark.read.parquet(f"{store}/{name}")
+
+    days = stored(quality.market_days(obs), "days")
+    gaps = stored(days.groupBy("category", "commodity", "state", "year", "month").agg(
+        *[F.sum(c).alias(c) for c in (*quality.MISSING, "tonnage_gap")]), "gaps")
+    by_state = stored(quality.state_days(days), "state_days")
+    tonnage = stored(quality.market_day_tonnage(obs), "tonnage")
+
+    reports = {"nas_by_commodity": quality.missing_total_in_days(gaps)}
     for suffix, time in _TIMES.items():
-        reports[f"nas_by_state{suffix}"] = quality.missing_in_days(days, ["state"], time)
+        reports[f"nas_by_state{suffix}"] = quality.missing_in_days(gaps, ["state"], time)
         if time:
-            reports[f"nas_by{suffix}"] = quality.missing_in_days(days, (), time)
+            reports[f"nas_by{suffix}"] = quality.missing_in_days(gaps, (), time)
     for name, units in (("tonnage", []), ("tonnage_by_state", ["state"])):
         reports[name] = quality.tonnage_of_days(tonnage, units)
         reports[f"{name}_month_mean"] = quality.tonnage_month_mean_of_days(tonnage, units)
-    for name, report in quality.coverage_reports(days, start, end).items():
+    for name, report in quality.coverage_reports(days, start, end, by_state).items():
         reports[f"coverage_by_{name}"] = report
     return reports
 

@@ -14,7 +14,7 @@ from mandigrid.plans import bulletins
 from mandigrid.queries.common import OBS, d, n, present, s
 from mandigrid.sources.bulletins import drop_repeated_headers, parse_lines
 from mandigrid.sources.sinks import point_features
-from mandigrid.sources.standins import observations, places, table
+from mandigrid.sources.standins import documents, observations, places, table
 
 
 def _count():
@@ -89,19 +89,20 @@ def regex_corrections(spark, sf_dir):
 
 
 def normalize_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir, "doc_id", "text", "source")
     address = text.normalize_address("text", F.col("source"))
     return docs.select("doc_id", F.md5(address).alias("digest"),
                        F.length(address).cast("bigint").alias("length"))
 
 
 def tidy_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     return docs.select("doc_id", F.md5(text.tidy_punctuation("text")).alias("digest"))
 
 
 def find_pin(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.find_pin("text").alias("pin"))
+    docs = documents(spark, sf_dir, "doc_id", "text").select(
+        "doc_id", text.find_pin("text").alias("pin"))
     return docs.filter(F.col("pin").isNotNull())
 
 

@@ -6,7 +6,7 @@ from mandigrid.functions.similarity import fuzzy_match, ngram_similarity
 from mandigrid.functions.text import capwords, normalize_address
 from mandigrid.operators import locate, matching
 from mandigrid.queries.common import n, present, s
-from mandigrid.sources.standins import places, table
+from mandigrid.sources.standins import documents, places, table
 
 
 
@@ -61,7 +61,7 @@ def similarity(spark, sf_dir):
 
 
 def _words(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir, "lang", "text")
     return docs.select("lang", F.explode(
         F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
 

@@ -55,7 +55,7 @@ def address_taluk(spark, sf_dir):
     read = raw.withColumn("address", tables.normalize_address("address", "state")).join(
         units, "state")
     return read.select("market_id", locate.taluk_of("address", "taluks", "districts")
-                       .alias("taluk"), locate.district_of("address", "districts")
+                       .alias("taluk"), locate.district_of("address", "districts", "initials")
                        .alias("district"))
 
 
@@ -287,7 +287,8 @@ FROM o GROUP BY ALL"""),
         "nas_by_state_year": quality_queries.QUERIES["combine_missing"][1],
         "coverage_by_year": f"""
 WITH {quality_queries._coverage_cte('category', 'commodity', 'year')}
-SELECT coverage FROM cov UNION ALL SELECT avg(coverage) FROM cov GROUP BY year"""})),
+SELECT {s('coverage')} AS coverage FROM cov UNION ALL
+SELECT {s('avg(coverage)')} FROM cov GROUP BY year"""})),
     "stored_rollups": (stored_rollups, f"""WITH {STATE}
 SELECT 'state' AS level, commodity, {n('count(*)')} AS n,
        {n("sum(CASE WHEN commodity = 'PROMO' THEN -contrib ELSE contrib END)")} AS contrib

@@ -11,15 +11,18 @@ from mandigrid.schema import (
 )
 
 _LAYOUTS = {"current": BULLETIN_LAYOUTS, "older": OLDER_LAYOUTS}
-# a comma outside quotes
-_SEPARATOR = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# a field with the comma before it; quotes protect commas and double themselves
+_FIELD = r',(\s*"(?:[^"]|"")*"\s*|[^,]*)'
 
 
 def _fields(line):
-    return F.transform(
-        F.split(line, _SEPARATOR, -1),
-        lambda f: F.regexp_replace(F.trim(f), r'^"|"$', ""),
-    )
+    """The raw fields of a line; lines without quotes are simply split."""
+    quoted = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), F.lit(1))
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ",", -1))
+
+
+def _unquoted(field):
+    return F.replace(F.btrim(field, F.lit('" ')), F.lit('""'), F.lit('"'))
 
 
 def _pick(name, layouts):
@@ -34,9 +37,9 @@ def _pick(name, layouts):
         if not at:
             continue
         value = (fields[at[0]] if len(at) == 1
-                 else F.concat_ws(" ", *[F.trim(fields[i]) for i in at]))
+                 else F.concat_ws(" ", *[_unquoted(fields[i]) for i in at]))
         out = F.when(width == n, value) if out is None else out.when(width == n, value)
-    return F.lit(None).cast("string") if out is None else F.nullif(F.trim(out), F.lit(""))
+    return F.lit(None).cast("string") if out is None else F.nullif(_unquoted(out), F.lit(""))
 
 
 def parse_lines(lines: DataFrame, generation="current", column="value") -> DataFrame:

@@ -8,13 +8,10 @@ from pyspark.sql import types as T
 def write_rollup(df: DataFrame, path, partitions=("level", "commodity")):
     """Replace just the (level, commodity) partitions that ``df`` holds.
 
-    Rows are spread by partition and month, not by partition alone, so that a
-    commodity with a third of the rows is written by many tasks.
+    Rows are rebalanced by partition before the write: small partitions end up in
+    one file each, and one with a third of the rows is split over many tasks.
     """
-    spread = [F.col(p) for p in partitions]
-    if "date" in df.columns:
-        spread.append(F.trunc("date", "MM"))
-    (df.repartition(*spread)
+    (df.hint("rebalance", *partitions)
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy(*partitions).parquet(path))
 

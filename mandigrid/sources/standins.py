@@ -12,29 +12,54 @@ def table(spark, sf_dir, name) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def places(spark, sf_dir) -> DataFrame:
-    """suppkey, market, district, state. Country and state tables never grow."""
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table with fewer splits than there are cores, dealt out to all cores.
+
+    For work that is heavy per row. Tables of any size have more splits than that
+    and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark, sf_dir, *columns) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
+def districts(spark, sf_dir) -> DataFrame:
+    """The 25 nations with their regions; these two tables have a fixed size."""
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
-    districts = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select(
+    return nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select(
         "n_nationkey", F.col("n_name").alias("district"), F.col("r_name").alias("state"))
-    supplier = table(spark, sf_dir, "supplier")
-    return supplier.join(
-        F.broadcast(districts), supplier.s_nationkey == districts.n_nationkey
-    ).select("s_suppkey", F.col("s_name").alias("market"), "district", "state")
+
+
+def _with_district(df, spark, sf_dir):
+    return df.join(F.broadcast(districts(spark, sf_dir)),
+                   F.col("s_nationkey") == F.col("n_nationkey"))
+
+
+def places(spark, sf_dir) -> DataFrame:
+    """suppkey, market, district, state."""
+    return _with_district(table(spark, sf_dir, "supplier"), spark, sf_dir).select(
+        "s_suppkey", F.col("s_name").alias("market"), "district", "state")
 
 
 def observations(spark, sf_dir) -> DataFrame:
     """One bulletin row per order line.
 
     The supplier and part sides grow with the data, so the way they are joined
-    is left to the optimizer.
+    is left to the optimizer. Each is joined as it is read, because the size of a
+    join is estimated far too high and would hide that a side is small.
     """
     lines = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part").select(
         "p_partkey", F.col("p_type").alias("commodity"), F.col("p_brand").alias("variety"))
-    joined = (lines.join(places(spark, sf_dir), lines.l_suppkey == F.col("s_suppkey"))
-              .join(part, lines.l_partkey == part.p_partkey))
+    supplier = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", "s_nationkey", F.col("s_name").alias("market"))
+    joined = _with_district(
+        lines.join(supplier, lines.l_suppkey == supplier.s_suppkey)
+        .join(part, lines.l_partkey == part.p_partkey), spark, sf_dir)
     price = F.when(F.col("l_tax") != 0.08, F.col("l_extendedprice") / F.col("l_quantity"))
     date = F.col("l_shipdate").cast("date")
     return joined.select(

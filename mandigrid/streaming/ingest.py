@@ -43,14 +43,14 @@ def refresh_rollups(arrivals: DataFrame, store, target, checkpoint):
     """
     def update(batch: DataFrame, number: int):
         spark = batch.sparkSession
-        (batch.withColumn("batch_no", F.lit(number)).repartition("date", "market")
+        (batch.withColumn("batch_no", F.lit(number)).hint("rebalance", "date")
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_no", "date").parquet(store))
         # the batch is read back instead of being computed twice
         stored = spark.read.parquet(store)
         touched = stored.filter(F.col("batch_no") == number).select("date").distinct()
         rows = stored.join(touched, "date", "left_semi").drop("batch_no")
-        (rollup_all_levels(rollup_varieties(rows)).write.mode("overwrite")
+        (rollup_all_levels(rollup_varieties(rows)).hint("rebalance", "date").write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(target))
 
     return (arrivals.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint)

@@ -102,8 +102,10 @@ NAMES = ["East Godavari", "Guntur", "Kota", "West Godavari", "Bundi", "Goa"]
 
 
 def find(rows, address):
-    df = rows([(address, NAMES)], "address string, districts array<string>")
-    return df.select(locate.district_of("address", "districts")).first()[0]
+    names = locate.unit_names(rows([("S", d, "") for d in NAMES],
+                                   "state string, district string, taluk string"))
+    df = rows([("S", address)], "state string, address string")
+    return locate.assign_districts(df, names, ["address"]).first().district
 
 
 def test_district_rules(rows):
