@@ -15,8 +15,7 @@ def col(c):
 
 
 def nan_as_null(c) -> Column:
-    c = col(c)
-    return F.when(~F.isnan(c), c)
+    return F.nanvl(col(c), F.lit(None).cast("double"))
 
 
 def marker_as_null(c, markers=MISSING_MARKERS) -> Column:

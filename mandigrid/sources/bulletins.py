@@ -16,13 +16,11 @@ _FIELD = r',(\s*"(?:[^"]|"")*"\s*|[^,]*)'
 
 
 def _fields(line):
-    """The raw fields of a line; lines without quotes are simply split."""
+    """The fields of a line; only lines with quotes take the slow way."""
     quoted = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), F.lit(1))
-    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ",", -1))
-
-
-def _unquoted(field):
-    return F.replace(F.btrim(field, F.lit('" ')), F.lit('""'), F.lit('"'))
+    unquoted = F.transform(quoted, lambda f: F.replace(
+        F.btrim(f, F.lit('" ')), F.lit('""'), F.lit('"')))
+    return F.when(F.contains(line, F.lit('"')), unquoted).otherwise(F.split(line, ",", -1))
 
 
 def _pick(name, layouts):
@@ -37,9 +35,9 @@ def _pick(name, layouts):
         if not at:
             continue
         value = (fields[at[0]] if len(at) == 1
-                 else F.concat_ws(" ", *[_unquoted(fields[i]) for i in at]))
+                 else F.concat_ws(" ", *[F.trim(fields[i]) for i in at]))
         out = F.when(width == n, value) if out is None else out.when(width == n, value)
-    return F.lit(None).cast("string") if out is None else F.nullif(_unquoted(out), F.lit(""))
+    return F.lit(None).cast("string") if out is None else out
 
 
 def parse_lines(lines: DataFrame, generation="current", column="value") -> DataFrame:
@@ -51,11 +49,11 @@ def parse_lines(lines: DataFrame, generation="current", column="value") -> DataF
     layouts = _LAYOUTS[generation]
     split = lines.select(_fields(F.col(column)).alias("_fields")).filter(
         F.size("_fields").isin(*layouts))
-    text = {name: _pick(name, layouts) for name in BULLETIN_TEXT}
+    date, *text = [(name, _pick(name, layouts)) for name in BULLETIN_TEXT]
     numbers = {name: number(_pick(name, layouts)) for name in BULLETIN_NUMBERS}
     return split.select(
-        bulletin_date(text.pop("date")).alias("date"),
-        *[c.alias(name) for name, c in text.items()],
+        bulletin_date(date[1]).alias("date"),
+        *[F.nullif(F.trim(c), F.lit("")).alias(name) for name, c in text],
         *[c.alias(name) for name, c in numbers.items()],
     )
 

@@ -45,14 +45,18 @@ def places(spark, sf_dir) -> DataFrame:
         "s_suppkey", F.col("s_name").alias("market"), "district", "state")
 
 
-def observations(spark, sf_dir) -> DataFrame:
-    """One bulletin row per order line.
+def observations(spark, sf_dir, heavy=False) -> DataFrame:
+    """One bulletin row per order line; ``heavy`` announces costly work per row.
 
     The supplier and part sides grow with the data, so the way they are joined
     is left to the optimizer. Each is joined as it is read, because the size of a
     join is estimated far too high and would hide that a side is small.
     """
-    lines = table(spark, sf_dir, "lineitem")
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        "l_shipdate")
+    if heavy:
+        lines = spread(lines)
     part = table(spark, sf_dir, "part").select(
         "p_partkey", F.col("p_type").alias("commodity"), F.col("p_brand").alias("variety"))
     supplier = table(spark, sf_dir, "supplier").select(
