@@ -6,7 +6,7 @@ from mandigrid.functions.similarity import fuzzy_match, ngram_similarity
 from mandigrid.functions.text import capwords, normalize_address
 from mandigrid.operators import locate, matching
 from mandigrid.queries.common import n, present, s
-from mandigrid.sources.standins import documents, places, spread, table
+from mandigrid.sources.standins import documents, spread, table, with_places
 
 
 
@@ -97,9 +97,8 @@ def district_from_taluk(spark, sf_dir):
 
 def address_district(spark, sf_dir):
     """Order lines as market addresses: spelt right, misspelt, or without 'Dist'."""
-    lines = spread(table(spark, sf_dir, "lineitem").select(
-        "l_suppkey", "l_partkey", "l_returnflag")).join(
-        places(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = with_places(spread(table(spark, sf_dir, "lineitem").select(
+        "l_suppkey", "l_partkey", "l_returnflag")), spark, sf_dir)
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     first, second = (F.element_at(F.split("p_name", " "), i) for i in (1, 2))
     wrong = F.concat_ws(" ", _damaged(first), _damaged(second))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from mandigrid.queries.common import LEVELS, d, n, present, s
 from mandigrid.session import shared_dir
-from mandigrid.sources.standins import places, table
-from mandigrid.streaming.ingest import append_stream, ingest, refresh_rollups, without_repeats
+from mandigrid.sources.standins import table, with_places
+from mandigrid.streaming.ingest import append_new, ingest, refresh_rollups
 
 
 def _stream(spark, sf_dir, name) -> DataFrame:
@@ -27,10 +27,10 @@ def stream_ingest(spark, sf_dir):
         F.when(F.col("event_type") == "view", "Soanf").otherwise(F.col("event_type"))
         .alias("commodity"), F.lit("Other").alias("variety"))
     clean = ingest(rows)
-    once = without_repeats(clean, ["date", "state", "market", "commodity", "variety"])
     base = shared_dir(spark, "ingest")
-    append_stream(once, f"{base}/rows", f"{base}/state").awaitTermination()
-    return present(spark.read.parquet(f"{base}/rows"))
+    key = ["date", "state", "market", "commodity", "variety"]
+    append_new(clean, f"{base}/rows", key, f"{base}/state").awaitTermination()
+    return present(spark.read.parquet(f"{base}/rows").drop("batch_no"))
 
 
 def stream_rollup(spark, sf_dir):
@@ -38,7 +38,7 @@ def stream_rollup(spark, sf_dir):
     lines = _stream(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part").select(
         "p_partkey", F.col("p_type").alias("commodity"), F.col("p_brand").alias("variety"))
-    rows = (lines.join(places(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = (with_places(lines, spark, sf_dir)
             .join(part, F.col("l_partkey") == F.col("p_partkey"))).select(
         F.trunc(F.col("l_shipdate").cast("date"), "MM").alias("date"), "state", "district",
         "market", F.when(F.col("commodity").isin("ECONOMY", "STANDARD"), "BASIC")

@@ -11,8 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    # collect_set keeps hashing instead of falling back to a sort after 128 groups
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",
+    # collect_set keeps hashing instead of falling back to a sort after 128 groups per task
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000",
 }
 
 

@@ -12,6 +12,18 @@ def table(spark, sf_dir, name) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_places(lines: DataFrame, spark, sf_dir) -> DataFrame:
+    """Order lines with market, district and state.
+
+    The supplier table is joined as it is read: the estimated size of a join is far
+    too high and would hide from the optimizer that this side is small.
+    """
+    supplier = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", "s_nationkey", F.col("s_name").alias("market"))
+    return _with_district(lines.join(supplier, lines.l_suppkey == supplier.s_suppkey),
+                          spark, sf_dir)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a table with fewer splits than there are cores, dealt out to all cores.
 
@@ -49,8 +61,7 @@ def observations(spark, sf_dir, heavy=False) -> DataFrame:
     """One bulletin row per order line; ``heavy`` announces costly work per row.
 
     The supplier and part sides grow with the data, so the way they are joined
-    is left to the optimizer. Each is joined as it is read, because the size of a
-    join is estimated far too high and would hide that a side is small.
+    is left to the optimizer.
     """
     lines = table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
@@ -59,11 +70,7 @@ def observations(spark, sf_dir, heavy=False) -> DataFrame:
         lines = spread(lines)
     part = table(spark, sf_dir, "part").select(
         "p_partkey", F.col("p_type").alias("commodity"), F.col("p_brand").alias("variety"))
-    supplier = table(spark, sf_dir, "supplier").select(
-        "s_suppkey", "s_nationkey", F.col("s_name").alias("market"))
-    joined = _with_district(
-        lines.join(supplier, lines.l_suppkey == supplier.s_suppkey)
-        .join(part, lines.l_partkey == part.p_partkey), spark, sf_dir)
+    joined = with_places(lines, spark, sf_dir).join(part, lines.l_partkey == part.p_partkey)
     price = F.when(F.col("l_tax") != 0.08, F.col("l_extendedprice") / F.col("l_quantity"))
     date = F.col("l_shipdate").cast("date")
     return joined.select(

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from mandigrid.operators.relational import keep_one
 from mandigrid.operators.rollup import rollup_all_levels, rollup_varieties
 from mandigrid.plans.bulletins import clean_bulletins, integrate_bulletins
 
@@ -15,14 +16,42 @@ def ingest(bulletins: DataFrame, locations: DataFrame = None) -> DataFrame:
 
 
 def without_repeats(rows: DataFrame, key, lateness="30 days", date="date") -> DataFrame:
-    """First row per key; keys are remembered for as long as rows may arrive late.
+    """First row per key, with state bounded by how late rows may arrive.
 
-    A DATE column cannot carry a watermark, so a timestamp copy of it does.
+    For sinks that cannot be read back; ``append_new`` has no such limit. A DATE
+    column cannot carry a watermark, so a timestamp copy of it does.
     """
     timed = rows.withColumn("_at", F.col(date).cast("timestamp")).withWatermark("_at", lateness)
     return timed.dropDuplicatesWithinWatermark(list(key)).drop("_at")
 
 
+def append_new(arrivals: DataFrame, store, key, checkpoint):
+    """Append the rows whose key is not stored yet, however late they arrive.
+
+    What is stored is the memory: the stream keeps no state and drops nothing. A
+    micro-batch reads the keys of just the dates it brings. A batch that is replayed
+    after a failure does not see, and replaces, what it wrote before.
+    """
+    key = list(key)
+
+    def add(batch: DataFrame, number: int):
+        spark = batch.sparkSession
+        fresh = keep_one(batch, key)
+        if number > 0:
+            stored = spark.read.parquet(store).filter(F.col("batch_no") != number)
+            dates = batch.select("date").distinct()
+            known = stored.join(dates, "date", "left_semi").select(
+                *[F.col(k).alias(f"_{k}") for k in key])
+            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+            fresh = fresh.join(known, same, "left_anti")
+        (fresh.withColumn("batch_no", F.lit(number)).hint("rebalance", "date")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_no", "date").parquet(store))
+
+    return (arrivals.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 def append_stream(rows: DataFrame, path, checkpoint, partitions=()):
     """Write everything that has arrived, then stop; restartable from the checkpoint."""
     writer = (rows.writeStream.format("parquet").outputMode("append")

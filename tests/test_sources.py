@@ -6,7 +6,9 @@ from mandigrid.fixed_values import REPORT_HEADINGS
 from mandigrid.sources import bulletins, dimensions, sinks
 from mandigrid.plans.reference_tables import clean_census
 from mandigrid.operators.reference_data import census_by_unit
-from mandigrid.streaming.ingest import append_stream, ingest, without_repeats
+from mandigrid.streaming.ingest import (
+    append_new, append_stream, ingest, refresh_rollups, without_repeats,
+)
 
 LINES = [
     "04/04/2012,Kerala,Manjeri,Beverages,Coffee,Other,1.0,100,200,140",
@@ -151,3 +153,43 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = without_repeats(ingest(bulletins.stream_bulletins(spark, str(inbox)), locations), key)
     append_stream(stream, out, state).awaitTermination()
     assert spark.read.parquet(out).count() == batch.count() + 1
+
+
+def test_append_new_keeps_late_rows_and_drops_repeats(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    (inbox / "1.csv").write_text(LINES[3] + "\n")
+    store, state = str(tmp_path / "store"), str(tmp_path / "state")
+    key = ["date", "state", "market", "commodity", "variety", "grade"]
+
+    def run():
+        rows = ingest(bulletins.stream_bulletins(spark, str(inbox), files_per_batch=1))
+        append_new(rows, store, key, state).awaitTermination()
+        return spark.read.parquet(store)
+
+    assert run().count() == 1
+    years_late = LINES[0].replace("2012", "2002")
+    (inbox / "2.csv").write_text("\n".join([LINES[3], years_late, years_late]) + "\n")
+    assert sorted(str(r.date) for r in run().collect()) == ["2002-04-04", "2012-04-05"]
+
+
+def test_refreshed_rollups_equal_those_of_one_batch(spark, tmp_path):
+    """Rows of one month that arrive in two files end in one roll-up row."""
+    schema = ("date date, state string, district string, market string, category string,"
+              " commodity string, variety string, modal_price double, tonnage double")
+    files = [[("2015-04-01", "S", "D", "M", "c", "Rice", "v", 10.0, 1.0),
+              ("2015-05-01", "S", "D", "M", "c", "Rice", "v", 30.0, 1.0)],
+             [("2015-04-01", "S", "D", "N", "c", "Rice", "v", 20.0, 3.0)]]
+    inbox, target = str(tmp_path / "in"), str(tmp_path / "target")
+    for rows in files:
+        df = spark.createDataFrame(rows, schema.replace("date date", "date string"))
+        (df.withColumn("date", F.to_date("date")).coalesce(1).write.mode("append")
+         .parquet(inbox))
+        stream = spark.readStream.schema(schema).parquet(inbox)
+        refresh_rollups(stream, str(tmp_path / "store"), target,
+                        str(tmp_path / "state")).awaitTermination()
+    got = {(r.level, str(r.date)): (r.price, r.tonnage, r.contrib)
+           for r in spark.read.parquet(target).collect()}
+    april, may = (17.5, 4.0, 2), (30.0, 1.0, 1)
+    assert got == {(level, day): value for level in ("district", "state", "india")
+                   for day, value in (("2015-04-01", april), ("2015-05-01", may))}
