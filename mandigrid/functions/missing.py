@@ -35,8 +35,7 @@ def zero_as_null(c) -> Column:
 
 def has_tonnage(c="tonnage") -> Column:
     """Tonnage was reported and is not zero."""
-    c = nan_as_null(c)
-    return c.isNotNull() & (c != 0)
+    return F.coalesce(nan_as_null(c), F.lit(0.0)) != 0
 
 
 def count_missing(c) -> Column:

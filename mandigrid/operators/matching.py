@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from mandigrid.functions.missing import col
 from mandigrid.functions.similarity import ngram_similarity
-from mandigrid.session import shared_dir
+from mandigrid.session import materialise, shared_dir
 
 
 _MAX_STRUCK = 3
@@ -240,8 +240,9 @@ def canonical_spelling(df: DataFrame, name, block, k=2) -> DataFrame:
     Ties go to the first name in order.
     """
     block = list(block)
-    counts = df.filter(F.col(name).isNotNull()).groupBy(*block, name).agg(
-        F.count(F.lit(1)).alias("n"))
+    # the names are far fewer than the rows, and are read three times below
+    counts = materialise(df.filter(F.col(name).isNotNull()).groupBy(*block, name).agg(
+        F.count(F.lit(1)).alias("n")), "spellings")
     pairs = near_pairs(counts, counts, name, name, k, block, fold=False)
     voted = pairs.join(counts.withColumnRenamed(name, "right_name"), [*block, "right_name"])
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col("right_name"))).alias("_r")

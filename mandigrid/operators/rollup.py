@@ -2,6 +2,9 @@
 
 Prices of units are weighted by tonnage. Each level is computed from the partial
 sums of the level below, so only market rows are ever shuffled at full size.
+
+A commodity has one category and a market one taluk. Both are grouping keys here
+and not text aggregates, so that these steps run as hash aggregates on numbers.
 """
 
 from pyspark.sql import DataFrame, functions as F
@@ -14,7 +17,7 @@ LEVEL_KEYS = {
     "state": ["state"],
     "india": [],
 }
-_MARKET = ["date", "state", "district", "market", "commodity"]
+_MARKET = ["date", "state", "district", "market", "commodity", "taluk", "category"]
 
 
 def rollup_varieties(obs: DataFrame, mode="mean") -> DataFrame:
@@ -27,7 +30,7 @@ def rollup_varieties(obs: DataFrame, mode="mean") -> DataFrame:
     reaches the step that gathers the variety names.
     """
     obs = _with(obs, taluk=None)
-    by_variety = obs.groupBy(*_MARKET, "taluk", "category", "variety").agg(
+    by_variety = obs.groupBy(*_MARKET, "variety").agg(
         F.sum("modal_price").alias("p_sum"),
         F.count("modal_price").alias("p_n"),
         F.max("tonnage").alias("tonnage"),
@@ -37,8 +40,6 @@ def rollup_varieties(obs: DataFrame, mode="mean") -> DataFrame:
     price = (F.try_divide(F.sum("p_sum"), F.sum("p_n")) if mode == "mean"
              else F.try_divide(F.sum("pt_sum"), F.max("tonnage")))
     return by_variety.groupBy(*_MARKET).agg(
-        F.min("taluk").alias("taluk"),
-        F.min("category").alias("category"),
         price.alias("price"),
         F.max("tonnage").alias("tonnage"),
         F.sort_array(F.collect_set("variety")).alias("varieties"),
@@ -51,11 +52,7 @@ def _with(df, **defaults):
 
 
 def district_partials(market_rows: DataFrame) -> DataFrame:
-    """Sums that every higher level can be built from, at district grain.
-
-    All buffers are numbers (the category is a key here), so this step, which sees
-    every market row, runs as a hash aggregate.
-    """
+    """Sums that every higher level can be built from, at district grain."""
     priced = F.col("price").isNotNull()
     return market_rows.filter(has_tonnage("tonnage")).groupBy(
         "date", "state", "district", "commodity", "category"
@@ -77,7 +74,6 @@ def _price(missing_price):
 
 def _measures(missing_price):
     return [
-        F.min("category").alias("category"),
         _price(missing_price).alias("price"),
         F.sum("tonnage").alias("tonnage"),
         F.sum("contrib").alias("contrib"),
@@ -97,8 +93,8 @@ def rollup_level(market_rows: DataFrame, level, missing_price="exclude") -> Data
         names.append(F.sort_array(F.collect_set("district")).alias("districts"))
     if level == "india":
         names.append(F.sort_array(F.collect_set("state")).alias("states"))
-    return district_partials(market_rows).groupBy("date", *LEVEL_KEYS[level], "commodity").agg(
-        *_measures(missing_price), *names)
+    keys = ["date", *LEVEL_KEYS[level], "commodity", "category"]
+    return district_partials(market_rows).groupBy(*keys).agg(*_measures(missing_price), *names)
 
 
 def rollup_all_levels(market_rows: DataFrame, missing_price="exclude") -> DataFrame:
@@ -106,10 +102,9 @@ def rollup_all_levels(market_rows: DataFrame, missing_price="exclude") -> DataFr
 
     Grouping sets are expanded over district rows, not over market rows.
     """
+    fixed = ["date", "commodity", "category"]
     grouped = district_partials(market_rows).groupingSets(
-        [["date", "commodity", "state", "district"], ["date", "commodity", "state"],
-         ["date", "commodity"]],
-        "date", "commodity", "state", "district",
+        [[*fixed, "state", "district"], [*fixed, "state"], fixed], *fixed, "state", "district",
     ).agg(F.grouping_id().alias("_level"), *_measures(missing_price))
     level = (F.when(F.col("_level") == 0, "district")
              .when(F.col("_level") == 1, "state").otherwise("india"))
