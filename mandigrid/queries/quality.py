@@ -181,8 +181,10 @@ def _coverage_sql(*keys):
 
 def _fixed_coverage_sql(*keys):
     cols = ", ".join(keys)
+    first, last = f"DATE '{START}'", f"DATE '{END}'"
+    days = f"count(DISTINCT CASE WHEN date BETWEEN {first} AND {last} THEN date END)"
     return f"""WITH {OBS}
-SELECT {cols}, {s(f"count(DISTINCT CASE WHEN date BETWEEN DATE '{START}' AND DATE '{END}' THEN date END) * 100.0 / (DATE '{END}' - DATE '{START}' + 1)")} AS coverage
+SELECT {cols}, {s(f"{days} * 100.0 / ({last} - {first} + 1)")} AS coverage
 FROM obs GROUP BY {cols}"""
 
 

@@ -1,6 +1,6 @@
 """Arriving day files: clean, locate, drop repeats, append; and refresh roll-ups."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from mandigrid.operators.relational import keep_one
 from mandigrid.operators.rollup import rollup_all_levels, rollup_varieties
@@ -25,6 +25,12 @@ def without_repeats(rows: DataFrame, key, lateness="30 days", date="date") -> Da
     return timed.dropDuplicatesWithinWatermark(list(key)).drop("_at")
 
 
+def _stored(batch: DataFrame, store) -> DataFrame:
+    """All rows kept so far; the schema is given, as the first batches may be empty."""
+    schema = T.StructType([*batch.schema.fields, T.StructField("batch_no", T.IntegerType())])
+    return batch.sparkSession.read.schema(schema).parquet(store)
+
+
 def append_new(arrivals: DataFrame, store, key, checkpoint):
     """Append the rows whose key is not stored yet, however late they arrive.
 
@@ -35,10 +41,9 @@ def append_new(arrivals: DataFrame, store, key, checkpoint):
     key = list(key)
 
     def add(batch: DataFrame, number: int):
-        spark = batch.sparkSession
         fresh = keep_one(batch, key)
         if number > 0:
-            stored = spark.read.parquet(store).filter(F.col("batch_no") != number)
+            stored = _stored(batch, store).filter(F.col("batch_no") != number)
             dates = batch.select("date").distinct()
             known = stored.join(dates, "date", "left_semi").select(
                 *[F.col(k).alias(f"_{k}") for k in key])
@@ -71,12 +76,11 @@ def refresh_rollups(arrivals: DataFrame, store, target, checkpoint):
     failure, and the stream itself keeps no aggregation state.
     """
     def update(batch: DataFrame, number: int):
-        spark = batch.sparkSession
         (batch.withColumn("batch_no", F.lit(number)).hint("rebalance", "date")
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_no", "date").parquet(store))
         # the batch is read back instead of being computed twice
-        stored = spark.read.parquet(store)
+        stored = _stored(batch, store)
         touched = stored.filter(F.col("batch_no") == number).select("date").distinct()
         rows = stored.join(touched, "date", "left_semi").drop("batch_no")
         (rollup_all_levels(rollup_varieties(rows)).hint("rebalance", "date").write.mode("overwrite")

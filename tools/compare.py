@@ -13,7 +13,6 @@ import duckdb
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from mandigrid.session import build_session  # noqa: E402
-from mandigrid.sources.standins import table  # noqa: E402,F401
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings"
           " pages benchmark labels conversations").split()
