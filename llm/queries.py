@@ -1,7 +1,7 @@
 """The registered queries of the operators, with SQL twins where SQL can express them."""
 
 import public_tokenizers
-from llm import bpe
+from llm import bpe, mixing, token_counts
 from llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -13,6 +13,18 @@ def op1_bpe(spark, sf_dir):
                              ("n_tokens", "ids_sha256", "decoded_sha256"), keep=["doc_id"])
 
 
+def op3_mixing(spark, sf_dir):
+    """How often the mix takes each of ``documents``."""
+    return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op9_token_counts(spark, sf_dir):
+    """Tokens of every text of ``documents``."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 QUERIES = {
     "op1_bpe": (op1_bpe, None),
+    "op3_mixing": (op3_mixing, mixing.SQL),
+    "op9_token_counts": (op9_token_counts, None),
 }
