@@ -1,8 +1,10 @@
 """The registered queries of the operators, with SQL twins where SQL can express them."""
 
 import public_tokenizers
-from llm import bpe, mixing, token_counts
-from llm.common import table
+from pyspark.sql import functions as F
+
+from llm import bpe, mixing, quality_rules, token_counts, toxicity
+from llm.common import fold_of, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -18,13 +20,30 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op7_quality_rules(spark, sf_dir):
+    """Base rules and the trees' verdict on every text of ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    trees = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.apply_rules(docs, trees, keep=["doc_id"])
+
+
 def op9_token_counts(spark, sf_dir):
     """Tokens of every text of ``documents``."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op10_toxicity(spark, sf_dir):
+    """Toxicity of every text of ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_bpe": (op1_bpe, None),
     "op3_mixing": (op3_mixing, mixing.SQL),
+    "op7_quality_rules": (op7_quality_rules, None),
     "op9_token_counts": (op9_token_counts, None),
+    "op10_toxicity": (op10_toxicity, None),
 }
