@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from llm import bpe, mixing, quality_rules, token_counts, toxicity
+from llm import bpe, jaccard, mixing, quality_rules, token_counts, toxicity
 from llm.common import fold_of, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -15,6 +15,11 @@ def op1_bpe(spark, sf_dir):
                              ("n_tokens", "ids_sha256", "decoded_sha256"), keep=["doc_id"])
 
 
+def op2_jaccard(spark, sf_dir):
+    """Classes of ``documents`` whose word 5-gram sets overlap by 80 of 100."""
+    return jaccard.join_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark, sf_dir):
     """How often the mix takes each of ``documents``."""
     return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -42,6 +47,7 @@ def op10_toxicity(spark, sf_dir):
 
 QUERIES = {
     "op1_bpe": (op1_bpe, None),
+    "op2_jaccard": (op2_jaccard, jaccard.SQL),
     "op3_mixing": (op3_mixing, mixing.SQL),
     "op7_quality_rules": (op7_quality_rules, None),
     "op9_token_counts": (op9_token_counts, None),
