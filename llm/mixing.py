@@ -57,9 +57,9 @@ def targets(sized: DataFrame, weights=(3, 1, 2), share=(3, 2), most=2) -> DataFr
     return flagged.select("key", "source_size", target.alias("target"))
 
 
-def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
+def thresholds(sized: DataFrame, wanted: DataFrame, beside=F.broadcast) -> DataFrame:
     """``wanted`` (targets) with ``whole`` passes and the hash ``below`` which documents get
-    one pass more (null: all of them).
+    one pass more (null: all of them). ``beside`` says how a row a source is joined.
 
     One histogram of sizes by source and the leading bits of the hash finds the bucket in
     which the budget runs out; each further one looks into this bucket alone. What is left in
@@ -70,7 +70,7 @@ def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
     at = passes.select("key", (F.col("target") - F.col("whole") * F.col("source_size")).alias("left"),
                        F.lit(0).cast("long").alias("bucket"))
     for low in range(HASH_BITS - STEP_BITS, -1, -STEP_BITS):
-        inside = sized.withColumn("bucket", F.shiftright("hash", low + STEP_BITS)).join(at.drop("size"), ["key", "bucket"])
+        inside = sized.withColumn("bucket", F.shiftright("hash", low + STEP_BITS)).join(beside(at.drop("size")), ["key", "bucket"])
         cells = inside.groupBy("key", "left", F.shiftright("hash", low).alias("cell")).agg(F.sum("size").alias("size"))
         so_far = F.sum("size").over(Window.partitionBy("key").orderBy("cell"))
         first = F.min(F.struct("cell", (F.col("left") - F.col("so_far") + F.col("size")).alias("left"), "size"))
@@ -95,10 +95,10 @@ def mix(docs: DataFrame, keep=None, weights=(3, 1, 2), share=(3, 2), most=2) ->
            "__hash": document_hash(column("doc_id"), column("text"))}
     names = [F.col(x).alias(x.strip("_")) for x in own]
     sized = materialise(docs.select(*[v.alias(k) for k, v in own.items()]).select(*names), "mix-sizes")
-    cuts = materialise(thresholds(sized, targets(sized, weights, share, most)), "mix-thresholds")
-    cuts = cuts.select(*[F.col(c).alias(f"__{c}") for c in cuts.columns])
-    if cuts.count() <= BROADCAST_SOURCES:
-        cuts = F.broadcast(cuts)
+    wanted = materialise(targets(sized, weights, share, most), "mix-targets")
+    beside = F.broadcast if wanted.count() <= BROADCAST_SOURCES else lambda df: df
+    cuts = materialise(thresholds(sized, wanted, beside), "mix-thresholds")
+    cuts = beside(cuts.select(*[F.col(c).alias(f"__{c}") for c in cuts.columns]))
     rows = docs.select(*[column(c) for c in keep], *[v.alias(k) for k, v in own.items()]).join(cuts, "__key")
     extra = F.coalesce(F.col("__hash") < F.col("__below"), F.lit(True)) & (F.col("__whole") < most)
     return rows.select(*[F.col(f"`{c}`") for c in keep], F.col("__size").alias("size"),
