@@ -2,6 +2,7 @@
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +62,14 @@ def per_row(df: DataFrame, inputs: list[str], outputs: str, make: Callable, keep
 def fold_of(doc_id, folds: int):
     """crc32 of the id as text, modulo ``folds``; a null id falls into fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
+
+
+def packed(values: np.ndarray, width: int = 4) -> bytes:
+    """Unsigned numbers of ``width`` bytes: the first bytes of all, the second ones, and so on, compressed."""
+    planes = np.ascontiguousarray(values, f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, size: int, width: int = 4) -> np.ndarray:
+    raw = pa.decompress(data, decompressed_size=width * size, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint8).reshape(width, size).T.copy().view(f"<u{width}").ravel()

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from llm import bpe, jaccard, mixing, quality_rules, token_counts, toxicity
+from llm import bpe, jaccard, language_model, mixing, quality_rules, token_counts, toxicity
 from llm.common import fold_of, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -25,6 +25,15 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op5_language_model(spark, sf_dir):
+    """Model and base scores of every text of ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    fold = fold_of(F.col("doc_id"), 5)
+    kind = (F.when(fold == 1, language_model.SCORED).when(fold == 4, language_model.HELD).otherwise(language_model.COUNTED))
+    scored = language_model.score(docs, kind)
+    return scored.select("doc_id", (fold == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_quality_rules(spark, sf_dir):
     """Base rules and the trees' verdict on every text of ``documents``."""
     docs = table(spark, sf_dir, "documents")
@@ -49,6 +58,7 @@ QUERIES = {
     "op1_bpe": (op1_bpe, None),
     "op2_jaccard": (op2_jaccard, jaccard.SQL),
     "op3_mixing": (op3_mixing, mixing.SQL),
+    "op5_language_model": (op5_language_model, None),
     "op7_quality_rules": (op7_quality_rules, None),
     "op9_token_counts": (op9_token_counts, None),
     "op10_toxicity": (op10_toxicity, None),

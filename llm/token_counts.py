@@ -12,23 +12,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from llm.bpe import Bpe, loaded, shipped
+from llm.common import packed, unpacked
 from mandigrid.session import materialise
 
 # Bytes of text in a chunk, whose distinct pre-tokens are looked up together.
 CHUNK_BYTES = 32 << 20
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Unsigned numbers, byte by byte of all numbers, compressed."""
-    planes = np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4).T
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def unpacked(data: bytes, size: int) -> np.ndarray:
-    raw = pa.decompress(data, decompressed_size=4 * size, codec="zstd", asbytes=True)
-    return np.frombuffer(raw, np.uint8).reshape(4, size).T.copy().view("<u4").ravel()
-
-
 class Chunk:
     """Documents with their pre-token frequencies; pre-tokens are numbered as they come."""
 
