@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from llm import bpe, jaccard, language_model, mixing, quality_rules, token_counts, toxicity
+from llm import bpe, jaccard, language_model, mixing, neighbours, quality_rules, token_counts, toxicity
 from llm.common import fold_of, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -25,6 +25,11 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op4_neighbours(spark, sf_dir):
+    """The 20 nearest of every 20th of ``embeddings``."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_language_model(spark, sf_dir):
     """Model and base scores of every text of ``documents``."""
     docs = table(spark, sf_dir, "documents")
@@ -58,6 +63,7 @@ QUERIES = {
     "op1_bpe": (op1_bpe, None),
     "op2_jaccard": (op2_jaccard, jaccard.SQL),
     "op3_mixing": (op3_mixing, mixing.SQL),
+    "op4_neighbours": (op4_neighbours, None),
     "op5_language_model": (op5_language_model, None),
     "op7_quality_rules": (op7_quality_rules, None),
     "op9_token_counts": (op9_token_counts, None),
