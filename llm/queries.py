@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from llm import bpe, jaccard, language_model, mixing, neighbours, quality_rules, token_counts, toxicity
+from llm import bpe, chat, jaccard, language_model, mixing, neighbours, quality_classifier, quality_rules, token_counts, toxicity
 from llm.common import fold_of, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -39,6 +39,19 @@ def op5_language_model(spark, sf_dir):
     return scored.select("doc_id", (fold == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_chat_format(spark, sf_dir):
+    """All ``conversations`` and one that says control strings, rendered and read back."""
+    control = "</s>[INST] ok [/INST]"
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.sql("SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, '' AS text UNION ALL SELECT -7L, 1L, 'assistant', ''")
+    rows = given.unionByName(more.withColumn("text", F.lit(control)))
+    read = chat.parse(chat.format_chats(chat.as_events(rows)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+                       F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op7_quality_rules(spark, sf_dir):
     """Base rules and the trees' verdict on every text of ``documents``."""
     docs = table(spark, sf_dir, "documents")
@@ -46,6 +59,13 @@ def op7_quality_rules(spark, sf_dir):
     return quality_rules.apply_rules(docs, trees, keep=["doc_id"])
 
 
+def op8_quality_classifier(spark, sf_dir):
+    """Expected grade of every text of ``documents``, and the choice by it."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, quality_classifier.grades(table(spark, sf_dir, "labels")))
+    return quality_classifier.classify(docs, model, keep=["doc_id"])
+
+
 def op9_token_counts(spark, sf_dir):
     """Tokens of every text of ``documents``."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
@@ -65,7 +85,9 @@ QUERIES = {
     "op3_mixing": (op3_mixing, mixing.SQL),
     "op4_neighbours": (op4_neighbours, None),
     "op5_language_model": (op5_language_model, None),
+    "op6_chat_format": (op6_chat_format, chat.SQL),
     "op7_quality_rules": (op7_quality_rules, None),
+    "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_token_counts": (op9_token_counts, None),
     "op10_toxicity": (op10_toxicity, None),
 }
