@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from llm import bpe, jaccard, mixing, quality_rules, toxicity
 from llm.common import table
 from llm.queries import TOKENIZER
-from mandigrid.session import shared_dir
+from mandigrid.session import materialise, shared_dir
 
 
 def quality_stage(spark, docs, sf_dir):
@@ -29,7 +29,7 @@ def duplicates_stage(spark, docs, sf_dir):
     id, the first by text, source and language. Documents without words or id stay."""
     classes = jaccard.join_classes(docs)
     gone = classes.where("n_shingles > 0 AND component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = docs.join(jaccard.small(materialise(gone, "pipeline-copies")), "doc_id", "left_anti")
     repeated = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
