@@ -40,7 +40,8 @@ def fold(events: DataFrame) -> DataFrame:
     ``events`` has conv_id, seq, turn, role, kind and text. By ``seq``, a message or edit sets
     the text of its turn, a delta adds to it, and a regeneration empties it (its text, if any,
     starts the new one) and voids the messages of later turns that were logged before it. The
-    role is the last one given. Equal seqs are taken in the order of kind and text. Null texts
+    role is the last one given. Equal seqs are taken in the order of kind and text, and an event that is
+    repeated as a whole counts once. Null texts
     are empty; unknown kinds count as whole messages; a null conv_id or turn is a value like
     others.
 
@@ -54,7 +55,7 @@ def fold(events: DataFrame) -> DataFrame:
     restart = F.when(F.col("event.kind") == REGENERATE, F.col("event.seq"))
     rows = rows.withColumn("set", F.max(sets).over(turn)).withColumn("restart", F.max(restart).over(turn))
     live = rows.withColumn("piece", F.when(F.col("set").isNull() | (F.col("event") >= F.col("set")), F.col("event")))
-    texts = F.transform(F.array_sort(F.collect_list("piece")), lambda e: e["text"])
+    texts = F.transform(F.array_sort(F.collect_set("piece")), lambda e: e["text"])
     messages = live.groupBy("conv_id", "turn").agg(
         F.max_by("role", "event").alias("role"), F.array_join(texts, "").alias("text"),
         F.max("event.seq").alias("last"), F.max("restart").alias("restart"))

@@ -15,29 +15,32 @@ from mandigrid.session import materialise
 # Entries of the list of frequent n-grams, which go last in the global order. Any such list
 # gives the same links; it only keeps shared passages out of the prefixes.
 FREQUENT = 200_000
-# Rounds in which a document meets others by one n-gram, before what is left is joined in full.
-ROUNDS = 2
+# First n-grams by which near copies are brought together before all of a prefix is looked at,
+# and rounds of that.
+FIRST, ROUNDS = 4, 2
 # Sets that one prefix tree holds; larger blocks are several trees.
 TREE_SETS = 512
 # Ids or n-grams that may be broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 # Word hashes that a worker remembers.
 REMEMBERED = 500_000
 
-_HASHES: dict[bytes, int] = {}
+
+class Hashes(dict):
+    """64-bit hash of each word, found on first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return value
+
+
+_HASHES = Hashes()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     if len(_HASHES) > REMEMBERED:
         _HASHES.clear()
-    known = _HASHES.get
-    out = np.empty(len(words), np.uint64)
-    for i, word in enumerate(words):
-        value = known(word)
-        if value is None:
-            value = _HASHES[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        out[i] = value
-    return out
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
 def shingles(words: list[bytes], n: int) -> np.ndarray:
@@ -240,6 +243,11 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("class")).union(roots)
 
 
+def of_class(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """``nodes`` with their class; a node without one is its own."""
+    return nodes.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+
+
 def join_classes(docs: DataFrame, n=5, percent=80) -> DataFrame:
     """doc_id, n_shingles, component_id of each document.
 
@@ -248,11 +256,12 @@ def join_classes(docs: DataFrame, n=5, percent=80) -> DataFrame:
     join is exact: linked sets share an n-gram among their first (frequent n-grams last), so
 
     1. copies are one node, and each node gives out its prefix n-grams;
-    2. in each of ROUNDS, a node whose n-grams also occur in other classes goes to the block
-       of one of these, in which a prefix tree of the whole sets finds the links; classes
-       are joined after each;
-    3. n-grams that still stand in several classes give pairs of nodes of different classes,
-       pruned by size and place, which prefix trees check, a tree for each node's partners.
+    2. in ROUNDS by the FIRST of them, and then in one by all, a node whose n-grams also occur
+       in other classes goes to the block of one of these, in which a prefix tree of the
+       whole sets finds the links; classes are joined after each, so that few n-grams are
+       left that stand in several;
+    3. those give pairs of nodes of different classes, pruned by size and place, which prefix
+       trees check, a tree for each node's partners.
 
     No group is expanded into pairs of the same class, so large groups of copies or near
     copies cost one look a member and round. Ids are whole numbers; rows with the same id
@@ -268,36 +277,39 @@ def join_classes(docs: DataFrame, n=5, percent=80) -> DataFrame:
     copy_of = materialise(full.select("doc_id", "set_key").join(copies, "set_key").where("doc_id <> node")
                           .select("doc_id", "node").distinct(), "jaccard-copies")
     nodes = full.join(small(copy_of.select("doc_id")), "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "n_shingles", "prefix")
-    grams = nodes.select("node", "n_shingles", F.posexplode("prefix").alias("place", "gram")).withColumn("class", F.col("node"))
+    classes = None
     links = [copy_of.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))]
 
+    def exploded(prefix):
+        named = nodes.withColumn("class", F.col("node")) if classes is None else of_class(nodes, classes)
+        return named.select("node", "class", "n_shingles", F.posexplode(prefix).alias("place", "gram"))
+
     def shared(grams):
         """Rows whose n-gram stands in several classes."""
         several = grams.groupBy("gram").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("gram")
         return materialise(grams.join(small(materialise(several, "jaccard-shared")), "gram", "left_semi"), "jaccard-grams")
 
-    def relabelled(grams, edges):
-        """``grams`` with the classes that ``edges`` between classes lead to."""
-        found = materialise(components(edges), "jaccard-classes").select(F.col("node").alias("class"), F.col("class").alias("joined"))
-        return grams.join(found, "class", "left").withColumn("class", F.coalesce("joined", "class")).drop("joined")
-
-    for number in range(ROUNDS):
-        grams = shared(grams)
+    def meet(grams, number):
+        """Links found in blocks by one n-gram of each node, and the classes they lead to."""
         pick = F.min_by("gram", F.xxhash64("gram", F.lit(number))).alias("gram")
-        meet = grams.groupBy("node", "class").agg(pick)
-        groups = meet.groupBy("gram").agg(F.count("*").alias("n"))
+        met = grams.groupBy("node", "class").agg(pick)
+        groups = met.groupBy("gram").agg(F.count("*").alias("n"))
         trees = F.ceil(F.col("n") / TREE_SETS)
-        meet = (meet.join(groups.where("n > 1"), "gram")
-                .withColumn("block", F.xxhash64("gram", F.pmod(F.xxhash64("node", F.lit(number)), trees))))
-        meet = materialise(meet.select("block", "node", "class"), "jaccard-blocks")
-        sets = sets_of(docs, meet.select("node"), n, frequent)
-        edges = materialise(block_links(meet.join(sets, "node"), percent), "jaccard-links")
-        links.append(edges)
-        labels = grams.select("node", "class").distinct()
-        a, b = (labels.select(F.col("node").alias(c), F.col("class").alias(f"c{c}")) for c in "ab")
-        grams = relabelled(grams, edges.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-
-    grams = shared(grams)
+        met = (met.join(groups.where("n > 1"), "gram")
+               .withColumn("block", F.xxhash64("gram", F.pmod(F.xxhash64("node", F.lit(number)), trees))))
+        met = materialise(met.select("block", "node", "class"), "jaccard-blocks")
+        sets = sets_of(docs, met.select("node"), n, frequent)
+        links.append(materialise(block_links(met.join(sets, "node"), percent), "jaccard-links"))
+        edges = links[1]
+        for more in links[2:]:
+            edges = edges.union(more)
+        return small(materialise(components(edges), "jaccard-classes"))
+
+    for number in range(ROUNDS):
+        classes = meet(shared(exploded(F.slice("prefix", 1, FIRST))), number)
+    grams = shared(exploded(F.col("prefix")))
+    classes = meet(grams, ROUNDS)
+    grams = shared(of_class(grams.drop("class"), classes))
     left, right = (grams.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n_shingles", "place", "class")]) for s in "lr")
     rest = F.least(F.col("n_shingles_l") - F.col("place_l"), F.col("n_shingles_r") - F.col("place_r"))
     sizes = (100 * F.least("n_shingles_l", "n_shingles_r") >= percent * F.greatest("n_shingles_l", "n_shingles_r"))
