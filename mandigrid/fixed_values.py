@@ -184,8 +184,9 @@ ADDRESS_CORRECTIONS = {
 }
 
 # --- Fixed values: words an address is read by -----------------------------
-DISTRICT_WINDOW = r"(?i)((?:\w+\s+){0,2})\S*(?:dist|dt)\S*((?:\s+\w+){0,2})"
-TALUK_WINDOW = r"(?i)((?:\w+\s+){0,1})\S*(?:mdl|mandal|tehsil|taluk)\S*((?:\s+\w+){0,1})"
+DISTRICT_MARKERS, DISTRICT_REACH = ["dist", "dt"], 2
+TALUK_MARKERS, TALUK_REACH = ["mdl", "mandal", "tehsil", "taluk"], 1
+DISTRICT_WORD_SPELLINGS = {r"(?i)Disst": "Dist", r"(?i)Dis ": "Dist "}
 TALUK_STOPWORDS = [
     "Dist", "Distt", "Dt", "Mandi", "Road", "Yard", "Secretary", "Committee",
     "Agricultural", "Konya",

@@ -1,15 +1,20 @@
 """Text functions for names and addresses."""
 
+import string
 from itertools import chain
 
 from pyspark.sql import Column, functions as F
 
 from mandigrid.fixed_values import (
-    ADDRESS_CORRECTIONS, CITY_ALIASES, CITY_SUMMARY_ROWS, NOT_REPORTED,
+    ADDRESS_CORRECTIONS, CITY_ALIASES, CITY_SUMMARY_ROWS, DISTRICT_WORD_SPELLINGS, NOT_REPORTED,
 )
 from mandigrid.functions.missing import col
 
 _MARK = "\u0001"  # never part of a name
+# ASCII punctuation but the comma, and digits: none of it belongs to an address
+_NOT_ADDRESS = (string.punctuation + string.digits).replace(",", "")
+_PIN_WORD = r"(?i)\sPin\s"
+_JOINED_WORDS = r"(?<=[a-z])(?=[A-Z])"
 
 
 def strip(c) -> Column:
@@ -54,14 +59,12 @@ def title(c) -> Column:
 
 
 def tidy_punctuation(c) -> Column:
-    """Blanks before brackets, empty brackets, loose and trailing commas."""
-    return replace_patterns(c, {
-        r"\s\)": ")",
-        r"\(\)": "",
-        r"\s+": " ",
-        r"\s+,\s*": ", ",
-        r"\s*,$": "",
-    })
+    """No blank before a closing bracket, no empty brackets, single blanks, and commas that
+    follow their word directly, with one blank after those that were set off and none at the end.
+    """
+    closed = F.replace(F.regexp_replace(col(c), r"\s(?=\))", ""), F.lit("()"), F.lit(""))
+    parts = F.split(F.regexp_replace(closed, r"\s+", " "), r" ,\s*", -1)
+    return F.regexp_replace(F.array_join(parts, ", "), r"\s*,$", "")
 
 
 def correct_address(c, state) -> Column:
@@ -80,18 +83,17 @@ def normalize_address(c, state) -> Column:
     Commas survive, set off by blanks, because they separate address parts.
     """
     state = col(state)
-    a = F.regexp_replace(col(c), ",", " , ")
-    a = F.regexp_replace(a, r"[\p{Punct}&&[^,]]", " ")
-    a = F.regexp_replace(a, r"\d+", " ")
-    a = F.regexp_replace(a, r"(?i)\sPin\s", " ")
-    a = F.replace(a, F.coalesce(state, F.lit("")), F.lit(""))
-    a = F.regexp_replace(a, r"\s+$", "")
-    a = F.regexp_replace(a, r",+$", "")
-    a = F.regexp_replace(a, r"([a-z])([A-Z])", "$1 $2")
-    a = capwords(a)
-    a = F.regexp_replace(a, r"(?i)Disst", "Dist")
-    a = F.regexp_replace(a, r"(?i)Dis ", "Dist ")
-    return correct_address(a, state)
+    letters = F.replace(F.translate(col(c), _NOT_ADDRESS, " " * len(_NOT_ADDRESS)), F.lit(","), F.lit(" , "))
+    own = F.replace(F.regexp_replace(letters, _PIN_WORD, " "), F.coalesce(state, F.lit("")), F.lit(""))
+    ended = F.rtrim(F.rtrim(own, F.lit(string.whitespace)), F.lit(","))
+    words = capwords(F.regexp_replace(ended, _JOINED_WORDS, " "))
+    return correct_address(replace_patterns(words, DISTRICT_WORD_SPELLINGS), state)
+
+
+def words_around(markers, reach) -> str:
+    """Pattern of up to ``reach`` words before and after a word that holds a marker."""
+    before, after = (rf"((?:{word}){{0,{reach}}})" for word in (r"\w+\s+", r"\s+\w+"))
+    return rf"(?i){before}\S*(?:{'|'.join(markers)})\S*{after}"
 
 
 def find_pin(c) -> Column:
@@ -108,17 +110,22 @@ def to_initials(c) -> Column:
 
     Names of one word, and names with digits, have none.
     """
-    c = col(c)
-    pattern = r"^([A-Z])\w+(?:\s+([A-Z])\w+)?(?:\s+([A-Z])\w+)?"
-    first, second, third = (F.regexp_extract(c, pattern, i) for i in (1, 2, 3))
-    letters = F.filter(F.array(first, second, third), lambda x: x != "")
-    rest = F.array_join(F.slice(F.split(squeeze(c), " "), 2, 1000), " ")
+    words = F.split(squeeze(c), " ")
+
+    def capital(i):
+        return F.get(words, i).rlike(r"^[A-Z]\w")
+
+    def plain(i):
+        return F.get(words, i).rlike(r"^\w+$")
+
+    two = capital(0) & plain(0) & capital(1)
+    count = F.when(two & plain(1) & capital(2), 3).otherwise(2)
+    letters = F.transform(F.slice(words, F.lit(1), count), lambda w: F.substring(w, 1, 1))
     spaced = F.array_join(letters, " ")
-    spellings = F.transform(
-        F.array(F.lower(spaced), spaced, F.array_join(letters, ""), F.concat_ws(" ", first, rest)),
-        lambda s: F.concat(F.lit(" "), s, F.lit(" ")),
-    )
-    usable = ~c.rlike(r"\d") & (second != "")
+    rest = F.array_join(F.slice(words, F.lit(2), F.size(words)), " ")
+    forms = F.array(F.lower(spaced), spaced, F.array_join(letters, ""), F.concat_ws(" ", F.get(letters, 0), rest))
+    spellings = F.transform(forms, lambda s: F.concat(F.lit(" "), s, F.lit(" ")))
+    usable = two & ~col(c).rlike(r"^\s|\d")
     return F.when(usable, spellings).otherwise(F.array().cast("array<string>"))
 
 
@@ -136,11 +143,6 @@ def per_kg(c) -> Column:
     return F.when(c != NOT_REPORTED, c.try_cast("double") / 100)
 
 
-def yes_as_boolean(c, word="Yes") -> Column:
-    """True where the text holds the word; missing text stays missing."""
-    return F.contains(col(c), F.lit(word))
-
-
 def market_without_district(market, district) -> Column:
     """The market name with its district's name and separator taken out.
 

@@ -3,13 +3,17 @@
 from pyspark.sql import DataFrame, functions as F
 
 from mandigrid.fixed_values import (
-    DISTRICT_WINDOW, MANDI_LOOKALIKES, MARKET_KEY_ALIASES, MARKET_TALUK_ALIASES,
-    NOT_A_DISTRICT_WORD, TALUK_FALSE_SUFFIXES, TALUK_STOPWORDS, TALUK_WINDOW,
+    DISTRICT_MARKERS, DISTRICT_REACH, MANDI_LOOKALIKES, MARKET_KEY_ALIASES, MARKET_TALUK_ALIASES,
+    NOT_A_DISTRICT_WORD, TALUK_FALSE_SUFFIXES, TALUK_MARKERS, TALUK_REACH, TALUK_STOPWORDS,
 )
 from mandigrid.functions.keys import location_key
 from mandigrid.functions.missing import col
 from mandigrid.functions.similarity import edit_allowance, let, ngram_similarity
-from mandigrid.functions.text import replace_whole, to_initials
+from mandigrid.functions.text import replace_whole, to_initials, words_around
+
+
+DISTRICT_WINDOW = words_around(DISTRICT_MARKERS, DISTRICT_REACH)
+TALUK_WINDOW = words_around(TALUK_MARKERS, TALUK_REACH)
 
 
 def add_location(obs: DataFrame, locations: DataFrame) -> DataFrame:
@@ -42,12 +46,14 @@ def _lookup_keys():
 def add_location_rowwise(obs: DataFrame, locations: DataFrame) -> DataFrame:
     """``add_location`` for streams, which cannot be reduced to distinct markets first."""
     out = obs.drop("district", "taluk").withColumns(dict(zip(("_k0", "_k1"), _lookup_keys())))
+    one = locations.groupBy("location_key").agg(F.min(F.struct("district", "taluk")).alias("_r"))
     for i in (0, 1):
-        known = locations.select(*[F.col(c).alias(f"_{c[0]}{i}") for c in ("district", "taluk")],
-                                 F.col("location_key").alias(f"_k{i}"))
+        known = one.select(*[F.col(f"_r.{c}").alias(f"_{c[0]}{i}") for c in ("district", "taluk")],
+                           F.col("location_key").alias(f"_k{i}"))
         out = out.join(known, f"_k{i}", "left")
+    known = F.col("_d0").isNotNull() | F.col("_t0").isNotNull()
     return out.withColumns({
-        "district": F.coalesce("_d0", "_d1"), "taluk": F.coalesce("_t0", "_t1"),
+        c: F.when(known, F.col(f"_{c[0]}0")).otherwise(F.col(f"_{c[0]}1")) for c in ("district", "taluk")
     }).drop("_k0", "_k1", "_d0", "_d1", "_t0", "_t1")
 
 

@@ -145,23 +145,32 @@ def candidates(left, right, on_left, on_right, k, block=(), contains=False,
     if contains:
         pairs = pairs.unionByName(
             containing_pairs(left, right, on_left, on_right, block)).distinct()
+    a, b = F.col("left_name"), F.col("right_name")
+    if fold:
+        a, b = F.lower(a), F.lower(b)
     return pairs.withColumns({
         "similarity": ngram_similarity("left_name", "right_name"),
-        "distance": F.levenshtein(F.lower("left_name"), F.lower("right_name")),
+        "distance": F.levenshtein(a, b),
     })
 
 
-def _rank(name):
-    """Orders candidates: first pass, most similar, fewest edits, first by name."""
+def _rank(name, tie=()):
+    """Orders candidates: first pass, most similar, fewest edits, then ``tie``, first by name."""
     return F.struct(F.col("pass"), (-F.col("similarity")).alias("s"), F.col("distance"),
-                    F.col(name))
+                    *tie, F.col(name))
+
+
+def pair_number(left="left_name", right="right_name"):
+    """A number that depends on both names alike, whichever side asks."""
+    digits = F.substring(F.md5(F.concat_ws("\u0001", left, right)), 1, 15)
+    return F.conv(digits, 16, 10).cast("bigint")
 
 
-def best_match(pairs: DataFrame, block=(), side="left_name", other="right_name") -> DataFrame:
+def best_match(pairs: DataFrame, block=(), side="left_name", other="right_name", tie=()) -> DataFrame:
     """The best candidate of every name on one side (an aggregate, not a window)."""
     if "pass" not in pairs.columns:
         pairs = pairs.withColumn("pass", F.lit(1))
-    return pairs.groupBy(*block, side).agg(F.min(_rank(other)).alias("_r")).select(
+    return pairs.groupBy(*block, side).agg(F.min(_rank(other, tie)).alias("_r")).select(
         *block, side, F.col(f"_r.{other}").alias(other), F.col("_r.pass").alias("pass"),
         (-F.col("_r.s")).alias("similarity"), F.col("_r.distance").alias("distance"))
 
@@ -170,24 +179,26 @@ def assign_once(pairs: DataFrame, block=()) -> DataFrame:
     """A matching in which every name of either side is used at most once.
 
     Pairs that are each other's best are taken, their names leave, and so on
-    until no candidate is left. The outcome does not depend on row order. Every
-    round is a written table, so a lost executor costs one round at most; the
-    number of rounds is that of the longest chain of rivals, usually two or three.
+    until no candidate is left. Equally good pairs stand in the order of a number of
+    the pair: as both sides agree on it, the order is total, the outcome is that of
+    going through all pairs from the best on, and a share of the rivals leaves in every
+    round even if all are equal, so that rounds grow with the logarithm of their number.
+    Every round is a written table, so a lost executor costs one round at most.
     """
     spark = pairs.sparkSession
     block = list(block)
     if "pass" not in pairs.columns:
         pairs = pairs.withColumn("pass", F.lit(1))
     base = shared_dir(spark, "assign")
-    pairs.write.parquet(f"{base}/open-0")
-    taken, i = None, 0
+    pairs.withColumn("_tie", pair_number()).write.parquet(f"{base}/open-0")
+    i = 0
     while True:
         open_pairs = spark.read.parquet(f"{base}/open-{i}")
         if open_pairs.isEmpty():
             break
         # NULL block values do not occur: candidates come from equality joins
-        both = best_match(open_pairs, block).join(
-            best_match(open_pairs, block, "right_name", "left_name")
+        both = best_match(open_pairs, block, tie=["_tie"]).join(
+            best_match(open_pairs, block, "right_name", "left_name", ["_tie"])
             .select(*block, "left_name", "right_name"),
             [*block, "left_name", "right_name"])
         both.write.parquet(f"{base}/taken-{i}")
@@ -198,8 +209,9 @@ def assign_once(pairs: DataFrame, block=()) -> DataFrame:
                       "left_anti"))
         i += 1
         left.write.parquet(f"{base}/open-{i}")
-        taken = round_taken if taken is None else taken.unionByName(round_taken)
-    return taken if taken is not None else best_match(pairs, block)
+    if not i:
+        return best_match(pairs, block)
+    return spark.read.parquet(*[f"{base}/taken-{k}" for k in range(i)])
 
 
 def with_alternates(left: DataFrame, name, alternates, separator=r"\|") -> DataFrame:

@@ -124,14 +124,15 @@ def interpolate(daily: DataFrame, series, value, date="date") -> DataFrame:
     Before the first value a gap stays open; after the last it holds that value.
     Expects one row per series and day.
     """
-    ordered = Window.partitionBy(*series).orderBy(date)
+    # the next value is the last one seen from the other end: a growing frame is updated row by
+    # row, while one that shrinks would be computed anew for each row
+    upwards = Window.partitionBy(*series).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+    downwards = Window.partitionBy(*series).orderBy(F.desc(date)).rowsBetween(Window.unboundedPreceding, 0)
     point = F.when(F.col(value).isNotNull(),
                    F.struct(F.col(date).alias("d"), F.col(value).alias("v")))
     marked = daily.withColumn("_p", point)
-    before = F.last("_p", ignorenulls=True).over(
-        ordered.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_p", ignorenulls=True).over(
-        ordered.rowsBetween(0, Window.unboundedFollowing))
+    before = F.last("_p", ignorenulls=True).over(upwards)
+    after = F.last("_p", ignorenulls=True).over(downwards)
     spanned = marked.withColumns({"_b": before, "_a": after})
     share = F.try_divide(F.datediff(date, "_b.d"), F.datediff("_a.d", "_b.d"))
     line = F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * share

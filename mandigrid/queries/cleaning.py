@@ -15,7 +15,7 @@ from mandigrid.queries.common import OBS, d, n, present, s
 from mandigrid.sources.bulletins import drop_repeated_headers, parse_lines
 from mandigrid.sources.sinks import point_features
 from mandigrid.sources.standins import (
-    documents, observations, places, spread, table,
+    documents, observations, places, table,
 )
 
 
@@ -190,7 +190,7 @@ _CELLS = ["date", "state", "market", "category", "commodity", "variety", "tonnag
 
 def bulletin_lines(spark, sf_dir):
     """Bulletin rows written as text lines of two widths, and read back."""
-    obs = observations(spark, sf_dir, heavy=True).select(
+    obs = observations(spark, sf_dir).select(
         F.date_format("date", "dd/MM/yyyy").alias("date"), "state", "market", "category",
         "commodity", "variety", "tonnage", F.round("min_price").alias("min_price"),
         F.round("max_price").alias("max_price"), F.round("modal_price").alias("modal_price"))
@@ -214,7 +214,7 @@ def repeated_headers(spark, sf_dir):
 
 def raw_bulletin(spark, sf_dir):
     """Each day of events is a page: some events bring a heading cell, all bring a row."""
-    events = spread(table(spark, sf_dir, "events").drop("props"))
+    events = table(spark, sf_dir, "events").drop("props")
     value = F.round("value")
     page = [F.col("ts").cast("date").cast("string").alias("page")]
     tonnage = F.when(F.col("value") > 80, F.lit("NR")).when(

@@ -6,7 +6,7 @@ from mandigrid.functions.similarity import fuzzy_match, ngram_similarity
 from mandigrid.functions.text import capwords, normalize_address
 from mandigrid.operators import locate, matching
 from mandigrid.queries.common import n, present, s
-from mandigrid.sources.standins import documents, spread, table, with_places
+from mandigrid.sources.standins import documents, table, with_places
 
 
 
@@ -97,7 +97,7 @@ def district_from_taluk(spark, sf_dir):
 
 def address_district(spark, sf_dir):
     """Order lines as market addresses: spelt right, misspelt, or without 'Dist'."""
-    lines = with_places(spread(table(spark, sf_dir, "lineitem").select(
+    lines = with_places((table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_partkey", "l_returnflag")), spark, sf_dir)
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     first, second = (F.element_at(F.split("p_name", " "), i) for i in (1, 2))
@@ -161,6 +161,27 @@ pairs AS (SELECT l.p_type, a, b FROM l JOIN r ON l.p_type = r.p_type WHERE {pred
 {best}"""
 
 
+# through all pairs from the best on: a pair is taken if both names are still free
+_ASSIGN = f"""WITH {_PARTS},
+l AS (SELECT DISTINCT p_type, {damaged('p_name')} AS a FROM parts),
+r AS (SELECT DISTINCT p_type, p_name AS b FROM parts),
+pairs AS (SELECT l.p_type, a, b FROM l JOIN r ON l.p_type = r.p_type
+          WHERE levenshtein(lower(a), lower(b)) <= 3),
+{sims('pairs')},
+scored AS (SELECT p_type, similarity, levenshtein(lower(a), lower(b)) AS distance,
+                  {{'a': a, 'b': b}} AS pair,
+                  ('0x' || substr(md5(a || chr(1) || b), 1, 15))::BIGINT AS tie
+           FROM pairs JOIN sim USING (a, b)),
+taken AS (
+  SELECT p_type, unnest(list_reduce(list([pair] ORDER BY similarity DESC, distance, tie),
+         lambda done, one: CASE WHEN list_contains(list_transform(done, lambda d: d.a), one[1].a)
+                                  OR list_contains(list_transform(done, lambda d: d.b), one[1].b)
+                                THEN done ELSE list_concat(done, one) END)) AS pair
+  FROM scored GROUP BY p_type)
+SELECT t.p_type, t.pair.a AS left_name, t.pair.b AS right_name, {n('1')} AS pass,
+       {s('similarity')} AS similarity, {n('distance')} AS distance
+FROM taken t JOIN scored USING (p_type, pair)"""
+
 _ALTERNATES = f"""WITH {_PARTS},
 l AS (SELECT DISTINCT CASE WHEN p_type = 'ECONOMY' THEN {damaged('p_name')}
              ELSE p_type || ' ' || p_name END AS a,
@@ -249,8 +270,7 @@ QUERIES = {
         "p_name", "string_split(p_name, ' ')[2]",
         "contains(a, b) OR contains(b, a) OR levenshtein(lower(a), lower(b)) <= 1")),
     "fuzzy_alternates": (fuzzy_alternates, _ALTERNATES),
-    # a matching over several rounds; checked against brute force in the tests
-    "assign_once": (assign_once, None),
+    "assign_once": (assign_once, _ASSIGN),
     "ngram_similarity": (similarity, f"""
 WITH pairs AS (SELECT DISTINCT p_name AS a, string_split(p_name, ' ')[2] || ' ' || p_type || ' '
                || p_name AS b FROM part),

@@ -11,8 +11,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    # collect_set keeps hashing instead of falling back to a sort after 128 groups per task
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000",
 }
 
 
@@ -40,13 +38,16 @@ def materialise(df, purpose):
 def shared_dir(spark, purpose):
     """A fresh folder for ``purpose`` below the cluster's shared checkpoint folder.
 
-    The session's ``spark.checkpoint.dir`` is used as it is. Only where none is
-    set (tests, one machine) is a folder of our own taken and registered.
+    The session's ``spark.checkpoint.dir`` is used as it is. Where none is set, a
+    session of one machine (master ``local``) takes a folder of its own; on a cluster
+    that would be another folder on every executor, so it is an error there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="mandigrid-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"

@@ -4,6 +4,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
+from mandigrid.operators.relational import keep_one
+
 
 def write_rollup(df: DataFrame, path, partitions=("level", "commodity")):
     """Replace just the (level, commodity) partitions that ``df`` holds.
@@ -29,19 +31,30 @@ def write_csv_report(df: DataFrame, path, decimals=3, replace=True):
 
 
 def append_documents(df: DataFrame, path, key=None, partitions=()):
-    """Append rows; with a key, rows whose key is stored already are left out."""
+    """Append rows; with a key, rows whose key is stored already are left out.
+
+    Of rows with the same key the first in order stays. NULL is a value like others in a key.
+    """
     if key:
-        df = df.dropDuplicates(list(key))
-        stored = _existing(df.sparkSession, path, key)
-        if stored is not None:
-            df = df.join(stored, list(key), "left_anti")
+        df = without_stored(keep_one(df, list(key)), existing(df.sparkSession, path), key)
     writer = df.write.mode("append")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
 
 
-def _existing(spark, path, key):
+def without_stored(df: DataFrame, stored: DataFrame | None, key) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``stored``; NULLs are equal."""
+    if stored is None:
+        return df
+    known = stored.select(*[F.col(k).alias(f"_{k}") for k in key])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    return df.join(known, same, "left_anti")
+
+
+def existing(spark, path, schema=None) -> DataFrame | None:
+    """The table below ``path``, None if there is none yet."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
     try:
-        return spark.read.parquet(path).select(*key)
+        return reader.parquet(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             return None

@@ -24,18 +24,8 @@ def with_places(lines: DataFrame, spark, sf_dir) -> DataFrame:
                           spark, sf_dir)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table with fewer splits than there are cores, dealt out to all cores.
-
-    For work that is heavy per row. Tables of any size have more splits than that
-    and are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def documents(spark, sf_dir, *columns) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select(*columns))
+    return table(spark, sf_dir, "documents").select(*columns)
 
 
 def districts(spark, sf_dir) -> DataFrame:
@@ -57,8 +47,8 @@ def places(spark, sf_dir) -> DataFrame:
         "s_suppkey", F.col("s_name").alias("market"), "district", "state")
 
 
-def observations(spark, sf_dir, heavy=False) -> DataFrame:
-    """One bulletin row per order line; ``heavy`` announces costly work per row.
+def observations(spark, sf_dir) -> DataFrame:
+    """One bulletin row per order line.
 
     The supplier and part sides grow with the data, so the way they are joined
     is left to the optimizer.
@@ -66,8 +56,6 @@ def observations(spark, sf_dir, heavy=False) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
         "l_shipdate")
-    if heavy:
-        lines = spread(lines)
     part = table(spark, sf_dir, "part").select(
         "p_partkey", F.col("p_type").alias("commodity"), F.col("p_brand").alias("variety"))
     joined = with_places(lines, spark, sf_dir).join(part, lines.l_partkey == part.p_partkey)

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from mandigrid.operators.relational import keep_one
 from mandigrid.operators.rollup import rollup_all_levels, rollup_varieties
 from mandigrid.plans.bulletins import clean_bulletins, integrate_bulletins
+from mandigrid.sources.sinks import existing, without_stored
 
 KEY = ["date", "state", "market", "commodity", "variety", "grade"]
 
@@ -15,74 +16,67 @@ def ingest(bulletins: DataFrame, locations: DataFrame = None) -> DataFrame:
     return clean if locations is None else integrate_bulletins(clean, locations)
 
 
-def without_repeats(rows: DataFrame, key, lateness="30 days", date="date") -> DataFrame:
-    """First row per key, with state bounded by how late rows may arrive.
-
-    For sinks that cannot be read back; ``append_new`` has no such limit. A DATE
-    column cannot carry a watermark, so a timestamp copy of it does.
-    """
-    timed = rows.withColumn("_at", F.col(date).cast("timestamp")).withWatermark("_at", lateness)
-    return timed.dropDuplicatesWithinWatermark(list(key)).drop("_at")
+def _prunable(dates: DataFrame) -> DataFrame:
+    """Dates with a condition that all meet: only a side that is filtered lets Spark skip the
+    partitions of the other side that it doesn't name."""
+    return dates.filter(F.col("date") >= F.lit("0001-01-01").cast("date"))
 
 
-def _stored(batch: DataFrame, store) -> DataFrame:
-    """All rows kept so far; the schema is given, as the first batches may be empty."""
-    schema = T.StructType([*batch.schema.fields, T.StructField("batch_no", T.IntegerType())])
-    return batch.sparkSession.read.schema(schema).parquet(store)
+def rows_of_dates(stored: DataFrame, dates: DataFrame) -> DataFrame:
+    """The stored rows of some dates, and of none: those without a date have a partition of their
+    own. Partitions of other dates are not read."""
+    dated = stored.join(_prunable(dates), "date", "left_semi")
+    return dated.unionByName(stored.filter(F.col("date").isNull()))
 
 
 def append_new(arrivals: DataFrame, store, key, checkpoint):
     """Append the rows whose key is not stored yet, however late they arrive.
 
-    What is stored is the memory: the stream keeps no state and drops nothing. A
-    micro-batch reads the keys of just the dates it brings. A batch that is replayed
-    after a failure does not see, and replaces, what it wrote before.
+    What is stored is the memory: the stream keeps no state and drops nothing. Every
+    micro-batch leaves out the keys that stand in the store for its dates, whichever stream
+    or run wrote them. A batch that is replayed after a failure finds what it wrote before
+    and adds the rest; several streams may follow each other into one store, each with a
+    checkpoint of its own (at the same time they could both add a key that is new to both).
     """
     key = list(key)
 
     def add(batch: DataFrame, number: int):
         fresh = keep_one(batch, key)
-        if number > 0:
-            stored = _stored(batch, store).filter(F.col("batch_no") != number)
-            dates = batch.select("date").distinct()
-            known = stored.join(dates, "date", "left_semi").select(
-                *[F.col(k).alias(f"_{k}") for k in key])
-            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
-            fresh = fresh.join(known, same, "left_anti")
-        (fresh.withColumn("batch_no", F.lit(number)).hint("rebalance", "date")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_no", "date").parquet(store))
+        stored = existing(batch.sparkSession, store, batch.schema)
+        if stored is not None:
+            fresh = without_stored(fresh, rows_of_dates(stored, batch.select("date").distinct()), key)
+        fresh.hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(store)
 
     return (arrivals.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def append_stream(rows: DataFrame, path, checkpoint, partitions=()):
-    """Write everything that has arrived, then stop; restartable from the checkpoint."""
-    writer = (rows.writeStream.format("parquet").outputMode("append")
-              .option("path", path).option("checkpointLocation", checkpoint)
-              .trigger(availableNow=True))
-    if partitions:
-        writer = writer.partitionBy(*partitions)
-    return writer.start()
+def _stream_id(spark, checkpoint) -> str:
+    """The id that Spark gives a checkpoint: a new checkpoint has a new one."""
+    return spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
 
 
 def refresh_rollups(arrivals: DataFrame, store, target, checkpoint):
     """Append each micro-batch and recompute the roll-ups of just the dates it touches.
 
-    The stored rows of a touched date are read back, so a late row corrects its
-    date. A batch that is replayed after a failure replaces its own rows, by batch
-    number, and then whole date partitions: the result is the same as without the
-    failure, and the stream itself keeps no aggregation state.
+    The stored rows of a touched date are read back, so a late row corrects its date. A
+    batch has the checkpoint's id and its number for a name: one that is replayed after a
+    failure replaces its own rows, and then whole date partitions of the roll-ups, and one
+    of another stream or a new checkpoint never does. The stream keeps no aggregation state.
     """
     def update(batch: DataFrame, number: int):
-        (batch.withColumn("batch_no", F.lit(number)).hint("rebalance", "date")
+        spark = batch.sparkSession
+        name = f"{_stream_id(spark, checkpoint)}-{number}"
+        (batch.withColumn("batch", F.lit(name)).hint("rebalance", "date")
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_no", "date").parquet(store))
+         .partitionBy("date", "batch").parquet(store))
         # the batch is read back instead of being computed twice
-        stored = _stored(batch, store)
-        touched = stored.filter(F.col("batch_no") == number).select("date").distinct()
-        rows = stored.join(touched, "date", "left_semi").drop("batch_no")
+        schema = T.StructType([*batch.schema.fields, T.StructField("batch", T.StringType())])
+        stored = existing(spark, store, schema)
+        if stored is None:
+            return  # nothing has arrived yet
+        touched = stored.filter(F.col("batch") == name).select("date").distinct()
+        rows = rows_of_dates(stored, touched).drop("batch")
         (rollup_all_levels(rollup_varieties(rows)).hint("rebalance", "date").write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(target))
 

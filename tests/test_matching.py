@@ -61,22 +61,39 @@ def test_assign_once_against_brute_force(rows):
     left, right = sample(5, 40, "abcd", 6), sample(6, 40, "abcd", 6)
     pairs = matching.candidates(rows([(x,) for x in left], "a string"),
                                 rows([(x,) for x in right], "b string"), "a", "b", 2)
-    scored = [(1, -r.similarity, r.distance, r.left_name, r.right_name) for r in pairs.collect()]
+    numbered = pairs.withColumn("tie", matching.pair_number()).collect()
+    scored = [(-r.similarity, r.distance, r.tie, r.left_name, r.right_name) for r in numbered]
     got = {(r.left_name, r.right_name) for r in matching.assign_once(pairs).collect()}
     want = set()
-    while scored:  # pairs that are each other's best leave together
-        best_l, best_r = {}, {}
-        for p, s, d, a, b in scored:
-            best_l[a] = min(best_l.get(a, (p, s, d, b)), (p, s, d, b))
-            best_r[b] = min(best_r.get(b, (p, s, d, a)), (p, s, d, a))
-        mutual = {(a, v[3]) for a, v in best_l.items() if best_r[v[3]][3] == a}
-        want |= mutual
-        la, rb = {a for a, _ in mutual}, {b for _, b in mutual}
-        scored = [x for x in scored if x[3] not in la and x[4] not in rb]
+    for *_, a, b in sorted(scored):  # from the best on, each name once
+        if not any(a == x or b == y for x, y in want):
+            want.add((a, b))
     assert got == want
     assert len({a for a, _ in got}) == len(got) == len({b for _, b in got})
 
 
+def test_assign_once_needs_few_rounds_on_ties(spark, rows, monkeypatch):
+    """60 by 60 names, all equally good: every name finds a partner."""
+    pairs = rows([(f"l{i}", f"r{j}", 0.5, 1) for i in range(60) for j in range(60)],
+                 "left_name string, right_name string, similarity double, distance int")
+    folders, taken = [], matching.shared_dir
+
+    def noted(*args):
+        folders.append(taken(*args))
+        return folders[-1]
+
+    monkeypatch.setattr(matching, "shared_dir", noted)
+    assert matching.assign_once(pairs).count() == 60
+    fs = spark._jvm.org.apache.hadoop.fs.Path(folders[0])
+    listed = fs.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(fs)
+    assert sum("taken" in f.getPath().getName() for f in listed) < 15
+
+
+def test_candidates_carry_the_distance_they_were_found_by(rows):
+    got = matching.candidates(rows([("ABc",)], "a string"), rows([("Abc",)], "b string"), "a", "b", 1, fold=False)
+    assert [r.distance for r in got.collect()] == [1]
+
+
 def test_assign_once_without_candidates(rows):
     pairs = matching.candidates(rows([("abcdef",)], "a string"), rows([("uvwxyz",)], "b string"),
                                 "a", "b", 1)

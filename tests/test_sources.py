@@ -6,9 +6,7 @@ from mandigrid.fixed_values import REPORT_HEADINGS
 from mandigrid.sources import bulletins, dimensions, sinks
 from mandigrid.plans.reference_tables import clean_census
 from mandigrid.operators.reference_data import census_by_unit
-from mandigrid.streaming.ingest import (
-    append_new, append_stream, ingest, refresh_rollups, without_repeats,
-)
+from mandigrid.streaming.ingest import append_new, ingest, refresh_rollups
 
 LINES = [
     "04/04/2012,Kerala,Manjeri,Beverages,Coffee,Other,1.0,100,200,140",
@@ -119,6 +117,15 @@ def test_append_documents(spark, rows, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "c")]
 
 
+def test_append_documents_with_null_keys(spark, rows, tmp_path):
+    path = str(tmp_path / "d")
+    df = rows([(None, "b"), (None, "a"), (1, None)], "k int, v string")
+    for _ in range(2):
+        sinks.append_documents(df, path, ["k"])
+    assert sorted(map(repr, map(tuple, spark.read.parquet(path).collect()))) == [
+        "(1, None)", "(None, 'a')"]
+
+
 def test_point_features(spark, rows, tmp_path):
     markets = rows([(7, "Mapusa", "Goa", None, 73.8, 15.5)],
                    "id int, name string, state string, district string, lng double, lat double")
@@ -138,10 +145,9 @@ def test_stream_equals_batch(spark, tmp_path):
                                       "location_key string, district string, taluk string")
     key = ["date", "state", "market", "commodity", "variety", "grade"]
     batch = ingest(bulletins.read_bulletins(spark, str(inbox)), locations).distinct()
-    stream = without_repeats(ingest(bulletins.stream_bulletins(
-        spark, str(inbox), files_per_batch=1), locations), key)
+    stream = ingest(bulletins.stream_bulletins(spark, str(inbox), files_per_batch=1), locations)
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
-    append_stream(stream, out, state).awaitTermination()
+    append_new(stream, out, key, state).awaitTermination()
     columns = sorted(batch.columns)
 
     def content(df):
@@ -150,8 +156,8 @@ def test_stream_equals_batch(spark, tmp_path):
     assert content(spark.read.parquet(out)) == content(batch)
     # a later file is added, what is known is not
     (inbox / "3.csv").write_text(LINES[0] + "\n" + LINES[0].replace("Manjeri", "Kollam") + "\n")
-    stream = without_repeats(ingest(bulletins.stream_bulletins(spark, str(inbox)), locations), key)
-    append_stream(stream, out, state).awaitTermination()
+    stream = ingest(bulletins.stream_bulletins(spark, str(inbox)), locations)
+    append_new(stream, out, key, state).awaitTermination()
     assert spark.read.parquet(out).count() == batch.count() + 1
 
 
@@ -173,6 +179,50 @@ def test_append_new_keeps_late_rows_and_drops_repeats(spark, tmp_path):
     assert sorted(str(r.date) for r in run().collect()) == ["2002-04-04", "2012-04-05"]
 
 
+def _days(spark, path, rows):
+    spark.createDataFrame(rows, "day string, market string, note string").select(
+        F.to_date("day").alias("date"), "market", "note").coalesce(1).write.mode("append").parquet(path)
+
+
+def test_streams_with_checkpoints_of_their_own_share_a_store(spark, tmp_path):
+    """Neither a new checkpoint nor a replayed batch loses or repeats a row."""
+    inboxes = [str(tmp_path / n) for n in ("one", "two")]
+    store, key, schema = str(tmp_path / "store"), ["date", "market"], "date date, market string, note string"
+    _days(spark, inboxes[0], [("2020-01-01", "a", "x"), ("2020-01-01", "b", "x"), (None, "n", "x"), ("2020-01-02", None, "x")])
+    _days(spark, inboxes[1], [("2020-01-01", "a", "y"), ("2020-01-01", "c", "y"), (None, "n", "y"), ("2020-01-02", None, "y"), ("2019-01-01", "a", "y")])
+    for inbox, state in ((0, "s0"), (1, "s1"), (0, "s2")):  # s2: the first files again, from the start
+        stream = spark.readStream.schema(schema).parquet(inboxes[inbox])
+        append_new(stream, store, key, str(tmp_path / state)).awaitTermination()
+    got = sorted(repr((str(r.date), r.market, r.note)) for r in spark.read.parquet(store).collect())
+    assert got == sorted(map(repr, [
+        ("2020-01-01", "a", "x"), ("2020-01-01", "b", "x"), ("None", "n", "x"), ("2020-01-02", None, "x"),
+        ("2020-01-01", "c", "y"), ("2019-01-01", "a", "y")]))
+
+
+def test_known_keys_are_read_by_date(spark, tmp_path):
+    from mandigrid.streaming.ingest import rows_of_dates
+    _days(spark, str(tmp_path / "raw"), [(f"2020-01-{d:02}", "a", "x") for d in range(1, 20)])
+    path = str(tmp_path / "dated")
+    spark.read.parquet(str(tmp_path / "raw")).write.partitionBy("date").parquet(path)
+    _days(spark, str(tmp_path / "arrived"), [("2020-01-03", "a", "x")])
+    dates = spark.read.parquet(str(tmp_path / "arrived")).select("date").distinct()
+    out = rows_of_dates(spark.read.parquet(path), dates)
+    assert out.count() == 1
+    assert "dynamicpruning" in out._jdf.queryExecution().toString().lower()
+
+
+def test_refresh_survives_a_new_checkpoint(spark, tmp_path):
+    schema = ("date date, state string, district string, market string, category string,"
+              " commodity string, variety string, modal_price double, tonnage double")
+    for name, tons in (("one", 1.0), ("two", 3.0)):
+        df = spark.createDataFrame([("2015-04-01", "S", "D", name, "c", "Rice", "v", 10.0, tons)],
+                                   schema.replace("date date", "date string")).withColumn("date", F.to_date("date"))
+        df.write.parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / name))
+        refresh_rollups(stream, str(tmp_path / "store"), str(tmp_path / "target"), str(tmp_path / f"state-{name}")).awaitTermination()
+    assert {r.tonnage for r in spark.read.parquet(str(tmp_path / "target")).collect()} == {4.0}
+
+
 def test_refreshed_rollups_equal_those_of_one_batch(spark, tmp_path):
     """Rows of one month that arrive in two files end in one roll-up row."""
     schema = ("date date, state string, district string, market string, category string,"
