@@ -10,7 +10,9 @@ from mandigrid.plans import serving
 from mandigrid.queries.common import DISTRICT, LEVELS, MARKET, OBS, STATE, d, n, present, s
 from mandigrid.queries.quality import END, LOOSE, START, _stats_sql
 from mandigrid.queries.rollups import market_rows
+from mandigrid.session import shared_dir
 from mandigrid.sources.bulletins import stack
+from mandigrid.sources.sinks import write_rollup
 from mandigrid.sources.standins import observations, table
 
 
@@ -18,12 +20,29 @@ _COLUMNS = ["level", "date", "commodity", "state", "district", "market", "catego
             "tonnage", "contrib"]
 
 
+# Tables written by this application: what for and from which folder, and where they are.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def _written(spark, sf_dir, name, write) -> DataFrame:
+    """The table ``name`` of a data folder, written by its first reader for all others."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN:
+        path = shared_dir(spark, name)
+        write(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
 def rollup_table(spark, sf_dir) -> DataFrame:
-    """All levels, market rows included, as one table.
+    """All levels, market rows included, as a stored table by level and commodity.
 
-    A condition on the level leaves one branch of the union, and one on the
-    commodity reaches that branch's scan.
+    Readers filter on these, so they list and scan the partitions they ask for.
     """
+    return _written(spark, sf_dir, "rollups", lambda path: write_rollup(_levels(spark, sf_dir), path))
+
+
+def _levels(spark, sf_dir) -> DataFrame:
     markets = market_rows(spark, sf_dir)
     levels = [markets.withColumn("level", F.lit("market"))] + [
         rollup.rollup_level(markets, level).withColumn("level", F.lit(level))
@@ -51,18 +70,25 @@ def series_compare(spark, sf_dir):
     return present(rows.select("date", "state", "commodity", "price", "tonnage", "contrib"))
 
 
+def _catalogue(spark, sf_dir, level) -> DataFrame:
+    def write(path):
+        markets = market_rows(spark, sf_dir)
+        upper = () if level == "market" else (rollup.rollup_level(markets, level),)
+        catalogue.catalogue(level, markets, *upper).write.parquet(path)
+
+    return _written(spark, sf_dir, f"catalogue-{level}", write)
+
+
 def _state_catalogue(spark, sf_dir):
-    markets = market_rows(spark, sf_dir)
-    return catalogue.catalogue("state", markets, rollup.rollup_level(markets, "state"))
+    return _catalogue(spark, sf_dir, "state")
 
 
 def _district_catalogue(spark, sf_dir):
-    markets = market_rows(spark, sf_dir)
-    return catalogue.catalogue("district", markets, rollup.rollup_level(markets, "district"))
+    return _catalogue(spark, sf_dir, "district")
 
 
 def _market_catalogue(spark, sf_dir):
-    return catalogue.catalogue("market", market_rows(spark, sf_dir))
+    return _catalogue(spark, sf_dir, "market")
 
 
 def units_for_commodity(spark, sf_dir):
