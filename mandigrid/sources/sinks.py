@@ -79,3 +79,15 @@ def point_features(markets: DataFrame) -> DataFrame:
 def write_point_features(markets: DataFrame, path):
     """Newline-delimited features, readable by GeoJSON tools line by line."""
     point_features(markets).write.mode("overwrite").text(path)
+
+
+def write_feature_collection(markets: DataFrame, path):
+    """FeatureCollections as JSON texts, one for each part of the table that a task writes.
+
+    Each file is an envelope of its own; where one is asked for, the reader joins their features.
+    """
+    text = point_features(markets)
+    part = F.spark_partition_id().alias("part")
+    (text.groupBy(part).agg(F.array_join(F.collect_list("value"), ",").alias("features"))
+     .select(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), "features", F.lit("]}")))
+     .write.mode("overwrite").text(path))
