@@ -232,12 +232,6 @@ CENSUS_MEASURES = {
     "Non Working Population Person": "no_work",
 }
 
-# --- Fixed values: districts that form the state split off in 2014 ---------
-TELANGANA_DISTRICTS = [
-    "Adilabad", "Hyderabad", "Karimnagar", "Khammam", "Mahbubnagar", "Medak",
-    "Nalgonda", "Nizamabad", "K.V.Rangareddy", "Warangal",
-]
-
 # --- Fixed values: postal-directory patterns, in order ---------------------
 POSTAL_STATE_PATTERNS = {r"&": "and", r"Delhi$": "NCT of Delhi"}
 POSTAL_DISTRICT_PATTERNS = {

@@ -6,6 +6,7 @@ from mandigrid.fixed_values import CENSUS_MEASURES
 from mandigrid.functions.missing import number
 from mandigrid.functions.text import city_name, is_summary_row, product_heading, title
 from mandigrid.operators.timeseries import forward_fill
+from mandigrid.session import materialise
 
 MEASURES = list(CENSUS_MEASURES.values())
 
@@ -51,9 +52,7 @@ def split_census(census: DataFrame, parent, new_unit, members) -> DataFrame:
     areas = states.groupBy("name").agg(parts.alias("_area"))
     states = states.join(areas, "name").withColumn(
         "area", F.when(F.col("tru") == "Total", F.col("_area")).otherwise(F.col("area")))
-    # three rows at most: one per kind
-    lost = F.broadcast(summed.select("tru", *[F.col(c).alias(f"_less_{c}")
-                                              for c in ("area", *MEASURES)]))
+    lost = summed.select("tru", *[F.col(c).alias(f"_less_{c}") for c in ("area", *MEASURES)])
     states = states.join(lost, "tru", "left")
     is_parent = F.col("name") == parent
 
@@ -99,8 +98,9 @@ def reshape_production(cells: DataFrame) -> DataFrame:
     titled = cells.withColumns({
         **{c: title(c) for c in ("state", "crop", "district")}, "season": F.trim("season")})
     named = titled.dropna(how="all", subset=[*keys, *figures])
-    filled = forward_fill(named, "sheet", "row_no", keys)
-    kept = filled.dropna(thresh=4, subset=[*keys, *figures])
+    # filled once and written, as the last row is looked for before the rows are used
+    filled = forward_fill(materialise(named, "sheets"), "sheet", "row_no", keys)
+    kept = materialise(filled.dropna(thresh=4, subset=[*keys, *figures]), "production")
     last = kept.agg(F.max(F.struct("sheet", "row_no")).alias("_last"))  # one row
     kept = kept.join(last.select("_last.*"), ["sheet", "row_no"], "left_anti")
 

@@ -31,10 +31,6 @@ def date_range(df, start, end, date="date") -> DataFrame:
     return df.filter((d >= F.lit(start).cast("date")) & (d < F.lit(end).cast("date")))
 
 
-def of_category(df, category) -> DataFrame:
-    return df.filter(F.col("category") == category)
-
-
 def selected_commodities(df, selection: DataFrame) -> DataFrame:
     """Rows whose (category, commodity) is on the selection list."""
     return df.join(selection, ["category", "commodity"], "left_semi")

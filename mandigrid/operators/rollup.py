@@ -118,14 +118,6 @@ def contributors(market_rows: DataFrame, level) -> DataFrame:
     ).distinct()
 
 
-def with_market_names(rollup_rows: DataFrame, market_rows: DataFrame, level) -> DataFrame:
-    """Roll-up rows with the array ``markets``, for units of moderately many markets."""
-    keys = ["date", *LEVEL_KEYS[level], "commodity"]
-    names = contributors(market_rows, level).groupBy(*keys).agg(
-        F.sort_array(F.collect_list("market")).alias("markets"))
-    return rollup_rows.join(names, keys, "left")
-
-
 def rollup_variety_level(obs: DataFrame, level) -> DataFrame:
     """Mean price and row count per date, unit, commodity and variety."""
     return obs.groupBy("date", *LEVEL_KEYS[level], "category", "commodity", "variety").agg(

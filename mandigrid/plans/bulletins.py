@@ -12,6 +12,7 @@ from mandigrid.functions.text import (
     per_kg, replace_patterns, replace_whole, split_origin, squeeze, strip,
 )
 from mandigrid.operators.locate import add_location, add_location_rowwise
+from mandigrid.session import materialise
 from mandigrid.operators.timeseries import carry_headers, forward_fill
 
 
@@ -68,6 +69,8 @@ def normalise_raw_bulletin(cells: DataFrame, page="page", row="row_no") -> DataF
     while 'not reported' stays missing. The page supplies date, category and
     commodity. Cells: market, tonnage, origin, variety, [grade,] min, max, modal.
     """
+    # each filling step uses its input twice, so what goes in is written once
+    cells = materialise(cells, "cells")
     n = F.size("cells")
     titled = carry_headers(cells, page, row, n == 1, {"state": F.get("cells", 0)})
     rows = titled.filter((n >= 7) & (F.get("cells", 0) != "Market"))
@@ -90,7 +93,7 @@ def normalise_raw_bulletin(cells: DataFrame, page="page", row="row_no") -> DataF
         blank(cell(at)).alias("min_price"), blank(cell(at + 1)).alias("max_price"),
         blank(cell(at + 2)).alias("modal_price"),
         blank(origin_state).alias("origin_state"), blank(origin_market).alias("origin_market"))
-    filled = forward_fill(flat, page, row, [
+    filled = forward_fill(materialise(flat, "cell-rows"), page, row, [
         "market", "variety", "grade", "tonnage", "min_price", "max_price", "modal_price",
         "origin_state", "origin_market"])
     return filled.withColumns({

@@ -27,7 +27,8 @@ def _markets(spark, sf_dir):
     supplier = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("market_id"), F.col("s_nationkey").alias("code"), "s_acctbal")
     rows = places(spark, sf_dir).join(supplier, F.col("s_suppkey") == F.col("market_id")).join(
-        taluk, F.col("market_id") == F.col("k"))
+        taluk, F.col("market_id") == F.col("k"), "left").withColumn(
+        "taluk", F.coalesce("taluk", F.lit("Outlying Hamlet")))  # more suppliers than parts
     district = F.concat(F.lit("Nation "), F.char(F.col("code") + 65))
     state = F.initcap("state")
     pin = (F.col("code") + 500000).cast("string")
@@ -188,11 +189,11 @@ _TRUE = """true_places AS (
          array_to_string(list_transform(string_split(r_name, ' '),
                                         lambda w: upper(w[1]) || lower(w[2:])), ' ') AS state,
          'Nation ' || chr(s_nationkey + 65) AS district,
-         array_to_string(list_transform(string_split(p_name, ' '),
-                                        lambda w: upper(w[1]) || lower(w[2:])), ' ') AS taluk,
+         coalesce(array_to_string(list_transform(string_split(p_name, ' '),
+                  lambda w: upper(w[1]) || lower(w[2:])), ' '), 'Outlying Hamlet') AS taluk,
          CAST(500000 + s_nationkey AS VARCHAR) AS pin
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-  JOIN part ON p_partkey = s_suppkey)"""
+  LEFT JOIN part ON p_partkey = s_suppkey)"""
 
 
 def _reports():
