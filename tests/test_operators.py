@@ -3,7 +3,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from mandigrid.operators import catalogue, quality, relational, rollup, timeseries as ts
+from mandigrid.operators import catalogue, locate, quality, relational, rollup, timeseries as ts
 from mandigrid.operators import reference_data as ref
 from mandigrid.plans import bulletins, serving, statistics
 from mandigrid.sources.standins import observations
@@ -266,3 +266,23 @@ def test_hot_key_changes_only_its_own_groups(skewed):
     assert filled.filter("modal_price IS NOT NULL").count() == hot.filter(
         "modal_price IS NOT NULL").count()
     assert relational.keep_one(hot, key).count() == len(a)
+
+
+def test_interpolation_of_one_long_series_is_linear(spark):
+    """The frame of the next value grows with the rows instead of being computed for each."""
+    days = spark.range(40_000).select(F.lit("m").alias("market"), F.expr("date_add(date'1900-01-01', cast(id as int))").alias("date"),
+                                      F.when(F.col("id") % 1000 == 0, F.col("id").cast("double")).alias("price"))
+    out = ts.interpolate(days, ["market"], "price")
+    assert "UNBOUNDED FOLLOWING" not in out._jdf.queryExecution().optimizedPlan().toString().upper()
+    ends = out.agg(F.min("price"), F.max("price"), F.sum("price")).first()
+    assert tuple(ends)[:2] == (0.0, 39_000.0)
+    assert ends[2] == pytest.approx(39_000 * 39_001 / 2 + 999 * 39_000)
+
+
+def test_both_location_forms_agree_on_repeated_keys(rows):
+    obs = rows([("S", "M"), ("S", "N (East)"), ("S", "none")], "state string, market string")
+    known = rows([("S_M", "b", "t"), ("S_M", "a", None), ("S_N ", "c", "u"), ("S_N ", "c", "t")],
+                 "location_key string, district string, taluk string")
+    got = [sorted(map(repr, (tuple(r) for r in form(obs, known).select("market", "district", "taluk").collect())))
+           for form in (locate.add_location, locate.add_location_rowwise)]
+    assert got[0] == got[1] and len(got[0]) == 3
