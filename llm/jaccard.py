@@ -15,15 +15,15 @@ from mandigrid.session import materialise
 # Entries of the list of frequent n-grams, which go last in the global order. Any such list
 # gives the same links; it only keeps shared passages out of the prefixes.
 FREQUENT = 200_000
-# First n-grams by which near copies are brought together before all of a prefix is looked at,
-# and rounds of that.
-FIRST, ROUNDS = 4, 2
+# Rounds in which near copies meet by two of their first n-grams each, before all of a prefix is
+# looked at.
+ROUNDS = 3
 # Sets that one prefix tree holds; larger blocks are several trees.
 TREE_SETS = 512
 # Ids or n-grams that may be broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 # Word hashes that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 class Hashes(dict):
@@ -144,9 +144,13 @@ def frequent_grams(docs: DataFrame, n: int) -> np.ndarray:
     def run(batches):
         for batch in batches:
             sets = {s.tobytes(): s for s in (shingles(words_of(t, True), n) for t in texts(batch.column(0)))}
-            grams, counts = np.unique(np.concatenate([*sets.values(), np.empty(0, np.uint64)]), return_counts=True)
-            kept = counts > 2
-            yield pa.RecordBatch.from_arrays([pa.array(grams[kept].view(np.int64)), pa.array(counts[kept])], names=["gram", "n"])
+            joined = np.concatenate([*sets.values(), np.empty(0, np.uint64)])
+            del sets
+            joined.sort()
+            # an n-gram that three documents have stands at three places in a row
+            third = np.unique(joined[2:][joined[2:] == joined[:-2]])
+            counts = np.searchsorted(joined, third, "right") - np.searchsorted(joined, third)
+            yield pa.RecordBatch.from_arrays([pa.array(third.view(np.int64)), pa.array(counts)], names=["gram", "n"])
 
     found = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     rows = found.orderBy(F.desc("n"), "gram").limit(FREQUENT).select("gram").toArrow()  # FREQUENT numbers at most
@@ -256,12 +260,13 @@ def join_classes(docs: DataFrame, n=5, percent=80) -> DataFrame:
     join is exact: linked sets share an n-gram among their first (frequent n-grams last), so
 
     1. copies are one node, and each node gives out its prefix n-grams;
-    2. in ROUNDS by the FIRST of them, and then in one by all, a node whose n-grams also occur
-       in other classes goes to the block of one of these, in which a prefix tree of the
-       whole sets finds the links; classes are joined after each, so that few n-grams are
-       left that stand in several;
-    3. those give pairs of nodes of different classes, pruned by size and place, which prefix
-       trees check, a tree for each node's partners.
+    2. in ROUNDS by two of its first n-grams, a node that has them in common with nodes of
+       other classes meets these in a block, in which a prefix tree of the whole sets finds
+       the links; classes are joined after each, so that few n-grams are left that stand in
+       several;
+    3. those give pairs of nodes of different classes. The whole prefixes of a pair must share
+       what the sizes ask for: as many as the prefix that ends first has, less what its set
+       may lack. Prefix trees check what is left, a tree for each node's partners.
 
     No group is expanded into pairs of the same class, so large groups of copies or near
     copies cost one look a member and round. Ids are whole numbers; rows with the same id
@@ -280,24 +285,18 @@ def join_classes(docs: DataFrame, n=5, percent=80) -> DataFrame:
     classes = None
     links = [copy_of.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))]
 
-    def exploded(prefix):
-        named = nodes.withColumn("class", F.col("node")) if classes is None else of_class(nodes, classes)
-        return named.select("node", "class", "n_shingles", F.posexplode(prefix).alias("place", "gram"))
-
-    def shared(grams):
-        """Rows whose n-gram stands in several classes."""
-        several = grams.groupBy("gram").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("gram")
-        return materialise(grams.join(small(materialise(several, "jaccard-shared")), "gram", "left_semi"), "jaccard-grams")
-
-    def meet(grams, number):
-        """Links found in blocks by one n-gram of each node, and the classes they lead to."""
-        pick = F.min_by("gram", F.xxhash64("gram", F.lit(number))).alias("gram")
-        met = grams.groupBy("node", "class").agg(pick)
-        groups = met.groupBy("gram").agg(F.count("*").alias("n"))
-        trees = F.ceil(F.col("n") / TREE_SETS)
-        met = (met.join(groups.where("n > 1"), "gram")
-               .withColumn("block", F.xxhash64("gram", F.pmod(F.xxhash64("node", F.lit(number)), trees))))
-        met = materialise(met.select("block", "node", "class"), "jaccard-blocks")
+    def named():
+        return nodes.withColumn("class", F.col("node")) if classes is None else of_class(nodes, classes)
+
+    def meet(number):
+        """Links found in blocks by two n-grams, and the classes that all links so far lead to."""
+        at = 2 * number
+        keyed = named().where(F.size("prefix") > at).select(
+            "node", "class", F.xxhash64(F.get("prefix", F.lit(at)), F.get("prefix", F.lit(at + 1))).alias("key"))
+        groups = keyed.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("n"))
+        tree = F.pmod(F.xxhash64("node", F.lit(number)), F.ceil(F.col("n") / TREE_SETS))
+        met = keyed.join(groups.where("x <> y"), "key").select(F.xxhash64("key", tree).alias("block"), "node", "class")
+        met = materialise(met, "jaccard-blocks")
         sets = sets_of(docs, met.select("node"), n, frequent)
         links.append(materialise(block_links(met.join(sets, "node"), percent), "jaccard-links"))
         edges = links[1]
@@ -306,16 +305,21 @@ def join_classes(docs: DataFrame, n=5, percent=80) -> DataFrame:
         return small(materialise(components(edges), "jaccard-classes"))
 
     for number in range(ROUNDS):
-        classes = meet(shared(exploded(F.slice("prefix", 1, FIRST))), number)
-    grams = shared(exploded(F.col("prefix")))
-    classes = meet(grams, ROUNDS)
-    grams = shared(of_class(grams.drop("class"), classes))
-    left, right = (grams.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n_shingles", "place", "class")]) for s in "lr")
-    rest = F.least(F.col("n_shingles_l") - F.col("place_l"), F.col("n_shingles_r") - F.col("place_r"))
+        classes = meet(number)
+    grams = named().select("node", "class", "n_shingles", F.explode("prefix").alias("gram"))
+    several = grams.groupBy("gram").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("gram")
+    grams = materialise(grams.join(small(materialise(several, "jaccard-shared")), "gram", "left_semi"), "jaccard-grams")
+    left, right = (grams.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n_shingles", "class")]) for s in "lr")
     sizes = (100 * F.least("n_shingles_l", "n_shingles_r") >= percent * F.greatest("n_shingles_l", "n_shingles_r"))
-    able = (100 + percent) * rest >= percent * (F.col("n_shingles_l") + F.col("n_shingles_r"))
-    pairs = (left.join(right, "gram").where(F.col("class_l") < F.col("class_r")).where(sizes & able)
-             .select("node_l", "class_l", "node_r", "class_r").distinct())
+    least = F.floor((percent * (F.col("n_shingles_l") + F.col("n_shingles_r")) + 99 + percent) / (100 + percent))
+
+    def due(size):
+        """Shared n-grams of the prefixes, if the one of this size ends first."""
+        return least + 1 - F.floor((percent * F.col(size) + 99) / 100)
+
+    pairs = (left.join(right, "gram").where((F.col("class_l") < F.col("class_r")) & sizes)
+             .groupBy("node_l", "class_l", "n_shingles_l", "node_r", "class_r", "n_shingles_r").agg(F.count("*").alias("n"))
+             .where(F.col("n") >= F.least(due("n_shingles_l"), due("n_shingles_r"))).select("node_l", "class_l", "node_r", "class_r"))
     pairs = materialise(pairs, "jaccard-pairs")
     count = pairs.groupBy("node_l").agg(F.count("*").alias("n"))
     part = F.xxhash64("node_l", F.pmod(F.xxhash64("node_r"), F.ceil(F.col("n") / TREE_SETS)))
