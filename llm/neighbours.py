@@ -198,7 +198,9 @@ def _search(nodes, asked, longest, n, k, factor) -> DataFrame:
         ids, x = index_rows["node"].to_numpy(), np.array(index_rows["vec"].to_pylist())
         q, tau = np.array(query_rows["vec"].to_pylist()), query_rows["tau"].to_numpy()
         score, row = VantageTree(x, longest).search(q, k + 1, tau, factor)
-        found = row >= 0
+        # what lies beyond the k-th nearest of the sample is no neighbour, and isn't sent on
+        beyond = np.sqrt(np.maximum((q**2).sum(1)[:, None] + longest**2 - 2 * score, 0)) > tau[:, None] * (1 + 1e-9) + 1e-9
+        found = (row >= 0) & ~beyond
         query = np.broadcast_to(query_rows["query"].to_numpy()[:, None], row.shape)
         return pa.Table.from_arrays([pa.array(query[found]), pa.array(ids[row[found]]), pa.array(score[found])], schema=arrow)
 
