@@ -4,7 +4,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -306,9 +306,10 @@ def join_classes(docs: DataFrame, n=5, percent=80) -> DataFrame:
 
     for number in range(ROUNDS):
         classes = meet(number)
-    grams = named().select("node", "class", "n_shingles", F.explode("prefix").alias("gram"))
-    several = grams.groupBy("gram").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("gram")
-    grams = materialise(grams.join(small(materialise(several, "jaccard-shared")), "gram", "left_semi"), "jaccard-grams")
+    grams = named().select("node", "class", F.col("n_shingles").cast("int"), F.explode("prefix").alias("gram"))
+    every = Window.partitionBy("gram")
+    grams = grams.withColumn("x", F.min("class").over(every)).withColumn("y", F.max("class").over(every)).where("x <> y")
+    grams = materialise(grams.select("gram", "node", "class", "n_shingles"), "jaccard-grams")
     left, right = (grams.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n_shingles", "class")]) for s in "lr")
     sizes = (100 * F.least("n_shingles_l", "n_shingles_r") >= percent * F.greatest("n_shingles_l", "n_shingles_r"))
     least = F.floor((percent * (F.col("n_shingles_l") + F.col("n_shingles_r")) + 99 + percent) / (100 + percent))
