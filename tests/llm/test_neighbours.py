@@ -69,3 +69,38 @@ def test_tree_prunes_by_the_factor(factor):
     score, row = tree.search(q, 3, np.full(len(q), np.inf), factor)
     best = np.argsort(-(q @ x.T), 1, kind="stable")[:, :3]
     assert (row == best).mean() >= (1.0 if factor == 1 else 0.8)
+
+
+def test_queries_that_go_everywhere_meet_trees_in_bounded_groups(spark, monkeypatch):
+    for name, value in (("TREE", 100), ("QUERIES", 60), ("SENT", 64)):
+        monkeypatch.setattr(neighbours, name, value)
+    x = np.float32(np.random.default_rng(3).normal(size=(900, 16)))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    sizes, groups = [], neighbours._groups
+
+    def watched(*given):
+        index, sent = groups(*given)
+        sizes.extend(r["count"] for r in sent.groupBy("tree", "part").count().collect())
+        return index, sent
+
+    monkeypatch.setattr(neighbours, "_groups", watched)
+    assert found(spark, rows, 5, 2, factor=1.0) == by_hand(rows, 5, 2)
+    assert sum(sizes) > 2000 and max(sizes) <= 2 * 60
+
+
+def test_no_array_holds_all_queries_of_a_tree(monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 32, raising=False)
+    compare, seen = neighbours.VantageTree._compare, []
+    monkeypatch.setattr(neighbours.VantageTree, "_compare", lambda self, rows, active: (seen.append(len(active)), compare(self, rows, active)))
+    x = np.random.default_rng(4).normal(size=(300, 4))
+    _, row = neighbours.VantageTree(x, np.sqrt((x**2).sum(1).max())).search(x, 3, np.full(300, np.inf), 1.0)
+    assert (row == np.argsort(-(x @ x.T), 1, kind="stable")[:, :3]).all() and max(seen) <= 32
+
+
+def test_slices_of_repeated_rows():
+    first, copies = np.array([5, 0, 9, 2]), np.array([3, 4, 0, 1])
+    got = list(neighbours.expanded(first, copies, 3))
+    assert [len(e) for e, _ in got] == [3, 3, 2]
+    assert [(e, t) for entry, tree in got for e, t in zip(entry.tolist(), tree.tolist())] == [
+        (0, 5), (0, 6), (0, 7), (1, 0), (1, 1), (1, 2), (1, 3), (3, 2)]
+    assert list(neighbours.expanded(first[:0], copies[:0], 3)) == []
