@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from mandigrid.session import materialise
+
 # A word is a run of other characters than space, tab, line feed, vertical tab, form feed and
 # carriage return; bytes.split() divides UTF-8 at just these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,6 +66,51 @@ def fold_of(doc_id, folds: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
 
 
+def afforded(rows: list[tuple], size: int) -> list:
+    """Ids of the ``rows`` (id, label, bytes) that ``size`` bytes have room for, in the order given.
+
+    Each label has an equal share; a row too long for what is left of it is passed over. What
+    shares leave goes to rows passed over, again in order.
+    """
+    labels = {label for _, label, _ in rows}
+    left = {label: size // len(labels) for label in labels}
+    taken = set()
+    for i, label, n in rows:
+        if n <= left[label]:
+            left[label] -= n
+            taken.add(i)
+    spare = sum(left.values())
+    for i, _, n in rows:
+        if i not in taken and n <= spare:
+            spare -= n
+            taken.add(i)
+    return [i for i, _, _ in rows if i in taken]
+
+
+def whole_texts(sample: DataFrame, size: int, purpose: str) -> tuple[list[str], list]:
+    """Texts and labels of a bounded ``sample`` (doc_id, text, label), at most ``size`` bytes of
+    text in all, in the order of a hash of the id. One row is used of an id.
+
+    Sizes are found on Spark, and only texts that fit reach the driver. It is an error if that
+    leaves a label without any text.
+    """
+    sized = sample.dropDuplicates(["doc_id"]).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
+    sized = materialise(sized.select("doc_id", "text", "label", "size"), purpose)
+    order = (F.xxhash64("doc_id", F.lit(1)), F.col("doc_id"))
+    rows = [tuple(r) for r in sized.select("doc_id", "label", "size").orderBy(*order).collect()]  # bounded by the sample
+    ids = afforded(rows, size) if rows else []
+    chosen, label_of = set(ids), {i: label for i, label, _ in rows}
+    lost = set(label_of.values()) - {label_of[i] for i in ids}
+    if lost:
+        raise ValueError(f"no text of label {sorted(lost)} fits into {size} bytes")
+    if not ids:
+        return [], []
+    wanted = sample.sparkSession.createDataFrame([(i,) for i in chosen], sized.select("doc_id").schema)
+    found = sized.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").collect()  # ``size`` bytes at most
+    text_of = {r["doc_id"]: r["text"] or "" for r in found}
+    return [text_of[i] for i in ids], [label_of[i] for i in ids]
+
+
 def packed(values: np.ndarray, width: int = 4) -> bytes:
     """Unsigned numbers of ``width`` bytes: the first bytes of all, the second ones, and so on, compressed."""
     planes = np.ascontiguousarray(values, f"<u{width}").view(np.uint8).reshape(-1, width).T

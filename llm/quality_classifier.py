@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import per_row, texts
+from llm.common import per_row, texts, whole_texts
 from llm.quality_rules import labelled
 
-# Rated rows that the model is fitted on, at most.
-SAMPLE_ROWS = 6_000
+# Rated rows that the model is fitted on, and bytes of their texts, at most.
+SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 16 << 20
 BITS = 17
 # Buckets of the features that are no word or shape, at the end of the table.
 SAME_AS_BEFORE, REPEATED, ALWAYS, EMPTY = range((1 << BITS), (1 << BITS) + 4)
@@ -104,15 +104,15 @@ def fit_ordinal(documents: list[str], grades: np.ndarray, levels: int, rounds=30
     return Ordinal(p[0], np.cumsum(np.concatenate([p[1], np.exp(p[2])])))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, rows=SAMPLE_ROWS) -> Ordinal | None:
+def fit(docs: DataFrame, ratings: DataFrame, rows=SAMPLE_ROWS, size=SAMPLE_BYTES) -> Ordinal | None:
     """From at most ``rows`` of ``ratings`` (doc_id, grade from 0), the first by a hash of the
-    id, and the whole texts of these documents. None unless two grades occur."""
-    sample = labelled(docs, ratings, "grade", rows).dropDuplicates(["doc_id"]).orderBy("doc_id")
-    found = sample.select("text", "label").collect()  # bounded
-    grades = np.array([r["label"] for r in found], np.int64)
+    id, and the whole texts of these documents, ``size`` bytes in all; texts too long for what
+    is left are passed over. None unless two grades occur; an error if no text of one fits."""
+    found, labels = whole_texts(labelled(docs, ratings, "grade", rows), size, "quality-sample")
+    grades = np.array(labels, np.int64)
     if len(set(grades.tolist())) < 2:
         return None
-    return fit_ordinal([r["text"] or "" for r in found], grades, int(grades.max()) + 1)
+    return fit_ordinal(found, grades, int(grades.max()) + 1)
 
 
 def classify(docs: DataFrame, model: Ordinal | None, least=1, cut=0.5, keep=None) -> DataFrame:

@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import fold_of, per_row, texts
+from llm.common import fold_of, per_row, texts, whole_texts
+from mandigrid.session import materialise
 
 # Rows of each label that the model is fitted on, and bytes of their texts, at most.
 SAMPLE_ROWS, SAMPLE_BYTES = 1_500, 16 << 20
@@ -134,27 +135,22 @@ def fit_model(documents: list[list[bytes]], labels: list[int], weights: list[flo
 def fit(docs: DataFrame, labels: DataFrame, rows=SAMPLE_ROWS, size=SAMPLE_BYTES) -> Model | None:
     """A model from labelled rows (``toxic``) whose crc32 of the id is not 2 modulo 4.
 
-    Of each label at most ``rows`` ids are used, the first by a hash, and ``size`` bytes of
-    text in all; the rest of the work does not depend on this sample's size. Labels that are
-    null, or of both kinds for an id, are left out. None unless both labels occur.
+    Of each label at most ``rows`` ids of ``docs`` are used, the first by a hash, and ``size``
+    bytes of text in all; texts too long for what is left are passed over. The rest of the work
+    does not depend on this sample's size. Labels that are null, or of both kinds for an id, are
+    left out. None unless both labels occur; an error if no text of one fits.
     """
     one = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold_of(F.col("doc_id"), 4) != 2))
            .groupBy("doc_id").agg(F.min("toxic").alias("label"), F.max("toxic").alias("other")).where("label = other"))
+    one = materialise(one.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "label"), "toxicity-labels")
     share = {r["label"]: r["count"] for r in one.groupBy("label").count().collect()}  # two rows at most
     first = [one.where(F.col("label") == v).select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for v in (0, 1)]
     sample = docs.select("doc_id", "text").join(F.broadcast(first[0].union(first[1])), "doc_id")
-    ordered = sample.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
-    documents, ys = [], []
-    for row in ordered.toLocalIterator():
-        size -= len(row["text"] or "")
-        if size < 0:
-            break
-        documents.append(words_in(row["text"] or ""))
-        ys.append(row["label"])
-    if len(set(ys)) < 2:
+    if len(share) < 2:
         return None
+    found, ys = whole_texts(sample, size, "toxicity-sample")
     weights = [share[v] ** 0.5 / ys.count(v) for v in (0, 1)]  # between their shares and equal ones
-    return fit_model(documents, ys, [weights[v] for v in ys])
+    return fit_model([words_in(t) for t in found], ys, [weights[v] for v in ys])
 
 
 def score(docs: DataFrame, model: Model | None, keep=None, cut=0.3) -> DataFrame:

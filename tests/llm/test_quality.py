@@ -4,8 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from llm import quality_classifier, quality_rules, toxicity
+from llm.common import afforded, fold_of
 
 SCHEMA = "doc_id long, text string, n_words string, source string"
 
@@ -120,3 +122,44 @@ def test_ngrams_of_a_word_are_the_same_in_any_company():
     for i, w in enumerate(alone):
         assert sorted(buckets[owner == i]) == alone[w]
         assert len(alone[w]) == sum(max(0, len(w) + 2 - n + 1) for n in toxicity.GRAMS)
+
+
+def first_by_the_hash(spark, ids):
+    return spark.createDataFrame([(i,) for i in ids], "doc_id long").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").first()[0]
+
+
+def test_a_text_over_the_budget_is_passed_over(spark):
+    docs, labels = corpus(spark, 400)
+    used = labels.where(fold_of(F.col("doc_id"), 4) != 2)
+    long = first_by_the_hash(spark, [r[0] for r in used.collect()])
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == long, F.repeat(F.lit("filler "), 60_000)).otherwise(F.col("text")))
+    model = toxicity.fit(docs, labels, size=400_000)
+    out = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model).collect() if r["doc_id"] != long}
+    assert sum(p == (i % 5 == 2) for i, p in out.items()) >= 0.95 * len(out)
+    model = quality_classifier.fit(docs, quality_classifier.grades(labels), size=400_000)
+    out = {r["doc_id"]: r["kept"] for r in quality_classifier.classify(docs, model).collect() if r["doc_id"] != long}
+    assert sum(k == (i % 4 != 1) for i, k in out.items()) >= 0.97 * len(out)
+
+
+def test_labels_of_documents_that_are_not_given_take_no_place(spark):
+    docs, labels = corpus(spark, 400)
+    more = labels.unionByName(spark.range(1000, 9000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") % 2).cast("int").alias("toxic")))
+    model = toxicity.fit(docs, more, rows=200)
+    out = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model).collect()}
+    assert sum(p == (i % 5 == 2) for i, p in out.items()) >= 0.95 * len(out)
+
+
+def test_a_label_without_a_text_that_fits_is_an_error(spark):
+    docs, labels = corpus(spark, 60)
+    docs = docs.join(labels.where("toxic = 1"), "doc_id", "left").withColumn(
+        "text", F.when(F.col("toxic") == 1, F.repeat(F.lit("filler "), 20_000)).otherwise(F.col("text"))).select("doc_id", "text")
+    with pytest.raises(ValueError, match="label"):
+        toxicity.fit(docs, labels, size=100_000)
+    with pytest.raises(ValueError, match="label"):
+        quality_classifier.fit(docs, labels.select("doc_id", F.col("toxic").alias("grade")), size=100_000)
+
+
+def test_room_for_texts():
+    rows = [(1, 0, 90), (2, 0, 10), (3, 1, 20), (4, 0, 45), (5, 1, 25), (6, 0, 40), (7, 1, 6)]
+    assert afforded(rows, 100) == [2, 3, 5, 6]
+    assert afforded(rows, 200) == [1, 2, 3, 4, 5, 7] and afforded(rows, 1000) == [1, 2, 3, 4, 5, 6, 7]
