@@ -3,10 +3,11 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from llm import bpe, chat, jaccard, language_model, mixing, neighbours, quality_classifier, quality_rules, token_counts, toxicity
+from llm import bpe, chat, jaccard, language_model, mixing, neighbours, quality_classifier, quality_rules, token_counts, toxicity, transducer
 from llm.common import fold_of, table
 
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_bpe(spark, sf_dir):
@@ -79,6 +80,12 @@ def op10_toxicity(spark, sf_dir):
     return scored.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op11_byte_bpe(spark, sf_dir):
+    """Encode and decode every text of ``documents`` by a file of ranks; digests of both."""
+    return transducer.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS),
+                                    ("n_tokens", "ids_sha256", "decoded_sha256"), keep=["doc_id"])
+
+
 QUERIES = {
     "op1_bpe": (op1_bpe, None),
     "op2_jaccard": (op2_jaccard, jaccard.SQL),
@@ -90,4 +97,5 @@ QUERIES = {
     "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_token_counts": (op9_token_counts, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_byte_bpe": (op11_byte_bpe, None),
 }
