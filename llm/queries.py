@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from llm import bpe, chat, jaccard, language_model, mixing, neighbours, quality_classifier, quality_rules, token_counts, toxicity, transducer
+from llm import bpe, chat, collocations, jaccard, language_model, mixing, neighbours, prefix_trie, quality_classifier, quality_rules, token_counts, toxicity, transducer
 from llm.common import fold_of, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -86,6 +86,16 @@ def op11_byte_bpe(spark, sf_dir):
                                     ("n_tokens", "ids_sha256", "decoded_sha256"), keep=["doc_id"])
 
 
+def op12_prefix_trie(spark, sf_dir):
+    """The trie of the beginnings that rebuilt ``conversations`` share."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_collocations(spark, sf_dir):
+    """The 2,000 best phrases of each language of ``documents``."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": (op1_bpe, None),
     "op2_jaccard": (op2_jaccard, jaccard.SQL),
@@ -98,4 +108,6 @@ QUERIES = {
     "op9_token_counts": (op9_token_counts, None),
     "op10_toxicity": (op10_toxicity, None),
     "op11_byte_bpe": (op11_byte_bpe, None),
+    "op12_prefix_trie": (op12_prefix_trie, prefix_trie.SQL),
+    "op13_collocations": (op13_collocations, collocations.SQL),
 }
