@@ -1,19 +1,11 @@
-"""Placing markets: location lookup, addresses, pin codes."""
+"""Placing markets: location lookup, pin codes, coordinates."""
 
 from pyspark.sql import DataFrame, functions as F
 
-from mandigrid.fixed_values import (
-    DISTRICT_MARKERS, DISTRICT_REACH, MANDI_LOOKALIKES, MARKET_KEY_ALIASES, MARKET_TALUK_ALIASES,
-    NOT_A_DISTRICT_WORD, TALUK_FALSE_SUFFIXES, TALUK_MARKERS, TALUK_REACH, TALUK_STOPWORDS,
-)
+from mandigrid.fixed_values import MARKET_KEY_ALIASES
 from mandigrid.functions.keys import location_key
 from mandigrid.functions.missing import col
-from mandigrid.functions.similarity import edit_allowance, let, ngram_similarity
-from mandigrid.functions.text import replace_whole, to_initials, words_around
-
-
-DISTRICT_WINDOW = words_around(DISTRICT_MARKERS, DISTRICT_REACH)
-TALUK_WINDOW = words_around(TALUK_MARKERS, TALUK_REACH)
+from mandigrid.functions.similarity import ngram_similarity
 
 
 def add_location(obs: DataFrame, locations: DataFrame) -> DataFrame:
@@ -57,157 +49,6 @@ def add_location_rowwise(obs: DataFrame, locations: DataFrame) -> DataFrame:
     }).drop("_k0", "_k1", "_d0", "_d1", "_t0", "_t1")
 
 
-def unit_names(postal: DataFrame) -> DataFrame:
-    """One row per state with its district and taluk names, and districts' initials.
-
-    The arrays hold the names of administrative units, a few hundred per state.
-    """
-    def names(c):
-        return F.sort_array(F.collect_set(F.nullif(F.col(c), F.lit(""))))
-
-    units = postal.groupBy("state").agg(
-        names("district").alias("districts"), names("taluk").alias("taluks"))
-    spelt = F.transform("districts", lambda d: F.struct(
-        d.alias("name"), to_initials(d).alias("spellings")))
-    return units.withColumn("initials", F.filter(spelt, lambda i: F.size(i["spellings"]) > 0))
-
-
-def taluks_by_district(postal: DataFrame) -> DataFrame:
-    return postal.filter(F.length("taluk") > 0).groupBy("state", "district").agg(
-        F.sort_array(F.collect_set("taluk")).alias("district_taluks"))
-
-
-def _longest(names):
-    """Longest name of an array, the first in order among equals; NULL if empty."""
-    ranked = F.transform(names, lambda n: F.struct((-F.length(n)).alias("l"), n.alias("n")))
-    return F.get(F.array_sort(ranked), 0)["n"]
-
-
-def _most_similar(names, phrase):
-    ranked = F.transform(
-        names, lambda n: F.struct((-ngram_similarity(phrase, n)).alias("s"), n.alias("n")))
-    return F.get(F.array_sort(ranked), 0)
-
-
-_MOST_EDITS = 2
-
-
-def _fuzzy(names, phrase, allowance):
-    """The names within reach of a phrase."""
-    wanted = F.struct(F.lower(phrase).alias("low"), edit_allowance(phrase, allowance).alias("k"))
-    return let(wanted, lambda w: F.filter(names, lambda n: F.levenshtein(
-        F.lower(n), w["low"], _MOST_EDITS).between(0, w["k"])))
-
-
-def _window_match(names, phrases, allowance):
-    """Best name among those near the words before or after a marker word."""
-    return _word_match(names, F.array(*phrases), allowance, None)
-
-
-def _word_match(names, words, allowance, allowed):
-    """Best name over all words of an address."""
-    def near(w):
-        found = _fuzzy(names, w, allowance)
-        return found if allowed is None else F.filter(found, lambda n: allowed(n, w))
-
-    scored = F.transform(words, lambda w: _most_similar(near(w), w))
-    return F.get(F.array_sort(F.filter(scored, lambda x: x.isNotNull())), 0)["n"]
-
-
-def _district_words(address):
-    return [F.trim(F.regexp_extract(address, DISTRICT_WINDOW, i)) for i in (1, 2)]
-
-
-def district_of(address, districts, initials):
-    """The district an address names, by the first rule that finds one.
-
-    1. a known name occurs in it (the longest); 2. the words around "dist" or "dt"
-    are nearly a name; 3. a name's initials occur; 4. a word of the last part is
-    one edit from a name.
-    """
-    address, districts, initials = col(address), col(districts), col(initials)
-    contained = _longest(F.filter(districts, lambda d: F.contains(address, d)))
-    marked = F.when(address.rlike(DISTRICT_WINDOW),
-                    _window_match(districts, _district_words(address), 2))
-    by_initials = F.get(F.filter(initials, lambda i: F.exists(
-        i["spellings"], lambda s: F.contains(address, s))), 0)["name"]
-    last_part = F.split(F.element_at(F.split(address, ", "), -1), " ")
-
-    def allowed(d, word):
-        return ~((word == "Mandi") & d.isin(*MANDI_LOOKALIKES)) & ~word.isin(*NOT_A_DISTRICT_WORD)
-
-    by_word = _word_match(districts, last_part, 1, allowed)
-    return F.when(F.length(address) > 0, F.coalesce(contained, marked, by_initials, by_word))
-
-
-def _without_district_words(address, districts):
-    """The address less the words its district was recognised by, if they occur once.
-
-    Words count as such only if the address does not hold a district's name as it is.
-    """
-    before, after = _district_words(address)
-
-    def near(words):
-        return F.when(F.size(_fuzzy(districts, words, 2)) > 0, F.nullif(words, F.lit("")))
-
-    found = F.when(~F.exists(districts, lambda d: F.contains(address, d)),
-                   F.coalesce(near(after), near(before)))
-
-    def cut(words):
-        once = F.size(F.split(address, F.concat(F.lit(r"\Q"), words, F.lit(r"\E")))) == 2
-        rest = F.regexp_replace(F.replace(address, words, F.lit("")), r"\s+$", "")
-        rest = F.regexp_replace(F.regexp_replace(rest, r",+$", ""), r"\s+", " ")
-        return F.when(words.isNotNull() & once, rest).otherwise(address)
-
-    return let(found, cut)
-
-
-def taluk_of(address, taluks, districts, market=None):
-    """The taluk an address names, by the first rule that finds one.
-
-    1. the words around "mandal", "tehsil" or "taluk" are one edit from a name;
-    2. a name occurs in the market's name; 3. a name occurs in the address, but not
-    as that of a road; 4. a longer word of it is within two edits of a name.
-    """
-    address, taluks, districts = col(address), col(taluks), col(districts)
-    words = [F.trim(F.regexp_replace(F.regexp_extract(address, TALUK_WINDOW, i), r"\d", ""))
-             for i in (1, 2)]
-    marked = F.when(address.rlike(TALUK_WINDOW), _window_match(taluks, words, 1))
-    rules = [marked]
-    if market is not None:
-        named = replace_whole(market, MARKET_TALUK_ALIASES)
-        rules.append(_longest(F.filter(taluks, lambda t: F.contains(named, t))))
-
-    def in_rest(rest):
-        def named(t):
-            hit = F.contains(rest, t)
-            for suffix in TALUK_FALSE_SUFFIXES:
-                hit = hit & ~F.contains(rest, F.concat(t, F.lit(suffix)))
-            return hit
-
-        long_words = F.filter(F.split(rest, " "),
-                              lambda w: (F.length(w) >= 4) & ~w.isin(*TALUK_STOPWORDS))
-        return F.coalesce(_longest(F.filter(taluks, named)),
-                          _word_match(taluks, long_words, 2, None))
-
-    rules.append(let(_without_district_words(address, districts), in_rest))
-    return F.when(F.length(address) > 0, F.coalesce(*rules))
-
-
-def assign_districts(addresses: DataFrame, names: DataFrame, columns=("apmc_address",)
-                     ) -> DataFrame:
-    """Addresses with the district found in the first of the columns that names one.
-
-    The rules take milliseconds for a row, so rows are dealt out by number, not by
-    the few bytes they have.
-    """
-    parallel = int(addresses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = addresses.repartition(parallel).join(
-        names.select("state", "districts", "initials"), "state", "left")
-    found = F.coalesce(*[district_of(c, "districts", "initials") for c in columns])
-    return joined.withColumn("district", found).drop("districts", "initials")
-
-
 def location_score(district, taluk, pin_district, pin_taluk):
     """How well a postal entry fits what an address says.
 

@@ -14,7 +14,7 @@ from mandigrid.functions.text import (
     find_pin, market_without_district, normalize_address, replace_patterns, replace_whole, squeeze,
     tidy_punctuation, title,
 )
-from mandigrid.operators import locate
+from mandigrid.operators import addresses, locate
 from mandigrid.operators.matching import (
     alternate_candidates, assign_once, candidates,
 )
@@ -39,21 +39,20 @@ def locate_markets(markets: DataFrame, postal: DataFrame, key="market_id") -> Da
     The address decides; if its pin is in the postal directory, the entry that
     fits best overrides it; a taluk of one district only settles what is left.
     """
-    names = locate.unit_names(postal)
     raw = markets.withColumn("pin", find_pin("apmc_address"))
-    read = raw.withColumns({a: normalize_address(a, "state")
-                            for a in ("apmc_address", "secretary_address")})
-    joined = read.join(names, "state", "left").withColumn("district", F.coalesce(
-        locate.district_of("apmc_address", "districts", "initials"),
-        locate.district_of("secretary_address", "districts", "initials")))
-    joined = joined.join(locate.taluks_by_district(postal), ["state", "district"], "left")
-    pool = F.coalesce("district_taluks", "taluks")
-    placed = joined.withColumn("taluk", F.coalesce(
-        locate.taluk_of("apmc_address", pool, "districts", "market"),
-        locate.taluk_of("secretary_address", pool, "districts")))
+    columns = ["apmc_address", "secretary_address"]
+    read = raw.withColumns({a: normalize_address(a, "state") for a in columns})
+    placed = addresses.assign_districts(read, postal.select("state", "district"), columns)
+    # what an address says of the taluk counts before what the secretary's does
+    for i, market in ((0, F.col("market")), (1, F.lit(None).cast("string"))):
+        said = placed.select(key, "state", "district", F.col(columns[i]).alias("address"),
+                             F.col(f"told_{i}").alias("told"), market.alias("market"))
+        found = addresses.find_taluks(said, postal).select(key, F.col("taluk").alias(f"taluk_{i}"))
+        placed = placed.join(found, key, "left")
+    placed = placed.withColumn("taluk", F.coalesce("taluk_0", "taluk_1")).drop(
+        *[f"{c}_{i}" for c in ("told", "rule", "taluk") for i in (0, 1)])
     # the rules are costly, and their result is used three times below
-    placed = materialise(placed.drop(
-        "districts", "taluks", "initials", "district_taluks"), "addresses")
+    placed = materialise(placed, "addresses")
     by_pin = locate.best_by_pin(placed, postal, key)
     merged = placed.join(by_pin, key, "left").withColumns({
         "district": F.coalesce("pin_district", "district"),

@@ -1,12 +1,12 @@
 """The registered queries: each operator on the benchmark tables, with its SQL twin."""
 
 from mandigrid.queries import (
-    catalogue, cleaning, files, matching, plans, quality, reference, rollups, serving, streaming,
-    timeseries,
+    addresses, catalogue, cleaning, files, matching, plans, quality, reference, rollups, serving,
+    streaming, timeseries,
 )
 
-MODULES = (rollups, catalogue, quality, timeseries, serving, cleaning, matching, reference, plans,
-           streaming, files)
+MODULES = (rollups, catalogue, quality, timeseries, serving, cleaning, matching, addresses, reference,
+           plans, streaming, files)
 
 
 def all_queries():

@@ -3,10 +3,9 @@
 from pyspark.sql import functions as F
 
 from mandigrid.functions.similarity import fuzzy_match, ngram_similarity
-from mandigrid.functions.text import capwords, normalize_address
 from mandigrid.operators import locate, matching
 from mandigrid.queries.common import n, present, s
-from mandigrid.sources.standins import documents, table, with_places
+from mandigrid.sources.standins import documents, table
 
 
 
@@ -95,28 +94,6 @@ def district_from_taluk(spark, sf_dir):
     return locate.district_from_taluk(markets, postal)
 
 
-def address_district(spark, sf_dir):
-    """Order lines as market addresses: spelt right, misspelt, or without 'Dist'."""
-    lines = with_places((table(spark, sf_dir, "lineitem").select(
-        "l_suppkey", "l_partkey", "l_returnflag")), spark, sf_dir)
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    first, second = (F.element_at(F.split("p_name", " "), i) for i in (1, 2))
-    wrong = F.concat_ws(" ", _damaged(first), _damaged(second))
-    written = (F.when(F.col("l_returnflag") == "A", F.concat(
-        "market", F.lit(" Mill, DISST "), "p_name", F.lit("-534001, "), "state"))
-        .when(F.col("l_returnflag") == "N", F.concat(
-            "market", F.lit(" Mill, Dist "), wrong, F.lit("-534001, "), "state"))
-        .otherwise(F.concat("market", F.lit(" Mill, "), _damaged(second), F.lit(", "), "state")))
-    rows = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-        "state", "p_name", normalize_address(written, "state").alias("address"))
-    addresses = rows.groupBy("state", "address").agg(F.count(F.lit(1)).alias("n"))
-    name = capwords("p_name")
-    units = rows.select("state", "p_name").distinct().select(
-        "state", F.explode(F.array(name, F.element_at(F.split(name, " "), 2))).alias("district"),
-        F.lit("").alias("taluk"))
-    return locate.assign_districts(addresses, locate.unit_names(units), ["address"])
-
-
 # --- SQL -------------------------------------------------------------------
 
 def damaged(x):
@@ -231,38 +208,6 @@ FROM c JOIN sd ON sd.a = d AND sd.b = district LEFT JOIN st ON st.a = t AND st.b
 QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY
   sd.similarity + coalesce(st.similarity, 0) DESC, district, taluk) = 1"""
 
-_cap = "(upper({0}[1]) || lower({0}[2:]))"
-_W1, _W2 = "string_split(p_name, ' ')[1]", "string_split(p_name, ' ')[2]"
-_ADDRESS = f"""
-WITH rows AS (
-  SELECT r_name AS state, p_name, CASE l_returnflag
-    WHEN 'A' THEN 'Supplier Mill , Dist ' || {_cap.format(_W1)} || ' ' || {_cap.format(_W2)}
-    WHEN 'N' THEN 'Supplier Mill , Dist ' || {_cap.format(damaged(_W1))} || ' '
-                  || {_cap.format(damaged(_W2))}
-    ELSE 'Supplier Mill , ' || {_cap.format(damaged(_W2))} END AS address
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
-  JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-addresses AS (SELECT state, address, {n('count(*)')} AS n FROM rows GROUP BY state, address),
-names AS (SELECT DISTINCT state, unnest([{_cap.format(_W1)} || ' ' || {_cap.format(_W2)},
-                                  {_cap.format(_W2)}]) AS d FROM rows),
-phrases AS (
-  SELECT DISTINCT state, address, 2 AS rule, 2 AS k,
-         trim(regexp_extract(address, '(?i)dist((?:\\s+\\w+){{0,2}})', 1)) AS phrase
-  FROM addresses WHERE regexp_matches(address, '(?i)dist') UNION ALL
-  SELECT DISTINCT state, address, 4, 1, unnest(string_split(list_extract(string_split(address, ', '), -1),
-                                                     ' ')) FROM addresses),
-hits AS (SELECT p.state, address, rule, phrase, d FROM phrases p JOIN names USING (state)
-         WHERE levenshtein(lower(phrase), lower(d)) <= k),
-{sims('hits', 'phrase', 'd')},
-found AS (
-  SELECT state, address, 1 AS rule, CAST(length(d) AS DOUBLE) AS score, d
-  FROM addresses JOIN names USING (state) WHERE contains(address, d) UNION ALL
-  SELECT state, address, rule, similarity, d FROM hits JOIN sim ON sim.a = phrase AND sim.b = d),
-best AS (SELECT state, address, d FROM found
-         QUALIFY row_number() OVER (PARTITION BY state, address ORDER BY rule, score DESC, d) = 1)
-SELECT a.state, a.address, n, best.d AS district FROM addresses a
-LEFT JOIN best ON best.address = a.address AND best.state = a.state"""
-
 QUERIES = {
     "fuzzy_best": (fuzzy_best, _best_sql(
         damaged("p_name"), "p_name", "levenshtein(lower(a), lower(b)) <= 2")),
@@ -286,5 +231,4 @@ u AS (SELECT taluk, min(p_brand) AS only_district FROM r GROUP BY taluk
       HAVING count(DISTINCT p_brand) = 1)
 SELECT p_partkey, r.taluk, CASE WHEN p_size > 20 THEN 'known' ELSE only_district END AS district
 FROM r LEFT JOIN u ON r.taluk = u.taluk"""),
-    "address_district": (address_district, _ADDRESS),
 }

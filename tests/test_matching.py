@@ -115,48 +115,6 @@ def test_top_candidate(rows):
     assert tuple(matching.top_candidate(df, "k", "s", "n").first()) == ("k", "a", 0.9)
 
 
-NAMES = ["East Godavari", "Guntur", "Kota", "West Godavari", "Bundi", "Goa"]
-
-
-def find(rows, address):
-    names = locate.unit_names(rows([("S", d, "") for d in NAMES],
-                                   "state string, district string, taluk string"))
-    df = rows([("S", address)], "state string, address string")
-    return locate.assign_districts(df, names, ["address"]).first().district
-
-
-def test_district_rules(rows):
-    # a contained name, the longest
-    assert find(rows, "Main Rd , Dist West Godavari") == "West Godavari"
-    # words around "dist"; compass words allow one edit only
-    assert find(rows, "Main Rd , Dist West Godavar") == "West Godavari"
-    assert find(rows, "Gunturr Xdist , Z") == "Guntur"
-    assert find(rows, "Guntar Dist , Elsewhere") == "Guntur"
-    # initials
-    assert find(rows, "Tadepalligudem WG Station") == "West Godavari"
-    # a word of the last part, one edit
-    assert find(rows, "Mill Street , Guntor") == "Guntur"
-    # lookalikes are not districts
-    assert find(rows, "Anaj , Mandi") is None
-    assert find(rows, "") is None and find(rows, None) is None
-
-
-def taluk(rows, address, market=None):
-    df = rows([(address, market, ["Tenali", "Mangalagiri", "Tenali Town"], NAMES)],
-              "address string, market string, taluks array<string>, districts array<string>")
-    column = locate.taluk_of("address", "taluks", "districts", "market" if market else None)
-    return df.select(column).first()[0]
-
-
-def test_taluk_rules(rows):
-    assert taluk(rows, "Tenalii Mandal , Guntur") == "Tenali"
-    assert taluk(rows, "Big Street", "Tenali Market") == "Tenali"
-    assert taluk(rows, "Old Tenali Town , X") == "Tenali Town"
-    assert taluk(rows, "Tenali Road , Mangalagiri") == "Mangalagiri"
-    assert taluk(rows, "Near Mangalgirri , X") == "Mangalagiri"
-    assert taluk(rows, "Near Station , X") is None
-
-
 def test_pin_overrides_address(rows):
     markets = rows([(1, "515571", "Anantapur", "Hindupur"), (2, "999999", "A", "B"),
                     (3, None, "A", "B"), (4, "515571", None, None)],
