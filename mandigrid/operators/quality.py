@@ -75,13 +75,32 @@ def market_days(obs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("modal_len"),
         (count_missing("tonnage") > 0).cast("long").alias("tonnage_gap"),
         F.min(first).alias("first"),
+        F.collect_set("tonnage").alias("weighed"),
     )
     return add_year_month(days).withColumns({
         "tonnage_nas": F.col("first.tonnage").isNull().cast("long"),
         "tonnage_len": F.lit(1).cast("long"),
         "joint_nas": (F.col("first.tonnage").isNull()
                       & F.col("first.modal_price").isNull()).cast("long"),
-    }).drop("first")
+        # of a day that repeats a tonnage it counts once
+        "tonnage": F.when(F.size("weighed") > 0, F.aggregate(
+            "weighed", F.lit(0.0), lambda a, b: a + b)),
+    }).drop("first", "weighed")
+
+
+DAY_COUNTS = [*MISSING, "tonnage_gap", "tonnage"]
+
+
+def months_of_days(days: DataFrame, units=()) -> DataFrame:
+    """Market days added up by month: counts, tonnage, and the days as a bitmap."""
+    return days.groupBy("category", "commodity", *units, "year", "month").agg(
+        *[F.sum(c).alias(c) for c in DAY_COUNTS], days_seen("date").alias("days"))
+
+
+def months_of_months(months: DataFrame, units=()) -> DataFrame:
+    """Months of wider units: counts are added, days united."""
+    return months.groupBy("category", "commodity", *units, "year", "month").agg(
+        *[F.sum(c).alias(c) for c in DAY_COUNTS], F.bit_or("days").alias("days"))
 
 
 def missing_by(obs: DataFrame, units=(), time=()) -> DataFrame:
@@ -145,7 +164,7 @@ def tonnage_by_time(obs: DataFrame, units=()) -> DataFrame:
 
 def tonnage_of_days(days: DataFrame, units=()) -> DataFrame:
     fixed = [*units, "category", "commodity"]
-    rows = add_year_month(days)
+    rows = days if "year" in days.columns else add_year_month(days)
     monthly = rows.groupBy(*fixed, "year", "month").agg(F.sum("tonnage").alias("tonnage"))
     sets = [[*fixed, "year", "month"], [*fixed, "year"], fixed]
     out = monthly.groupingSets(sets, *fixed, "year", "month").agg(
@@ -162,54 +181,79 @@ def tonnage_month_mean(obs: DataFrame, units=()) -> DataFrame:
 
 def tonnage_month_mean_of_days(days: DataFrame, units=()) -> DataFrame:
     fixed = [*units, "category", "commodity"]
-    monthly = add_year_month(days).groupBy(*fixed, "year", "month").agg(
-        F.sum("tonnage").alias("tonnage"))
+    rows = days if "year" in days.columns else add_year_month(days)
+    monthly = rows.groupBy(*fixed, "year", "month").agg(F.sum("tonnage").alias("tonnage"))
     return monthly.groupBy(*fixed, "month").agg(F.avg("tonnage").alias("tonnage"))
 
 
+def days_seen(date):
+    """Aggregate: the days of one month that occur, a bit for each."""
+    return F.bit_or(F.expr(f"shiftleft(1L, dayofmonth({date}) - 1)"))
+
+
 def coverage(obs: DataFrame, keys, start=None, end=None) -> DataFrame:
     """Share of days with at least one row, in percent.
 
     The days are those from ``start`` to ``end``, both included, or, without
-    them, the whole months from the group's first to its last date.
+    them, the whole months from the group's first to its last date. No distinct days
+    are shuffled: a month of a group is one bitmap, combined map-side.
     """
-    keys = list(keys)
     rows = obs if "year" in obs.columns else add_year_month(obs)
-    days = rows.filter(F.col("date").isNotNull()).select(*keys, "date").distinct()
-    if start is not None:
-        start, end = F.lit(start).cast("date"), F.lit(end).cast("date")
-        inside = F.count_if(F.col("date").between(start, end))
-        span = F.datediff(end, start) + 1
-        return days.groupBy(*keys).agg(percent(inside, span).alias("coverage"))
-    return days.groupBy(*keys).agg(
-        percent(F.count(F.lit(1)), month_span_days(F.min("date"), F.max("date")))
-        .alias("coverage"))
+    units = [k for k in keys if k not in ("year", "month")]
+    months = rows.filter(F.col("date").isNotNull()).groupBy(*units, "year", "month").agg(
+        days_seen("date").alias("days"))
+    return coverage_of_months(months, keys, start, end)
 
 
-_PLACE_SETS = {"market": ["state", "district", "market"], "state": ["state"]}
+def _days_between(start, end):
+    """Bitmap of the days of a row's month that lie in a range of dates."""
+    month = F.col("year") * 12 + F.col("month")
+
+    def number(d):
+        return F.year(d) * 12 + F.month(d)
+
+    all_days = F.lit(-1).cast("long")
+    first = F.when(month == number(start), F.expr("shiftleft(-1L, dayofmonth(_start) - 1)"))
+    last = F.when(month == number(end), F.expr("shiftleft(1L, dayofmonth(_end)) - 1"))
+    inside = F.coalesce(first, all_days).bitwiseAND(F.coalesce(last, all_days))
+    return F.when(month.between(number(start), number(end)), inside).otherwise(F.lit(0).cast("long"))
 
 
-def state_days(obs: DataFrame) -> DataFrame:
-    """The distinct days of each state and commodity: all that wider reports need."""
-    return add_year_month(obs.select("category", "commodity", "state", "date").distinct())
+def coverage_of_months(months: DataFrame, keys, start=None, end=None) -> DataFrame:
+    """``coverage`` from bitmaps: ``months`` has year, month, days and one row for each month of
+    the keys' units."""
+    rows = months.filter(F.col("days").isNotNull())
+    if start is not None:
+        rows = rows.withColumns({"_start": F.lit(start).cast("date"), "_end": F.lit(end).cast("date")})
+        start, end = F.col("_start"), F.col("_end")
+        inside = F.bit_count(F.col("days").bitwiseAND(_days_between(start, end)))
+        span = F.datediff(F.first(end), F.first(start)) + 1
+        return rows.groupBy(*keys).agg(percent(F.sum(inside), span).alias("coverage"))
+    month = F.make_date("year", "month", F.lit(1))
+    span = month_span_days(F.min(month), F.max(month))
+    return rows.groupBy(*keys).agg(percent(F.sum(F.bit_count("days")), span).alias("coverage"))
+
+
+_PLACE_SETS = {"market": ["state", "district", "market"], "state": ["state"]}
 
 
-def coverage_reports(obs: DataFrame, start, end, by_state: DataFrame = None) -> dict:
+def coverage_reports(months: DataFrame, start, end, by_state: DataFrame = None) -> dict:
     """All coverage reports, by name; each is a lazy DataFrame.
 
-    ``by_state`` are the days of the states, if they have been stored.
+    ``months`` are those of markets (``months_of_days``); ``by_state`` those of states, if they
+    have been stored.
     """
-    obs = add_year_month(obs)
-    by_state = state_days(obs) if by_state is None else by_state
+    by_state = months_of_months(months, ["state"]) if by_state is None else by_state
     named = ["category", "commodity"]
-    reports = {"commodity": coverage(by_state, named, start, end)}
+    total = months_of_months(by_state)
+    reports = {"commodity": coverage_of_months(total, named, start, end)}
     for time in (["year"], ["month"], ["year", "month"]):
-        reports["-".join(time)] = coverage(by_state, [*named, *time])
+        reports["-".join(time)] = coverage_of_months(total, [*named, *time])
     for name, place in _PLACE_SETS.items():
-        days = obs if name == "market" else by_state
-        reports[name] = coverage(days, [*named, *place], start, end)
+        own = months if name == "market" else by_state
+        reports[name] = coverage_of_months(own, [*named, *place], start, end)
         for time in (["year"], ["year", "month"]):
-            reports[f"{name}_{'-'.join(time)}"] = coverage(days, [*named, *place, *time])
+            reports[f"{name}_{'-'.join(time)}"] = coverage_of_months(own, [*named, *place, *time])
         reports[f"{name}_month"] = coverage_month_mean(reports[f"{name}_year-month"])
     return reports
 

@@ -11,10 +11,10 @@ _TIMES = {"": [], "_year-month": ["year", "month"], "_year": ["year"], "_month":
 def compute_statistics(obs: DataFrame, start, end, store=None) -> dict:
     """Report name -> lazy DataFrame, for all commodities at once.
 
-    The bulletins are read twice, whatever the number of reports: once for a table
-    of market days and once for one of day tonnages. Reports by month or by state
-    come from small tables made of these. All of them are written to the shared
-    folder, where they also outlive a lost executor.
+    The bulletins are read once, for a table of market months: counts, tonnage and
+    the month's days as a bitmap. It and the months of the states, made of it, are
+    written to the shared folder, where they also outlive a lost executor; every
+    report comes from one of the two.
     """
     spark = obs.sparkSession
     store = store or shared_dir(spark, "statistics")
@@ -23,21 +23,19 @@ def compute_statistics(obs: DataFrame, start, end, store=None) -> dict:
         df.write.parquet(f"{store}/{name}")
         return spark.read.parquet(f"{store}/{name}")
 
-    days = stored(quality.market_days(obs), "days")
-    gaps = stored(days.groupBy("category", "commodity", "state", "year", "month").agg(
-        *[F.sum(c).alias(c) for c in (*quality.MISSING, "tonnage_gap")]), "gaps")
-    by_state = stored(quality.state_days(days), "state_days")
-    tonnage = stored(quality.market_day_tonnage(obs), "tonnage")
+    months = stored(quality.months_of_days(
+        quality.market_days(obs), ["state", "district", "market"]), "market_months")
+    by_state = stored(quality.months_of_months(months, ["state"]), "state_months")
 
-    reports = {"nas_by_commodity": quality.missing_total_in_days(gaps)}
+    reports = {"nas_by_commodity": quality.missing_total_in_days(by_state)}
     for suffix, time in _TIMES.items():
-        reports[f"nas_by_state{suffix}"] = quality.missing_in_days(gaps, ["state"], time)
+        reports[f"nas_by_state{suffix}"] = quality.missing_in_days(by_state, ["state"], time)
         if time:
-            reports[f"nas_by{suffix}"] = quality.missing_in_days(gaps, (), time)
+            reports[f"nas_by{suffix}"] = quality.missing_in_days(by_state, (), time)
     for name, units in (("tonnage", []), ("tonnage_by_state", ["state"])):
-        reports[name] = quality.tonnage_of_days(tonnage, units)
-        reports[f"{name}_month_mean"] = quality.tonnage_month_mean_of_days(tonnage, units)
-    for name, report in quality.coverage_reports(days, start, end, by_state).items():
+        reports[name] = quality.tonnage_of_days(by_state, units)
+        reports[f"{name}_month_mean"] = quality.tonnage_month_mean_of_days(by_state, units)
+    for name, report in quality.coverage_reports(months, start, end, by_state).items():
         reports[f"coverage_by_{name}"] = report
     return reports
 

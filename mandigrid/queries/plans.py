@@ -128,25 +128,21 @@ def integrated_bulletins(spark, sf_dir):
         F.sum("tonnage").alias("tonnage")))
 
 
-def _summary(reports: dict) -> DataFrame:
-    """(report, rows, total of its first measure), all reports."""
-    rows = []
-    for name, report in reports.items():
-        measure = next(c for c in ("modal_nas", "tonnage", "coverage") if c in report.columns)
-        rows.append(report.agg(F.lit(name).alias("report"), F.count(F.lit(1)).alias("n"),
-                               F.sum(snap(F.col(measure).cast("double"))).alias("total")))
-    return reduce(DataFrame.unionByName, rows)
+def _all_rows(reports: dict) -> DataFrame:
+    """All rows of all reports, each with its report's name; NULL where a report lacks a column."""
+    named = [report.withColumn("report", F.lit(name)) for name, report in reports.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
 def statistics(spark, sf_dir):
     obs = observations(spark, sf_dir)
-    return present(_summary(compute_statistics(obs, START, END)))
+    return present(_all_rows(compute_statistics(obs, START, END)))
 
 
 def statistics_combined(spark, sf_dir):
     obs = observations(spark, sf_dir)
     reports = combine_statistics(compute_statistics(obs, START, END))
-    return present(_summary({k: reports[k] for k in ("nas_by_state_year", "coverage_by_year")}))
+    return present(_all_rows({k: reports[k] for k in ("nas_by_state_year", "coverage_by_year")}))
 
 
 def stored_rollups(spark, sf_dir):
@@ -214,14 +210,9 @@ SELECT {cols}, month, {s('avg(coverage)')} AS coverage FROM cov GROUP BY {cols},
     return sql
 
 
-def _summary_sql(reports):
-    parts = []
-    for name, sql in reports.items():
-        measure = {"nas": "modal_nas", "tonnage": "tonnage", "coverage": "coverage"}[
-            name.split("_")[0]]
-        parts.append(f"SELECT '{name}' AS report, {n('count(*)')} AS n, "
-                     f"{s(f'CAST(sum({measure}) AS DOUBLE)')} AS total FROM ({sql})")
-    return "\nUNION ALL\n".join(parts)
+def _all_rows_sql(reports):
+    return "\nUNION ALL BY NAME\n".join(
+        f"SELECT '{name}' AS report, * FROM ({sql})" for name, sql in reports.items())
 
 
 QUERIES = {
@@ -268,13 +259,14 @@ o AS (SELECT state, district, market,
 SELECT state, district, market, commodity_translated, {n('count(*)')} AS n,
        {n('count(t)')} AS weighed, {s('sum(t)')} AS tonnage
 FROM o GROUP BY ALL"""),
-    "statistics": (statistics, _summary_sql(_reports())),
-    "statistics_combined": (statistics_combined, _summary_sql({
+    "statistics": (statistics, _all_rows_sql(_reports())),
+    "statistics_combined": (statistics_combined, _all_rows_sql({
         "nas_by_state_year": quality_queries.QUERIES["combine_missing"][1],
         "coverage_by_year": f"""
 WITH {quality_queries._coverage_cte('category', 'commodity', 'year')}
-SELECT {s('coverage')} AS coverage FROM cov UNION ALL
-SELECT {s('avg(coverage)')} FROM cov GROUP BY year"""})),
+SELECT {n('year')} AS year, category, commodity, {s('coverage')} AS coverage, 'commodity' AS scope
+FROM cov UNION ALL
+SELECT {n('year')}, NULL, NULL, {s('avg(coverage)')}, 'total' FROM cov GROUP BY year"""})),
     "stored_rollups": (stored_rollups, f"""WITH {STATE}
 SELECT 'state' AS level, commodity, {n('count(*)')} AS n,
        {n("sum(CASE WHEN commodity = 'PROMO' THEN -contrib ELSE contrib END)")} AS contrib

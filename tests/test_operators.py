@@ -208,7 +208,7 @@ def test_census_split(rows):
     assert (out["DISTRICT", "a", "Total"].state, out["DISTRICT", "c", "Total"].state) == ("N", "P")
 
 
-def test_statistics_read_the_table_twice_only(spark, tmp_path):
+def test_statistics_read_the_table_once(spark, tmp_path):
     obs = observations(spark, SF_DIR)
     reports = statistics.compute_statistics(obs, "1996-01-01", "2000-01-01", str(tmp_path / "s"))
     assert len(reports) == 24
@@ -224,10 +224,28 @@ def test_statistics_read_the_table_twice_only(spark, tmp_path):
 
 def test_coverage_is_a_percentage(spark):
     obs = observations(spark, SF_DIR)
-    for report in quality.coverage_reports(obs, "1995-01-01", "2001-12-31").values():
+    months = quality.months_of_days(quality.market_days(obs), ["state", "district", "market"])
+    for report in quality.coverage_reports(months, "1995-01-01", "2001-12-31").values():
         assert report.filter("coverage < 0 OR coverage > 100").isEmpty()
 
 
+def test_coverage_by_bitmaps_counts_distinct_days(rows):
+    days = ["2015-01-31", "2015-01-31", "2015-02-01", "2015-02-28", "2015-04-30", None, "2014-12-31"]
+    obs = rows([("a", d) for d in days] + [("b", "2015-02-10"), ("n", None)], "k string, d string").selectExpr("k", "CAST(d AS DATE) AS date")
+
+    def of(keys, *dates):
+        return {tuple(r)[:-1]: round(r.coverage * 1000) for r in quality.coverage(obs, keys, *dates).collect()}
+
+    span = (31 + 31 + 28 + 31 + 30)
+    assert of(["k"]) == {("a",): round(5e5 / span), ("b",): round(1e5 / 28)}
+    assert of(["k"], "2015-01-31", "2015-02-27") == {("a",): round(2e5 / 28), ("b",): round(1e5 / 28)}
+    assert of(["k"], "2015-02-10", "2015-02-10") == {("a",): 0, ("b",): 100000}
+    assert of(["k"], "2015-02-01", "2015-02-28")["a",] == round(2e5 / 28)
+    assert of([], "2014-12-01", "2015-05-31") == {(): round(6e5 / 182)}
+    assert of(["k", "year"])["a", 2014] == round(1e5 / 31)
+    assert of(["k", "month"])["a", 2] == round(2e5 / 28)
+
+
 def test_default_quality_map_is_the_catalogue(rows):
     cat = rows([("S", [("Cereals", "Rice", 3, 9, ["a"])]), ("T", [("Cereals", "Oats", 1, 1, ["b"])])],
                "state string, commodities array<struct<category:string, commodity:string,"
