@@ -1,5 +1,6 @@
 """Phrase collocations from count streams in prefix and suffix order, merged in lockstep."""
 
+import hashlib
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -15,11 +16,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from mandigrid.session import materialise
 
 # Bytes of text whose n-grams are counted together before they are sent on.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
 # Bytes of one text that are words in memory at once.
 SLICE_BYTES = 1 << 20
 # Rows of a run of a count stream, and sampled rows for each that runs are cut at.
 RUN_ROWS, SAMPLED = 200_000, 32
+# Bits of the filter for longer n-grams, at most.
+SIEVE_BITS = 28
 # Rows that are handed over at once.
 BATCH_ROWS = 50_000
 
@@ -28,12 +31,49 @@ _CUT = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", b"......... ")
 STOP = b"."
 
 
+class Sieve:
+    """A Bloom filter of n-grams of one length: it may let through others, never loses one."""
+
+    PROBES = 4
+
+    def __init__(self, data: bytes):
+        self.bytes = np.frombuffer(data, np.uint8)
+
+    @staticmethod
+    def places(values: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+        step = (values >> np.uint64(32)) | np.uint64(1)
+        for k in range(Sieve.PROBES):
+            yield (values + np.uint64(k) * step) & np.uint64(bits - 1)
+
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        found = np.ones(len(values), bool)
+        for place in self.places(values, 8 * len(self.bytes)):
+            found &= (self.bytes[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return found
+
+
+def word_values(lang: str, words: list[bytes]) -> np.ndarray:
+    """64 bits for each word of a language."""
+    head = f"{lang}\n".encode("utf-8", "replace")
+    return np.frombuffer(b"".join([hashlib.blake2b(head + w, digest_size=8).digest() for w in words]), np.uint64)
+
+
+def window_values(values: np.ndarray, size: int) -> np.ndarray:
+    """64 bits for each sequence of ``size`` words."""
+    count = max(len(values) - size + 1, 0)
+    mixed = np.full(count, size, np.uint64)
+    for k in range(size):
+        mixed = (mixed ^ values[k:k + count]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed
+
+
 class Counter:
     """The n-grams of one language in a chunk of texts. Words are numbered as they come; 0 is
     the border of a piece."""
 
-    def __init__(self, max_words: int, before: list[bytes] = ()):
-        self.max_words = max_words
+    def __init__(self, lang: str, most: int, before: list[bytes] = ()):
+        self.lang, self.most = lang, most
         self.places: dict[bytes, int] = {STOP: 0}
         self.tokens = array("I", [self.places.setdefault(w, len(self.places)) for w in before])
         self.skip = len(self.tokens)  # these were counted before; they only begin what is to come
@@ -45,31 +85,37 @@ class Counter:
     def tail(self) -> list[bytes]:
         """The last words, with which n-grams of the next chunk may begin."""
         words = list(self.places)
-        return [words[i] for i in self.tokens[len(self.tokens) - self.max_words + 1:]]
+        return [words[i] for i in self.tokens[max(0, len(self.tokens) - self.most + 1):]]
 
-    def counts(self) -> Iterator[tuple[pa.Array, pa.Array]]:
-        """n-grams and how often they occur, for each length in turn."""
-        tokens = np.frombuffer(self.tokens, np.uint32).astype(np.int64) if self.tokens else np.zeros(0, np.int64)
+    def counts(self, sizes, sieve: Sieve | None) -> Iterator[tuple[pa.Array, pa.Array]]:
+        """n-grams of each of ``sizes`` and how often they occur; none that holds a sequence
+        one word shorter which the sieve doesn't."""
+        tokens = np.frombuffer(self.tokens, np.uint32) if self.tokens else np.zeros(0, np.uint32)
         words = pa.array(list(self.places), pa.binary()).cast(pa.string())
-        n = np.bincount(tokens[self.skip:], minlength=len(words))
-        n[0] = 0
-        found = np.flatnonzero(n)
-        yield words.take(pa.array(found)), pa.array(n[found])
-        yield pa.array([""]), pa.array([int(n.sum())])
-        begun = np.where(tokens > 0, tokens, -1)  # number of the n-gram that begins at each place
-        parts = [np.arange(len(words))]
-        for size in range(2, self.max_words + 1):
-            begun, last = begun[:-1], tokens[size - 1:]
-            whole = np.flatnonzero((begun >= 0) & (last > 0))
-            if not len(whole):
-                return
-            keys, place = np.unique(begun[whole] << 32 | last[whole], return_inverse=True)
-            begun = np.full(len(last), -1)
-            begun[whole] = place
-            parts = [p[keys >> 32] for p in parts] + [keys & 0xFFFFFFFF]
-            n = np.bincount(place[whole >= self.skip - size + 1], minlength=len(keys))
-            found = np.flatnonzero(n)
-            yield pc.binary_join_element_wise(*[words.take(pa.array(p[found])) for p in parts], " "), pa.array(n[found])
+        for size in sizes:
+            count = max(len(tokens) - size + 1, 0)
+            fit = np.ones(count, bool)
+            for k in range(size):
+                fit &= tokens[k:k + count] > 0
+            fit[:max(self.skip - size + 1, 0)] = False
+            if sieve is not None:
+                own = sieve.holds(window_values(word_values(self.lang, list(self.places))[tokens], size - 1))
+                fit &= own[:count] & own[1:count + 1]
+            at = np.flatnonzero(fit)
+            keys, parts = tokens[at].astype(np.int64), []
+            for k in range(1, size):
+                if k > 1:  # the beginnings get numbers, so that a key fits into 64 bits
+                    keys, place = np.unique(keys, return_inverse=True)
+                    parts = ([p[keys >> 32] for p in parts] or [keys >> 32]) + [keys & 0xFFFFFFFF]
+                    keys = place
+                keys = keys << 32 | tokens[at + k]
+            found, n = np.unique(keys, return_counts=True)
+            last = found & 0xFFFFFFFF
+            parts = ([p[found >> 32] for p in parts] or [found >> 32]) if size > 1 else []
+            taken = [words.take(pa.array(p)) for p in [*parts, last]]
+            yield taken[0] if size == 1 else pc.binary_join_element_wise(*taken, " "), pa.array(n)
+            if size == 1:
+                yield pa.array([""]), pa.array([int(n.sum())])
 
 
 def slices(text: str) -> Iterator[list[bytes]]:
@@ -84,21 +130,22 @@ def slices(text: str) -> Iterator[list[bytes]]:
     yield [STOP]
 
 
-def count_ngrams(docs: DataFrame, max_words: int) -> DataFrame:
-    """lang, gram and n: how often each sequence of at most ``max_words`` words occurs within
-    pieces. The empty sequence has the number of words.
+def count_ngrams(docs: DataFrame, sizes: tuple[int, ...], sieve=None) -> DataFrame:
+    """lang, gram and n: how often each sequence of so many words occurs within pieces. With
+    size 1 the empty sequence has the number of words. ``sieve``: a broadcast Sieve's bytes.
 
     A chunk of texts is counted before anything is sent, so a frequent n-gram is one row a
     chunk. A chunk may end in the middle of a text.
     """
-    arrow = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
+    arrow, most = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())]), max(sizes)
 
     def run(batches):
         counters, size = {}, 0
+        passes = Sieve(sieve.value) if sieve is not None else None
 
         def emit():
             for lang, counter in counters.items():
-                for grams, n in counter.counts():
+                for grams, n in counter.counts(sizes, passes):
                     for at in range(0, len(grams), BATCH_ROWS):
                         part = grams.slice(at, BATCH_ROWS)
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part, n.slice(at, BATCH_ROWS)], schema=arrow)
@@ -109,13 +156,13 @@ def count_ngrams(docs: DataFrame, max_words: int) -> DataFrame:
                 if not text:
                     continue
                 if lang not in counters:
-                    counters[lang] = Counter(max_words)
+                    counters[lang] = Counter(lang, most)
                 for words in slices(text):
                     counters[lang].add(words)
                     size += sum(map(len, words)) + len(words)
                     if size >= CHUNK_BYTES:
                         yield from emit()
-                        counters, size = {lang: Counter(max_words, counters[lang].tail())}, 0
+                        counters, size = {lang: Counter(lang, most, counters[lang].tail())}, 0
         yield from emit()
 
     lang = F.coalesce("lang", F.lit("und")).alias("lang")
@@ -123,6 +170,43 @@ def count_ngrams(docs: DataFrame, max_words: int) -> DataFrame:
     return sent.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def sieve_of(kept: DataFrame, size: int):
+    """A broadcast Bloom filter of the n-grams ``kept`` of ``size`` words: 16 bits for each, at
+    most 2**SIEVE_BITS in all. A full one lets more through, and more is counted than need be."""
+    n = kept.count()
+    bits = 1 << min(max(16, (16 * n).bit_length()), SIEVE_BITS)
+
+    def run(batches):
+        for batch in batches:
+            values = [window_values(word_values(lang, gram.encode("utf-8", "replace").split(b" ")), size)[0]
+                      for lang, gram in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            for place in Sieve.places(np.array(values, np.uint64), bits):
+                yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(15)).astype(np.int64)), pa.array((place & np.uint64(32767)).astype(np.int64))],
+                                                 names=["part", "bit"])
+
+    parts = kept.select("lang", "gram").mapInArrow(run, "part long, bit long").groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    data = bytearray(bits // 8)
+    for row in parts.collect():  # bits / 8 bytes at most
+        data[row["part"] * 4096:(row["part"] + 1) * 4096] = row["bits"]
+    return kept.sparkSession.sparkContext.broadcast(bytes(data))
+
+
+def frequent_ngrams(docs: DataFrame, max_words: int, min_count: int) -> DataFrame:
+    """lang, gram and n of the n-grams of at most ``max_words`` words that occur ``min_count``
+    times, and of the empty one.
+
+    Words and pairs are counted at once. Longer ones are counted length by length, and of these
+    only those whose two parts of one word less are frequent: the others can't be.
+    """
+    enough = (F.col("gram") == "") | (F.col("n") >= min_count)
+    level = materialise(count_ngrams(docs, (1, 2)[:max_words]).where(enough), "collocation-counts")
+    kept, level = level, level.where(F.col("gram").contains(" "))
+    for size in range(3, max_words + 1):
+        level = materialise(count_ngrams(docs, (size,), sieve_of(level, size - 1)).where(enough), "collocation-counts")
+        kept = kept.unionByName(level)
+    return kept
+
+
 class Stream:
     """One pass over a run of n-grams in order, each with its count.
 
@@ -240,13 +324,13 @@ def collocations(docs: DataFrame, max_words=3, min_count=10, inside_percent=50,
     arithmetic is exact. A phrase is left out if a longer one that holds it, and occurs
     ``min_count`` times, has ``inside_percent`` of its occurrences. n: words of the language.
 
-    All n-grams of all texts are counted; rare ones are left out after that. A phrase's parts
-    are at least as frequent, so the counts kept hold all that it needs. A null language is
+    All texts are counted, once and again for each length from three on; rare n-grams are left
+    out after that. A phrase's parts are at least as frequent, so the counts kept hold all that
+    it needs. A null language is
     ``und``, null and empty texts have no words, repeated rows count each, other columns are
     not read, an empty table gives an empty one.
     """
-    counted = count_ngrams(docs.select("lang", "text"), max_words)
-    kept = materialise(counted.where((F.col("gram") == "") | (F.col("n") >= min_count)), "collocation-counts")
+    kept = frequent_ngrams(docs.select("lang", "text"), max_words, min_count)
     streams = merged(kept.where("gram <> ''"))
     # the longest phrase inside a longer one is inside one that is a single word longer
     phrases = scored(streams.where("size(pre) > 0")).where(100 * F.coalesce("longer", F.lit(0)) < inside_percent * F.col("a"))

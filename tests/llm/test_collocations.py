@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from llm import collocations
@@ -74,6 +75,16 @@ def test_small_chunks_and_runs_change_nothing(spark, monkeypatch):
     assert result(spark, rows, max_words=4, min_count=5) == by_hand(rows, 4, 5)
 
 
+def test_a_full_sieve_only_counts_more(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "SIEVE_BITS", 15)  # one bitmap for all
+    rows = invented(120, 6)
+    want = by_hand(rows, 4, 4)
+    assert result(spark, rows, max_words=4, min_count=4) == want
+    data = bytes([255]) * 4096
+    assert collocations.Sieve(data).holds(np.arange(99, dtype=np.uint64)).all()
+    assert not collocations.Sieve(bytes(4096)).holds(np.arange(99, dtype=np.uint64)).any()
+
+
 def test_slices_of_a_text_are_its_words(monkeypatch):
     text = "One two,three  four\tfive. six" * 20
     whole = [w for part in collocations.slices(text) for w in part]
