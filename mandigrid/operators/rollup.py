@@ -46,6 +46,25 @@ def rollup_varieties(obs: DataFrame, mode="mean") -> DataFrame:
     )
 
 
+def market_partials(obs: DataFrame) -> DataFrame:
+    """Sums, counts and the tonnage of each market's day: parts that can be merged."""
+    return _with(obs, taluk=None).groupBy(*_MARKET).agg(
+        F.sum("modal_price").alias("p_sum"), F.count("modal_price").alias("p_n"),
+        F.max("tonnage").alias("tonnage"))
+
+
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """The market rows that all partials together stand for (``mean`` prices)."""
+    return partials.groupBy(*_MARKET).agg(
+        F.try_divide(F.sum("p_sum"), F.sum("p_n")).alias("price"), F.max("tonnage").alias("tonnage"))
+
+
+def add_partials(partials: DataFrame) -> DataFrame:
+    """Partials of the same market's day put together into one."""
+    return partials.groupBy(*_MARKET).agg(
+        F.sum("p_sum").alias("p_sum"), F.sum("p_n").alias("p_n"), F.max("tonnage").alias("tonnage"))
+
+
 def _with(df, **defaults):
     missing = {c: F.lit(v).cast("string") for c, v in defaults.items() if c not in df.columns}
     return df.withColumns(missing) if missing else df

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from mandigrid.fixed_values import REPORT_HEADINGS
 from mandigrid.sources import bulletins, dimensions, sinks
 from mandigrid.plans.reference_tables import clean_census
+from mandigrid.operators.changes import changes, replay
 from mandigrid.operators.reference_data import census_by_unit
-from mandigrid.streaming.ingest import append_new, ingest, refresh_rollups
+from mandigrid.streaming.ingest import ROLLUP_KEY, RollupStore, append_new, ingest, refresh_rollups
 
 LINES = [
     "04/04/2012,Kerala,Manjeri,Beverages,Coffee,Other,1.0,100,200,140",
@@ -219,8 +220,8 @@ def test_refresh_survives_a_new_checkpoint(spark, tmp_path):
                                    schema.replace("date date", "date string")).withColumn("date", F.to_date("date"))
         df.write.parquet(str(tmp_path / name))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / name))
-        refresh_rollups(stream, str(tmp_path / "store"), str(tmp_path / "target"), str(tmp_path / f"state-{name}")).awaitTermination()
-    assert {r.tonnage for r in spark.read.parquet(str(tmp_path / "target")).collect()} == {4.0}
+        refresh_rollups(stream, str(tmp_path / "store"), str(tmp_path / f"state-{name}")).awaitTermination()
+    assert {r.tonnage for r in RollupStore(spark, str(tmp_path / "store")).rollups().collect()} == {4.0}
 
 
 def test_refreshed_rollups_equal_those_of_one_batch(spark, tmp_path):
@@ -230,16 +231,66 @@ def test_refreshed_rollups_equal_those_of_one_batch(spark, tmp_path):
     files = [[("2015-04-01", "S", "D", "M", "c", "Rice", "v", 10.0, 1.0),
               ("2015-05-01", "S", "D", "M", "c", "Rice", "v", 30.0, 1.0)],
              [("2015-04-01", "S", "D", "N", "c", "Rice", "v", 20.0, 3.0)]]
-    inbox, target = str(tmp_path / "in"), str(tmp_path / "target")
+    inbox, store = str(tmp_path / "in"), RollupStore(spark, str(tmp_path / "store"))
     for rows in files:
         df = spark.createDataFrame(rows, schema.replace("date date", "date string"))
         (df.withColumn("date", F.to_date("date")).coalesce(1).write.mode("append")
          .parquet(inbox))
         stream = spark.readStream.schema(schema).parquet(inbox)
-        refresh_rollups(stream, str(tmp_path / "store"), target,
-                        str(tmp_path / "state")).awaitTermination()
-    got = {(r.level, str(r.date)): (r.price, r.tonnage, r.contrib)
-           for r in spark.read.parquet(target).collect()}
+        refresh_rollups(stream, store.path, str(tmp_path / "state")).awaitTermination()
+    got = {(r.level, str(r.date)): (r.price, r.tonnage, r.contrib) for r in store.rollups().collect()}
     april, may = (17.5, 4.0, 2), (30.0, 1.0, 1)
     assert got == {(level, day): value for level in ("district", "state", "india")
                    for day, value in (("2015-04-01", april), ("2015-05-01", may))}
+
+
+BULLETINS = ("date date, state string, district string, market string, category string,"
+             " commodity string, variety string, modal_price double, tonnage double")
+
+
+def bulletin(spark, *rows):
+    """Rows (date, market, price, tonnage)"""
+    df = spark.createDataFrame([(day, "S", "D", market, "c", "Rice", "v", price, tonnage) for day, market, price, tonnage in rows],
+                               BULLETINS.replace("date date", "date string"))
+    return df.withColumn("date", F.to_date("date"))
+
+
+def test_batches_are_merged_once(spark, tmp_path):
+    store = RollupStore(spark, str(tmp_path / "store"))
+    april, may = "2015-04-01", "2015-05-01"
+    store.add(bulletin(spark, (april, "M", 10.0, 1.0), (may, "M", 30.0, 1.0), (None, "M", 1.0, 5.0)), "a", 0)
+    first = {tuple(r) for r in store.rollups().select(*ROLLUP_KEY, "price", "contrib").collect()}
+    late = bulletin(spark, (april, "M", 20.0, 3.0), (april, "N", 5.0, 1.0))
+
+    def state():
+        rows = store.rollups().filter("level = 'state'").collect()
+        return {str(r.date): (r.price, r.tonnage, r.contrib) for r in rows}
+
+    want = {april: ((15 * 3 + 5 * 1) / 4, 4.0, 2), may: (30.0, 1.0, 1), "None": (1.0, 5.0, 1)}
+    for _ in range(2):  # the second time it is a replay
+        store.add(late, "b", 1)
+        assert state() == want
+    feed = [(r.change, str(r.date), r.number) for r in store.feed().filter("level = 'india'").collect()]
+    assert sorted(feed) == [("added", april, 0), ("added", may, 0), ("added", "None", 0), ("changed", april, 1)]
+    store.merge("all")
+    store.add(late, "b", 1)  # what a merge covers adds nothing any more
+    assert state() == want and len(first) == 9
+    store.add(bulletin(spark, (april, "M", 30.0, 1.0)), "c", 2)
+    store.merge("more")
+    store.add(bulletin(spark, (may, "M", 10.0, 9.0)), "d", 3)
+    assert state() == {april: ((20 * 3 + 5 * 1) / 4, 4.0, 2), may: (20.0, 9.0, 1), "None": (1.0, 5.0, 1)}
+
+
+def test_a_feed_leads_from_one_version_to_the_next(spark, rows):
+    schema = "k string, j int, v double, w string"
+    old = rows([("a", 1, 1.0, "x"), ("b", None, 2.0, None), (None, 2, 3.0, "y"), ("gone", 1, 1.0, "z"), ("same", 1, None, None)], schema)
+    new = rows([("a", 1, 1.0, "y"), ("b", None, None, None), (None, 2, 3.0, "y"), ("new", 1, 1.0, "z"), ("same", 1, None, None)], schema)
+    feed = changes(old, new, ["k", "j"])
+    assert {(r.change, r.k, r.j) for r in feed.collect()} == {
+        ("changed", "a", 1), ("changed", "b", None), ("removed", "gone", 1), ("added", "new", 1)}
+    assert changes(old, old, ["k", "j"]).isEmpty()
+    back = changes(new, old, ["k", "j"])
+    both = feed.withColumn("n", F.lit(1)).unionByName(back.withColumn("n", F.lit(2)))
+    for version, part in ((new, both.filter("n = 1")), (old, both)):
+        got = replay(old, part, ["k", "j"], "n")
+        assert got.exceptAll(version).isEmpty() and version.exceptAll(got).isEmpty()
