@@ -1,5 +1,7 @@
 """The dashboard's read queries over the roll-up table."""
 
+import hashlib
+
 from pyspark.sql import DataFrame, functions as F
 
 from mandigrid.operators import catalogue, rollup
@@ -10,9 +12,10 @@ from mandigrid.plans import serving
 from mandigrid.queries.common import DISTRICT, LEVELS, MARKET, OBS, STATE, d, n, present, s
 from mandigrid.queries.quality import END, LOOSE, START, _stats_sql
 from mandigrid.queries.rollups import market_rows
-from mandigrid.session import shared_dir
+from mandigrid.session import shared_base
 from mandigrid.sources.bulletins import stack
 from mandigrid.sources.sinks import write_rollup
+from mandigrid.sources.stored import stored_table
 from mandigrid.sources.standins import observations, table
 
 
@@ -20,26 +23,29 @@ _COLUMNS = ["level", "date", "commodity", "state", "district", "market", "catego
             "tonnage", "contrib"]
 
 
-# Tables written by this application: what for and from which folder, and where they are.
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+_SOURCES = ("lineitem", "supplier", "part", "nation", "region")
 
 
-def _written(spark, sf_dir, name, write) -> DataFrame:
-    """The table ``name`` of a data folder, written by its first reader for all others."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _WRITTEN:
-        path = shared_dir(spark, name)
-        write(path)
-        _WRITTEN[key] = path
-    return spark.read.parquet(_WRITTEN[key])
+def _stored(spark, sf_dir, name, build, grow=None) -> DataFrame:
+    """The stored table ``name`` of a data folder, up to date with the files it is made from."""
+    home = f"{shared_base(spark)}/{name}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    sources = {t: f"{sf_dir}/{t}.parquet" for t in _SOURCES}
+    return stored_table(spark, home, sources, build, grow, ["lineitem"])
 
 
 def rollup_table(spark, sf_dir) -> DataFrame:
     """All levels, market rows included, as a stored table by level and commodity.
 
-    Readers filter on these, so they list and scan the partitions they ask for.
+    Readers filter on these, so they list and scan the partitions they ask for. New order lines
+    renew the partitions of the commodities that they name.
     """
-    return _written(spark, sf_dir, "rollups", lambda path: write_rollup(_levels(spark, sf_dir), path))
+    def grow(path, new_files):
+        lines = spark.read.parquet(*new_files).select("l_partkey").distinct()
+        part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("commodity"))
+        named = part.join(lines, "l_partkey").select("commodity").distinct()
+        write_rollup(_levels(spark, sf_dir).join(named, "commodity"), path)
+
+    return _stored(spark, sf_dir, "rollups", lambda path: write_rollup(_levels(spark, sf_dir), path), grow)
 
 
 def _levels(spark, sf_dir) -> DataFrame:
@@ -76,7 +82,7 @@ def _catalogue(spark, sf_dir, level) -> DataFrame:
         upper = () if level == "market" else (rollup.rollup_level(markets, level),)
         catalogue.catalogue(level, markets, *upper).write.parquet(path)
 
-    return _written(spark, sf_dir, f"catalogue-{level}", write)
+    return _stored(spark, sf_dir, f"catalogue-{level}", write)
 
 
 def _state_catalogue(spark, sf_dir):
@@ -97,11 +103,12 @@ def units_for_commodity(spark, sf_dir):
 
 
 def hierarchy_options(spark, sf_dir):
-    shown = observations(spark, sf_dir).filter(F.col("commodity") == "PROMO").select(
+    markets = _market_catalogue(spark, sf_dir)
+    shown = serving.units_for_commodity(markets, "PROMO").select(
         F.lit("market").alias("level"), F.col("market").alias("unit"), "commodity").distinct()
     return serving.hierarchy_options(
-        _state_catalogue(spark, sf_dir), _district_catalogue(spark, sf_dir),
-        _market_catalogue(spark, sf_dir), "market", "ASIA", "NATION_7", shown)
+        _state_catalogue(spark, sf_dir), _district_catalogue(spark, sf_dir), markets, "market",
+        "ASIA", "NATION_7", shown)
 
 
 def trade_map(spark, sf_dir):

@@ -36,7 +36,12 @@ def materialise(df, purpose):
 
 
 def shared_dir(spark, purpose):
-    """A fresh folder for ``purpose`` below the cluster's shared checkpoint folder.
+    """A fresh folder for ``purpose`` below the cluster's shared checkpoint folder."""
+    return f"{shared_base(spark)}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def shared_base(spark):
+    """The cluster's shared checkpoint folder.
 
     The session's ``spark.checkpoint.dir`` is used as it is. Where none is set, a
     session of one machine (master ``local``) takes a folder of its own; on a cluster
@@ -50,4 +55,4 @@ def shared_dir(spark, purpose):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="mandigrid-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+    return base.rstrip("/")
