@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, functions as F
 
 from mandigrid.functions.text import strip
-from mandigrid.operators.rollup import LEVEL_KEYS
+from mandigrid.operators.rollup import LEVEL_KEYS, rollup_level
+from mandigrid.session import materialise
 
 _COMMODITY = ["category", "commodity"]
 
@@ -70,6 +71,18 @@ def catalogue(level, market_rows: DataFrame, rollup_rows: DataFrame = None) -> D
         F.sort_array(F.collect_list(F.struct(*fields))).alias("commodities"))
 
 
+def unit_catalogue(level, market_rows: DataFrame) -> DataFrame:
+    """``catalogue`` of a level from market rows alone.
+
+    They are made and written once; the level's series and the units' varieties both come
+    from what is stored.
+    """
+    if level == "market":
+        return catalogue(level, market_rows)
+    stored = materialise(market_rows, "market-rows")
+    return catalogue(level, stored, rollup_level(stored, level))
+
+
 _FIELDS = ["grade", "variety", "state", "market", "category"]
 
 

@@ -45,9 +45,7 @@ def _text(entry, fields):
 
 def _catalogue(level, fields):
     def query(spark, sf_dir):
-        markets = _with_varieties(spark, sf_dir)
-        rows = None if level == "market" else rollup.rollup_level(markets, level)
-        out = catalogue.catalogue(level, markets, rows)
+        out = catalogue.unit_catalogue(level, _with_varieties(spark, sf_dir))
         return out.withColumn("commodities", F.array_join(
             F.transform("commodities", lambda e: _text(e, fields)), ";"))
     return query

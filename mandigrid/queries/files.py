@@ -77,13 +77,62 @@ def split_names(spark, sf_dir):
     return bulletins.repair_split_name(part, ["a", "b", "c"])
 
 
+# Entries of one line of a written dictionary.
+_LINE_ENTRIES = 500
+
+
+def _json_lines(spark, rows, value, purpose):
+    """Rows as lines of JSON; a dictionary's members may be spread over any number of them."""
+    return _text(spark, rows.select(F.to_json(value).alias("value")), purpose)
+
+
 def location_dictionary(spark, sf_dir):
-    """{state: {district: [market]}} written as one JSON file for each state, and read back."""
-    units = places(spark, sf_dir).groupBy("state", "district").agg(F.collect_list("market").alias("markets"))
-    tree = units.groupBy("state").agg(F.map_from_entries(F.collect_list(F.struct("district", "markets"))).alias("d"))
-    path = shared_dir(spark, "locations")
-    tree.select("state", F.to_json(F.create_map("state", "d")).alias("value")).write.partitionBy("state").text(path)
-    return dimensions.read_locations(spark, path)
+    """{state: {district: [market]}} written in lines of bounded length, and read back."""
+    rows = places(spark, sf_dir)
+    sizes = rows.groupBy("state", "district").agg(F.ceil(F.count("*") / _LINE_ENTRIES).alias("lines"))
+    line = F.pmod(F.xxhash64("market"), F.col("lines")).alias("line")
+    units = rows.join(sizes, ["state", "district"]).groupBy("state", "district", line).agg(
+        F.collect_list("market").alias("markets"))
+    tree = F.create_map("state", F.create_map("district", "markets"))
+    return dimensions.read_locations(spark, _json_lines(spark, units, tree, "locations"), lines=True)
+
+
+def market_dictionary(spark, sf_dir):
+    """{"State_Market": {...}} of all suppliers."""
+    rows = places(spark, sf_dir)
+    at = F.struct(F.lower("market").alias("Market_Cleaned"), F.col("market").alias("Market"), F.col("state").alias("State"),
+                  F.col("district").alias("District"), F.when(F.col("s_suppkey") % 3 > 0, F.col("district")).alias("Taluk"))
+    entry = F.create_map(F.concat_ws("_", "state", "market"), at)
+    return dimensions.read_market_locations(spark, _json_lines(spark, rows, entry, "markets"), lines=True)
+
+
+def selection_dictionary(spark, sf_dir):
+    """{category: [commodity]}, a list for each size of part."""
+    names = F.concat_ws(" ", "p_name", "p_size")
+    rows = table(spark, sf_dir, "part").groupBy("p_type", "p_size").agg(F.collect_set(names).alias("names"))
+    path = _json_lines(spark, rows, F.create_map("p_type", "names"), "selection")
+    return dimensions.read_selection(spark, path, lines=True)
+
+
+def correction_dictionary(spark, sf_dir):
+    """{scope: {wrong: right}} of the names of parts."""
+    rows = table(spark, sf_dir, "part").select("p_type", "p_name").distinct()
+    path = _json_lines(spark, rows, F.create_map("p_type", F.create_map(F.upper("p_name"), F.col("p_name"))), "corrections")
+    return dimensions.read_corrections(spark, path, lines=True)
+
+
+def census_dictionary(spark, sf_dir):
+    """{level: {unit: {rural|urban|total: {...}, state}}}; a customer is a unit, some lack a kind."""
+    rows = table(spark, sf_dir, "customer")
+
+    def kind(area, total):
+        return F.struct(area.cast("double").alias("area"), F.struct(F.lit(total).cast("double").alias("total"),
+                                                                    F.col("c_custkey").cast("double").alias("work")).alias("population"))
+
+    unit = F.struct(kind(F.col("c_custkey"), 5).alias("rural"), F.when(F.col("c_custkey") % 2 == 0, kind(F.lit(2), 7)).alias("urban"),
+                    F.col("c_mktsegment").alias("state"))
+    path = _json_lines(spark, rows, F.struct(F.create_map("c_name", unit).alias("Districts")), "census")
+    return present(dimensions.read_census(spark, path, lines=True).select("level", "name", "state", "tru", "area", "total", "work", "no_work"))
 
 
 def csv_report(spark, sf_dir):
@@ -117,26 +166,25 @@ def share_counts(spark, sf_dir):
 
 
 def feature_file(spark, sf_dir):
-    """Features of all suppliers in a FeatureCollection, written as one text and read by its fields."""
+    """Features of all suppliers in FeatureCollections, one a line, read by their fields."""
     rows = places(spark, sf_dir).select(F.col("s_suppkey").alias("id"), F.col("market").alias("name"), "state", "district",
                                         F.col("s_suppkey").cast("double").alias("lng"), F.lit(1.5).alias("lat"))
     path = shared_dir(spark, "features")
     sinks.write_feature_collection(rows, path)
     shape = ("type string, features array<struct<type:string, geometry:struct<type:string, coordinates:array<double>>,"
              " id:bigint, properties:struct<name:string, state:string, district:string>>>")
-    read = spark.read.schema(shape).json(path, multiLine=True).select("type", F.explode("features").alias("f"))
+    read = spark.read.schema(shape).json(path).select("type", F.explode("features").alias("f"))
     return read.select("type", "f.id", F.col("f.geometry.coordinates")[0].alias("lng"), "f.properties.name", "f.properties.district")
 
 
 def headed_list(spark, sf_dir):
-    """Nations listed under headings with their region's name."""
-    named = districts(spark, sf_dir)
-    heads = named.groupBy("state").agg((F.min("n_nationkey") * 1000).alias("first"))
-    lines = named.join(heads, "state").select(F.lit("all").alias("list"), (F.col("first") + F.col("n_nationkey") + 1).alias("no"),
-                                              F.concat(F.lit(" "), "district").alias("line"))
-    numbered = lines.unionByName(heads.select(F.lit("all").alias("list"), F.col("first").alias("no"),
-                                              F.concat(F.lit("#"), "state").alias("line")))
-    return label_headings(numbered, "list", "no").select("category", "commodity")
+    """Customers listed under headings with their nation's name, a thousand numbers a list."""
+    named = table(spark, sf_dir, "customer").join(
+        F.broadcast(districts(spark, sf_dir)), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.concat_ws(" ", "district", F.floor(F.col("c_custkey") / 1000)).alias("list"), "district", "c_custkey", "c_name")
+    lines = named.select("list", (F.col("c_custkey") + 1).alias("no"), F.concat(F.lit(" "), "c_name").alias("line"))
+    heads = named.select("list", F.lit(0).cast("bigint").alias("no"), F.concat(F.lit("#"), "district").alias("line")).distinct()
+    return label_headings(lines.unionByName(heads), "list", "no").select("category", "commodity")
 
 
 def variant_union(spark, sf_dir):
@@ -147,16 +195,20 @@ def variant_union(spark, sf_dir):
 
 
 def census_names(spark, sf_dir):
-    named = districts(spark, sf_dir)
-    raw = named.select(
+    """Customers as census districts, named in the three ways that have to be mended."""
+    rows = table(spark, sf_dir, "customer").join(
+        F.broadcast(districts(spark, sf_dir)), F.col("c_nationkey") == F.col("n_nationkey"))
+    key = F.col("c_custkey")
+    name = F.concat_ws(" ", "district", key)
+    raw = rows.select(
         F.lit("DISTRICT").alias("level"),
-        F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("ISLES &  "), "district"))
-        .when(F.col("n_nationkey") % 3 == 1, F.concat(F.lit("CITY OF "), "district")).otherwise(F.lit("PUDUCHERRY")).alias("name"),
-        F.concat("state", F.lit(" & COAST")).alias("state"), F.lit("Total").alias("tru"),
-        F.col("n_nationkey").cast("string").alias("area"),
-        *[F.lit("7").alias(c) for c in ("total", "work", "cultivator_main", "cultivator_marginal",
-                                        "agrilabourers_main", "agrilabourers_marginal", "no_work")])
-    return present(clean_census(raw).select("name", "state", "area", "total").withColumn("total", F.col("total") + F.col("area")))
+        F.when(key % 3 == 0, F.concat(F.lit("ISLES &  "), name))
+        .when(key % 3 == 1, F.concat(F.lit("CITY OF "), name)).otherwise(F.lit("PUDUCHERRY")).alias("name"),
+        F.concat("state", F.lit(" & COAST")).alias("state"), F.lit("Total").alias("tru"), key.cast("string").alias("area"),
+        F.length("c_mktsegment").cast("string").alias("total"),
+        *[F.floor(F.abs("c_acctbal")).cast("string").alias(c) for c in (
+            "work", "cultivator_main", "cultivator_marginal", "agrilabourers_main", "agrilabourers_marginal", "no_work")])
+    return present(clean_census(raw).select("name", "state", "area", "total", "work"))
 
 
 _PLACES = """(SELECT s_suppkey, s_name AS market, n_name AS district, r_name AS state FROM supplier
@@ -179,6 +231,17 @@ SELECT state, commodity || CASE WHEN k = 2 THEN ' split up' ELSE '' END AS commo
     "split_names": (split_names, """
 SELECT p_partkey, p_type || ' ' || p_brand || CASE WHEN p_size > 20 THEN ' x' ELSE '' END AS commodity FROM part"""),
     "location_dictionary": (location_dictionary, f"SELECT state, district, market AS taluk FROM {_PLACES}"),
+    "market_dictionary": (market_dictionary, f"""
+SELECT state || '_' || market AS location_key, lower(market) AS market_cleaned, market, state, district,
+       CASE WHEN s_suppkey % 3 > 0 THEN district END AS taluk FROM {_PLACES}"""),
+    "selection_dictionary": (selection_dictionary, """
+SELECT DISTINCT p_type AS category, p_name || ' ' || p_size AS commodity FROM part"""),
+    "correction_dictionary": (correction_dictionary, """
+SELECT DISTINCT p_type AS scope, upper(p_name) AS wrong, p_name AS right FROM part"""),
+    "census_dictionary": (census_dictionary, f"""
+SELECT 'Districts' AS level, c_name AS name, c_mktsegment AS state, 'Rural' AS tru, CAST(c_custkey AS DOUBLE) AS area,
+       CAST(5 AS DOUBLE) AS total, CAST(c_custkey AS DOUBLE) AS work, CAST(NULL AS DOUBLE) AS no_work FROM customer
+UNION ALL SELECT 'Districts', c_name, c_mktsegment, 'Urban', 2, 7, c_custkey, NULL FROM customer WHERE c_custkey % 2 = 0"""),
     "csv_report": (csv_report, f"""
 SELECT l_returnflag, CAST(round(sum(l_quantity) / count(*), 3) AS VARCHAR) AS mean, {n('count(*)')} AS n
 FROM lineitem GROUP BY l_returnflag"""),
@@ -193,15 +256,15 @@ FROM orders GROUP BY 1"""),
     "feature_file": (feature_file, f"""
 SELECT 'FeatureCollection' AS type, s_suppkey AS id, CAST(s_suppkey AS DOUBLE) AS lng, market AS name, district FROM {_PLACES}"""),
     "headed_list": (headed_list, """
-SELECT r_name AS category, n_name AS commodity FROM nation JOIN region ON n_regionkey = r_regionkey"""),
+SELECT n_name AS category, c_name AS commodity FROM customer JOIN nation ON c_nationkey = n_nationkey"""),
     "variant_union": (variant_union, """
 SELECT o_custkey, string_agg(DISTINCT v, ',' ORDER BY v) AS variants
 FROM (SELECT o_custkey, unnest([o_orderstatus, o_orderpriority]) AS v FROM orders) GROUP BY 1"""),
     "census_names": (census_names, """
-SELECT CASE n_nationkey % 3 WHEN 0 THEN 'Isles and ' || upper(n_name[1]) || lower(n_name[2:6]) || '_' || n_name[8:]
-            WHEN 1 THEN 'City of ' || upper(n_name[1]) || lower(n_name[2:6]) || '_' || n_name[8:]
+SELECT CASE c_custkey % 3 WHEN 0 THEN 'Isles and ' || upper(n_name[1]) || lower(n_name[2:6]) || '_' || n_name[8:] || ' ' || c_custkey
+            WHEN 1 THEN 'City of ' || upper(n_name[1]) || lower(n_name[2:6]) || '_' || n_name[8:] || ' ' || c_custkey
             ELSE 'Pondicherry' END AS name,
        list_aggregate(list_transform(string_split(r_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') || ' and Coast' AS state,
-       CAST(n_nationkey AS DOUBLE) AS area, CAST(n_nationkey + 7 AS DOUBLE) AS total
-FROM nation JOIN region ON n_regionkey = r_regionkey"""),
+       CAST(c_custkey AS DOUBLE) AS area, CAST(length(c_mktsegment) AS DOUBLE) AS total, CAST(floor(abs(c_acctbal)) AS DOUBLE) AS work
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""),
 }

@@ -78,9 +78,7 @@ def series_compare(spark, sf_dir):
 
 def _catalogue(spark, sf_dir, level) -> DataFrame:
     def write(path):
-        markets = market_rows(spark, sf_dir)
-        upper = () if level == "market" else (rollup.rollup_level(markets, level),)
-        catalogue.catalogue(level, markets, *upper).write.parquet(path)
+        catalogue.unit_catalogue(level, market_rows(spark, sf_dir)).write.parquet(path)
 
     return _stored(spark, sf_dir, f"catalogue-{level}", write)
 

@@ -44,11 +44,13 @@ def parse_lines(lines: DataFrame, generation="current", column="value") -> DataF
     """Rows of text to typed bulletin rows, batch or stream, in one pass.
 
     The layout is chosen for each row by its number of fields; rows of a width
-    that no layout has are left out (``unreadable_lines`` returns them).
+    that no layout has are left out (``unreadable_lines`` returns them). They are left
+    out while the line is taken apart: a filter would be pushed below that, and take
+    each line apart a second time.
     """
     layouts = _LAYOUTS[generation]
-    split = lines.select(_fields(F.col(column)).alias("_fields")).filter(
-        F.size("_fields").isin(*layouts))
+    known = F.filter(F.array(_fields(F.col(column))), lambda f: F.size(f).isin(*layouts))
+    split = lines.select(F.explode(known).alias("_fields"))
     date, *text = [(name, _pick(name, layouts)) for name in BULLETIN_TEXT]
     numbers = {name: number(_pick(name, layouts)) for name in BULLETIN_NUMBERS}
     return split.select(

@@ -81,13 +81,19 @@ def write_point_features(markets: DataFrame, path):
     point_features(markets).write.mode("overwrite").text(path)
 
 
+# Features of one FeatureCollection.
+_FEATURES = 10_000
+
+
 def write_feature_collection(markets: DataFrame, path):
-    """FeatureCollections as JSON texts, one for each part of the table that a task writes.
+    """FeatureCollections as JSON texts, one a line, each of at most ``_FEATURES`` features.
 
-    Each file is an envelope of its own; where one is asked for, the reader joins their features.
+    Rows are numbered within their partition, so no collection holds a whole one. Where a
+    single envelope is asked for, the reader joins the features.
     """
-    text = point_features(markets)
-    part = F.spark_partition_id().alias("part")
-    (text.groupBy(part).agg(F.array_join(F.collect_list("value"), ",").alias("features"))
+    at = F.monotonically_increasing_id()  # the partition in the upper bits, the row in the lower 33
+    text = point_features(markets).withColumn("part", F.floor(at / F.lit(_FEATURES)))
+    text = text.withColumn("task", F.spark_partition_id())
+    (text.groupBy("task", "part").agg(F.array_join(F.collect_list("value"), ",").alias("features"))
      .select(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), "features", F.lit("]}")))
      .write.mode("overwrite").text(path))
