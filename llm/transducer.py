@@ -8,7 +8,7 @@ the tokens' trie, and encoding is a walk through its determinisation.
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import public_tokenizers
 import pyarrow as pa
@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 
 from llm.common import per_row, texts
 
-# Bytes of pre-tokens that a worker remembers, and states of the automaton that it keeps. Beyond
-# these, it forgets all and goes on.
-REMEMBERED_BYTES, STATES = 64 << 20, 150_000
-# Pre-tokens that are looked at together; a long text is digested piecewise.
-BLOCK = 4_096
+# Bytes of pre-tokens in each of two generations that a worker remembers.
+REMEMBERED_BYTES = 64 << 20
+# States of the automaton that a worker keeps; when full, it forgets all and goes on.
+STATES = 400_000
+# Characters of a text, or pre-tokens of a longer one, that are looked at together.
+BLOCK = 65_536
 # Tokens below a place in the trie that are looked at to give up a cut early.
 LOOK = 16
+ON, END = 1, 2
 NEVER = 1 << 62
 
 
@@ -97,25 +99,24 @@ class Transducer:
         rows = [line.split() for line in content.splitlines() if line.strip()]
         ranks = {base64.b64decode(token): int(rank) for token, rank in rows}
         self.merges = Merges(ranks)
-        self.width = max(ranks.values()) + 1
-        self.strings = [b""] * self.width
+        self.strings = [b""] * (max(ranks.values()) + 1)
         self.child: dict[int, int] = {}  # node * 256 + byte: node
         for token, rank in ranks.items():
             self.strings[rank], node = token, 0
             for byte in token:
                 node = self.child.setdefault(node << 8 | byte, len(self.child) + 1)
         self.token = [-1] * (len(self.child) + 1)  # the token that ends at each node
-        self.inner = bytearray(len(self.child) + 1)
-        for key in self.child:
-            self.inner[key >> 8] = 1
         for token, rank in ranks.items():
             node = 0
             for byte in token:
                 node = self.child[node << 8 | byte]
             self.token[node] = rank
+        inner = {key >> 8 for key in self.child}
+        # node * 256 + byte: node, whether tokens go on (ON) or end there (END), token
+        self.edges = {key: (node, ON * (node in inner) | END * (self.token[node] >= 0), self.token[node])
+                      for key, node in self.child.items()}
         self.below = self._few_below()
-        self.open: dict[int, bool] = {}  # last token * nodes + node: whether the cut can lead anywhere
-        self.apart: dict[int, bool] = {}  # left * width + right: whether the two can be neighbours
+        self.known: dict[int, int] = {}  # last token * nodes + node: what of ON and END can be after it
         self._forget()
 
     def _forget(self) -> None:
@@ -133,52 +134,55 @@ class Transducer:
                 up += own
         return {node: tokens for node, tokens in below.items() if len(tokens) <= LOOK}
 
-    def _leads_on(self, last: int, node: int) -> bool:
-        """Whether some token below ``node`` can stand after ``last``; not looked for if there are many."""
-        if len(self.open) > 10 * STATES:
-            self.open.clear()
+    def _can(self, last: int, node: int, has: int) -> int:
+        """What of ``has`` is left after the token ``last``: whether the token at ``node`` can
+        follow it, and some token below; the latter isn't looked for if there are many."""
+        if len(self.known) > 5 * STATES:
+            self.known.clear()
+        apart, strings = self.merges.apart, self.strings
+        left = strings[last]
+        if has & END and not apart(left, strings[self.token[node]]):
+            has -= END
         tokens = self.below.get(node)
-        found = self.open[last * len(self.token) + node] = tokens is None or any(
-            self.merges.apart(self.strings[last], self.strings[t]) for t in tokens)
-        return found
-
-    def _neighbours(self, left: int, right: int) -> bool:
-        if len(self.apart) > 10 * STATES:
-            self.apart.clear()
-        found = self.apart[left * self.width + right] = self.merges.apart(self.strings[left], self.strings[right])
-        return found
+        if has & ON and tokens is not None and not any(apart(left, strings[t]) for t in tokens):
+            has -= ON
+        self.known[last * len(self.token) + node] = has
+        return has
 
     def step(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The state after ``byte`` and the tokens it emits."""
         state = self.states[at]
-        after, child, inner, token_at = state[0], self.child.get, self.inner, self.token
-        opened, nodes = self.open.get, len(token_at)
+        after, edge, known, nodes = state[0], self.edges.get, self.known.get, len(self.token)
         cuts, closed, agree, out = [], None, True, ()
         for k in range(1, len(state), 2):
-            node = child(state[k + 1] << 8 | byte)
-            if node is None:
+            found = edge(state[k + 1] << 8 | byte)
+            if found is None:
                 continue
+            node, can, token = found
             waiting = state[k]
             last = waiting[-1] if waiting else after
-            if inner[node]:
-                leads = last < 0 or opened(last * nodes + node)
-                if leads or leads is None and self._leads_on(last, node):
-                    cuts += (waiting, node)
-                    agree = agree and waiting
-            if closed is None and (token := token_at[node]) >= 0:  # what was read has one encoding only
-                apart = last < 0 or self.apart.get(last * self.width + token)
-                if apart or apart is None and self._neighbours(last, token):
-                    closed = (*waiting, token)
+            if last >= 0:
+                left = known(last * nodes + node)
+                can = self._can(last, node, can) if left is None else left
+            if can & ON:
+                cuts += (waiting, node)
+                agree = agree and waiting
+            if can & END:  # what was read has one encoding only
+                closed = (*waiting, token)
         if closed is not None:
             cuts += (closed, 0)
         if agree:
-            every = cuts[::2]
-            first, n = min(every, key=len), 0
-            while n < len(first) and all(waiting[n] == first[n] for waiting in every):
-                n += 1
+            first = cuts[0]
+            n = len(first)
+            for k in range(2, len(cuts), 2):
+                other, m = cuts[k], 0
+                n = min(n, len(other))
+                while m < n and other[m] == first[m]:
+                    m += 1
+                n = m
             if n:
                 out, after = first[:n], first[n - 1]
-                cuts[::2] = [waiting[n:] for waiting in every]
+                cuts[::2] = [waiting[n:] for waiting in cuts[::2]]
         key = (after, *cuts)
         to = self.number.get(key)
         if to is None:
@@ -274,6 +278,27 @@ class Characters:
         return text + ("�" if begun else "")
 
 
+class Pieces(dict):
+    """Pre-token to ids, found on first use. When full it becomes the ``old`` generation, from
+    which what is still in use comes back."""
+
+    def __init__(self, transducer: Transducer):
+        super().__init__()
+        self.transducer, self.bytes = transducer, 0
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        raw = piece.encode()
+        ids = self[piece] = self.old.pop(piece, None) or self.transducer.encode(raw)
+        self.bytes += 150 + len(raw) + 8 * len(ids)
+        return ids
+
+    def trim(self) -> None:
+        if self.bytes > REMEMBERED_BYTES:
+            self.old, self.bytes = dict(self), 0
+            self.clear()
+
+
 class Model:
     """Transducer, decoder and pre-token pattern, with the pre-tokens that are remembered."""
 
@@ -281,27 +306,17 @@ class Model:
         self.transducer = Transducer(content)
         self.characters = Characters(self.transducer.strings)
         self.pattern = regex.compile(pattern)
-        self.ids: dict[str, tuple[int, ...]] = {}
-        self.bytes = 0
-
-    def piece(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode()
-        ids = self.transducer.encode(raw)
-        self.bytes += 100 + len(raw) + 8 * len(ids)
-        if self.bytes > REMEMBERED_BYTES:
-            self.ids.clear()
-            self.bytes = 0
-        self.ids[piece] = ids
-        return ids
+        self.pieces = Pieces(self.transducer)
+        self.names = [str(i) for i in range(len(self.transducer.strings))]
 
     def blocks(self, text: str) -> Iterator[list[int]]:
-        """Ids of ``text``, a block of pre-tokens after the other."""
-        found = (m.group() for m in self.pattern.finditer(text))
-        while block := list(islice(found, BLOCK)):
-            ids: list[int] = []
-            known = self.ids
-            for piece in block:
-                ids += known.get(piece) or self.piece(piece)
+        """Ids of ``text``; of a long one, a block of pre-tokens after the other."""
+        if len(text) <= BLOCK:
+            found = iter(self.pattern.findall(text))
+        else:
+            found = (m.group() for m in self.pattern.finditer(text))
+        while ids := list(chain.from_iterable(map(self.pieces.__getitem__, islice(found, BLOCK)))):
+            self.pieces.trim()
             yield ids
 
 
@@ -346,12 +361,13 @@ def encode_decode(docs: DataFrame, ranks: str, want=("ids", "decoded"), text="te
 
     def make():
         model = loaded(content.value, pattern)
+        names = model.names.__getitem__
 
         def row(value):
             n, begun, ids_sum, text_sum, all_ids, all_text = 0, b"", hashlib.sha256(), hashlib.sha256(), [], []
             for ids in model.blocks(value):
                 begun, part = model.characters.stream(ids, begun)
-                ids_sum.update(((("," if n else "") + ",".join(map(str, ids))).encode()))
+                ids_sum.update((("," if n else "") + ",".join(map(names, ids))).encode())
                 text_sum.update(part.encode())
                 n += len(ids)
                 if "ids" in want:
