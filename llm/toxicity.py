@@ -1,5 +1,6 @@
 """Toxicity: averaged subword embeddings under a linear softmax, trained jointly in numpy."""
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -7,16 +8,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import fold_of, per_row, texts, whole_texts
+from llm.common import afforded, fold_of, per_row, texts
 from mandigrid.session import materialise
 
-# Rows of each label that the model is fitted on, and bytes of their texts, at most.
-SAMPLE_ROWS, SAMPLE_BYTES = 1_500, 16 << 20
+# Rows of each label that the model is fitted on, and distinct words of their texts, at most.
+SAMPLE_ROWS, SAMPLE_WORDS = 3_000, 1_200_000
 # Character n-grams of a word between its borders, hashed into 2**BUCKET_BITS vectors.
 GRAMS, BUCKET_BITS, SIZE = (3, 4, 5), 18, 8
-# Words in a bag. The distinct words of a text, as they first come, fill one bag after the
-# other; a text is scored by its worst bag. A bag that isn't full is averaged as if it were.
-BAG = 32
+# Words in a bag. Each of the distinct words of a text, as they first come, begins a bag; a text
+# is scored by its worst bag. A bag that isn't full is averaged as if it were. Of 2, 3 and 4, two
+# were best on a fold of the training rows.
+BAG = 2
 
 
 def distinct(words: list[bytes], places: dict[bytes, int]) -> np.ndarray:
@@ -48,11 +50,9 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bags(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last + 1 word of each bag of a text of ``n`` words; the last bag is full, too."""
-    if n <= BAG:
-        return np.array([0]), np.array([n])
-    first = np.minimum(np.arange(0, n, BAG), n - BAG)
-    return first, first + BAG
+    """First and last + 1 word of each bag of a text of ``n`` words."""
+    first = np.arange(max(1, n - BAG + 1))
+    return first, np.minimum(first + BAG, n)
 
 
 @dataclass
@@ -85,26 +85,65 @@ def words_in(text: str) -> list[bytes]:
     return list(dict.fromkeys(text.lower().encode("utf-8", "replace").split()))
 
 
-def fit_model(documents: list[list[bytes]], labels: list[int], weights: list[float], rounds=200, rate=0.1, decay=1e-6) -> Model:
+@dataclass
+class Sample:
+    """Texts as arrays: each text's distinct words as numbers, one after the other, how many
+    each has, and the n-gram buckets of each numbered word."""
+
+    words: np.ndarray
+    lengths: np.ndarray
+    bucket: np.ndarray
+    owner: np.ndarray
+
+    @classmethod
+    def of(cls, documents: list[list[bytes]]) -> "Sample":
+        places: dict[bytes, int] = {}
+        numbered = [distinct(words, places) for words in documents]
+        bucket, owner = subwords(list(places))
+        return cls(np.concatenate([*numbered, np.zeros(0, np.int64)]), np.array(list(map(len, numbered))), bucket, owner)
+
+    @classmethod
+    def unpacked(cls, rows: list[tuple[bytes, bytes, bytes]]) -> "Sample":
+        """From what ``packed_words`` made of each text."""
+        hashes = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
+        counts = np.concatenate([np.frombuffer(r[1], np.int32) for r in rows])
+        bucket = np.concatenate([np.frombuffer(r[2], np.int32) for r in rows])
+        _, first, words = np.unique(hashes, return_index=True, return_inverse=True)
+        begin = np.cumsum(counts, dtype=np.int64) - counts
+        size = counts[first].astype(np.int64)
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return cls(words, np.array([len(r[0]) // 8 for r in rows]), bucket[np.repeat(begin[first], size) + inside].astype(np.int64),
+                   np.repeat(np.arange(len(first)), size))
+
+
+def packed_words(text: str) -> tuple[bytes, bytes, bytes]:
+    """Of each distinct word of a text: 64 bits to know it by, the number of its n-grams, and
+    their buckets."""
+    words = words_in(text)
+    bucket, owner = subwords(words)
+    order = np.argsort(owner, kind="stable")
+    return (b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in words]),
+            np.bincount(owner, minlength=len(words)).astype(np.int32).tobytes(), bucket[order].astype(np.int32).tobytes())
+
+
+def fit_model(sample: Sample, labels: list[int], weights: list[float], rounds=200, rate=0.1, decay=1e-4) -> Model:
     """Embeddings and softmax weights by Adam over all documents.
 
     A document's loss is taken at a soft maximum over its bags, which grows harder with the
     rounds: a label says only that some passage is toxic.
     """
-    places: dict[bytes, int] = {}
-    numbered = [distinct(words, places) for words in documents]
-    bucket, owner = subwords(list(places))
-    per_word = np.maximum(np.bincount(owner, minlength=len(places)), 1)
-    token = np.concatenate([*numbered, np.zeros(0, np.int64)]).astype(np.int32)
+    bucket, owner, token = sample.bucket, sample.owner, sample.words
+    n_words = int(token.max()) + 1 if len(token) else 0
+    per_word = np.maximum(np.bincount(owner, minlength=n_words), 1)
     first, last, doc, offset = [], [], [], 0
-    for d, numbers in enumerate(numbered):
-        a, b = bags(len(numbers))
+    for d, length in enumerate(sample.lengths):
+        a, b = bags(length)
         first.append(a + offset)
         last.append(b + offset)
         doc.append(np.full(len(a), d))
-        offset += len(numbers)
+        offset += length
     first, last, doc = map(np.concatenate, (first, last, doc))
-    begins = np.searchsorted(doc, np.arange(len(documents)))
+    begins = np.searchsorted(doc, np.arange(len(sample.lengths)))
     y, w = np.array(labels, float), np.array(weights, float) / np.sum(weights)
     rng = np.random.default_rng(7)
     p = [np.zeros((1 << BUCKET_BITS, SIZE), np.float32), rng.normal(0, 0.5, SIZE).astype(np.float32),
@@ -112,7 +151,7 @@ def fit_model(documents: list[list[bytes]], labels: list[int], weights: list[flo
     moments = [(np.zeros_like(v), np.zeros_like(v)) for v in p]
     for step in range(1, rounds + 1):
         embedding, weight, bias = p
-        logit = np.bincount(owner, (embedding @ weight)[bucket], len(places)) / per_word
+        logit = np.bincount(owner, (embedding @ weight)[bucket], n_words) / per_word
         so_far = np.concatenate([[0.0], np.cumsum(logit[token])])
         score = bias[0] + (so_far[last] - so_far[first]) / BAG
         hard = 1.0 + 3.0 * step / rounds
@@ -122,7 +161,7 @@ def fit_model(documents: list[list[bytes]], labels: list[int], weights: list[flo
         slope = (1 / (1 + np.exp(-np.clip(value, -40, 40))) - y) * w
         part = slope[doc] * share / BAG
         edge = np.bincount(first, part, len(token) + 1) - np.bincount(last, part, len(token) + 1)
-        by_word = np.bincount(token, np.cumsum(edge)[:-1], len(places)) / per_word
+        by_word = np.bincount(token, np.cumsum(edge)[:-1], n_words) / per_word
         by_bucket = np.bincount(bucket, by_word[owner], 1 << BUCKET_BITS).astype(np.float32)
         grads = [np.outer(by_bucket, weight) + decay * embedding, embedding.T @ by_bucket, np.array([slope.sum()], np.float32)]
         for v, g, (m, s) in zip(p, grads, moments):
@@ -132,25 +171,44 @@ def fit_model(documents: list[list[bytes]], labels: list[int], weights: list[flo
     return Model((p[0] @ p[1]).astype(np.float32), float(p[2][0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows=SAMPLE_ROWS, size=SAMPLE_BYTES) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, rows=SAMPLE_ROWS, size=SAMPLE_WORDS) -> Model | None:
     """A model from labelled rows (``toxic``) whose crc32 of the id is not 2 modulo 4.
 
     Of each label at most ``rows`` ids of ``docs`` are used, the first by a hash, and ``size``
-    bytes of text in all; texts too long for what is left are passed over. The rest of the work
-    does not depend on this sample's size. Labels that are null, or of both kinds for an id, are
-    left out. None unless both labels occur; an error if no text of one fits.
+    distinct words of texts in all; texts too long for what is left are passed over. The rest of
+    the work does not depend on this sample's size. Words become numbers in the tasks, and only
+    these reach the driver. Labels that are null, or of both kinds for an id, are left out. None
+    unless both labels occur; an error if no text of one fits.
     """
     one = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold_of(F.col("doc_id"), 4) != 2))
            .groupBy("doc_id").agg(F.min("toxic").alias("label"), F.max("toxic").alias("other")).where("label = other"))
     one = materialise(one.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "label"), "toxicity-labels")
     share = {r["label"]: r["count"] for r in one.groupBy("label").count().collect()}  # two rows at most
-    first = [one.where(F.col("label") == v).select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for v in (0, 1)]
-    sample = docs.select("doc_id", "text").join(F.broadcast(first[0].union(first[1])), "doc_id")
     if len(share) < 2:
         return None
-    found, ys = whole_texts(sample, size, "toxicity-sample")
+    first = [one.where(F.col("label") == v).select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for v in (0, 1)]
+    sample = docs.select("doc_id", "text").join(F.broadcast(first[0].union(first[1])), "doc_id").dropDuplicates(["doc_id"])
+
+    def make():
+        def function(batch):
+            made = [packed_words(t) for t in texts(batch.column(0))]
+            return [pa.array([len(m[0]) // 8 for m in made], pa.int64()), *[pa.array([m[k] for m in made], pa.binary()) for k in range(3)]]
+        return function
+
+    sample = materialise(per_row(sample, ["text"], "n long, hashes binary, counts binary, buckets binary", make, ["doc_id", "label"]),
+                         "toxicity-sample")
+    order = (F.xxhash64("doc_id", F.lit(1)), F.col("doc_id"))
+    sizes = [tuple(r) for r in sample.select("doc_id", "label", "n").orderBy(*order).collect()]  # bounded by the sample
+    ids, label_of = afforded(sizes, size), {i: label for i, label, _ in sizes}
+    lost = {0, 1} - {label_of[i] for i in ids}
+    if lost:
+        raise ValueError(f"no text of label {sorted(lost)} fits into {size} words")
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], sample.select("doc_id").schema)
+    found = sample.join(F.broadcast(wanted), "doc_id").select("doc_id", "hashes", "counts", "buckets").collect()  # ``size`` words
+    found = sorted((tuple(r) for r in found), key=lambda r: str(r[0]))
+    ys = [label_of[r[0]] for r in found]
     weights = [share[v] ** 0.5 / ys.count(v) for v in (0, 1)]  # between their shares and equal ones
-    return fit_model([words_in(t) for t in found], ys, [weights[v] for v in ys])
+    return fit_model(Sample.unpacked([r[1:] for r in found]), ys, [weights[v] for v in ys])
 
 
 def score(docs: DataFrame, model: Model | None, keep=None, cut=0.3) -> DataFrame:
