@@ -26,13 +26,16 @@ def toxicity_stage(spark, docs, sf_dir):
 
 def duplicates_stage(spark, docs, sf_dir):
     """Of each class of near copies the document with the smallest id; of rows with the same
-    id, the first by text, source and language. Documents without words or id stay."""
+    id and text, the first by the other columns. Documents without words or id stay."""
     classes = jaccard.join_classes(docs)
     gone = classes.where("n_shingles > 0 AND component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(jaccard.small(materialise(gone, "pipeline-copies")), "doc_id", "left_anti")
-    repeated = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    kept = kept.withColumn("__text", F.xxhash64("text"))
+    repeated = kept.where("doc_id IS NOT NULL").groupBy("doc_id", "__text").agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    once = kept.join(repeated, ["doc_id", "__text"], "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("__first"))
+    once = once.select("doc_id", "text", "__first.*").select(*docs.columns)
+    return kept.join(repeated, ["doc_id", "__text"], "left_anti").select(*docs.columns).unionByName(once)
 
 
 def mixing_stage(spark, docs, sf_dir):

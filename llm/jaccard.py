@@ -270,7 +270,7 @@ def join_classes(docs: DataFrame, n=5, percent=80) -> DataFrame:
 
     No group is expanded into pairs of the same class, so large groups of copies or near
     copies cost one look a member and round. Ids are whole numbers; rows with the same id
-    count as one node, and a null id gets a null component. Null and empty texts have no
+    are one node with all their texts, and a null id gets a null component. Null and empty texts have no
     n-grams and are alone. An empty table gives an empty one.
     """
     spark = docs.sparkSession
@@ -280,8 +280,10 @@ def join_classes(docs: DataFrame, n=5, percent=80) -> DataFrame:
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     copies = full.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")).where("n > 1")
     copy_of = materialise(full.select("doc_id", "set_key").join(copies, "set_key").where("doc_id <> node")
-                          .select("doc_id", "node").distinct(), "jaccard-copies")
-    nodes = full.join(small(copy_of.select("doc_id")), "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "n_shingles", "prefix")
+                          .select("doc_id", "set_key", "node").distinct(), "jaccard-copies")
+    # of an id with several texts only those leave that are copies of a smaller id's
+    nodes = full.join(small(copy_of.select("doc_id", "set_key")), ["doc_id", "set_key"], "left_anti").select(
+        F.col("doc_id").alias("node"), "n_shingles", "prefix")
     classes = None
     links = [copy_of.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))]
 

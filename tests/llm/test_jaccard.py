@@ -117,3 +117,12 @@ def test_bounds(n, m):
     least = jaccard.needed(n, m, 80)
     assert 100 * least >= 80 * (n + m - least) and not 100 * (least - 1) >= 80 * (n + m - least + 1)
     assert jaccard.prefix_length(n, 80) == n - -(-80 * n // 100) + 1
+
+
+def test_an_id_with_two_texts_links_by_both(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b, near = " ".join(words), " ".join(f"v{i}" for i in range(60)), " ".join([*(f"v{i}" for i in range(59)), "else"])
+    rows = [(5, a), (5, b), (3, a), (9, near)]
+    for given in (rows, rows[::-1], rows + rows):
+        out = jaccard.join_classes(spark.createDataFrame(given, "doc_id long, text string")).collect()
+        assert {(r["doc_id"], r["component_id"]) for r in out} == {(5, 3), (3, 3), (9, 3)} and len(out) == len(given)

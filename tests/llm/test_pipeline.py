@@ -54,3 +54,11 @@ def test_repeated_ids_stay_once(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.duplicates_stage(spark, docs, SF_DIR).collect()
     assert sorted((r["doc_id"] or 0) for r in out) == [0, 1, 2, 4]
+
+
+def test_of_repeated_texts_the_first_stays(spark):
+    rows = [(1, "a b c", "en", "z", 1), (1, "a b c", "de", "y", 1), (1, "another text", "en", "z", 1), (2, None, "b", "s", 1), (2, None, "a", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.duplicates_stage(spark, docs, SF_DIR)
+    assert out.columns == docs.columns
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [rows[1], rows[2], rows[4]]))
