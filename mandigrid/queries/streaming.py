@@ -10,6 +10,7 @@ from mandigrid.operators.changes import changes, replay
 from mandigrid.operators.rollup import rollup_all_levels, rollup_varieties
 from mandigrid.queries.common import LEVELS, d, n, present, s
 from mandigrid.session import materialise, shared_dir
+from mandigrid.sources.commits import CommittedTable, append_shared
 from mandigrid.sources.standins import table, with_places
 from mandigrid.streaming.ingest import (
     ROLLUP_KEY, RollupStore, append_new, ingest, refresh_rollups,
@@ -37,6 +38,18 @@ def stream_ingest(spark, sf_dir):
     return present(spark.read.parquet(f"{base}/rows"))
 
 
+def shared_ingest(spark, sf_dir):
+    """Two streams that append the same events to one table at the same time."""
+    base, key = shared_dir(spark, "shared"), ["date", "market", "commodity"]
+    rows = _stream(spark, sf_dir, "events").select(
+        F.col("ts").cast("date").alias("date"), F.col("user_id").alias("market"),
+        F.col("event_type").alias("commodity"))
+    started = [append_shared(rows, f"{base}/table", key, f"{base}/state-{i}") for i in (1, 2)]
+    for stream in started:
+        stream.awaitTermination()
+    return present(CommittedTable(spark, f"{base}/table", rows.schema).read())
+
+
 def _bulletins(lines, spark, sf_dir):
     part = table(spark, sf_dir, "part").select(
         "p_partkey", F.col("p_type").alias("commodity"), F.col("p_brand").alias("variety"))
@@ -125,6 +138,8 @@ SELECT DISTINCT {d('ts')} AS date, 'Odisha' AS state, 'M' || user_id AS market,
        'Other' AS variety, CASE WHEN event_type = 'view' THEN 'Saunf' ELSE event_type END
        AS commodity_translated
 FROM events"""),
+    "shared_ingest": (shared_ingest, f"""
+SELECT DISTINCT {d('ts')} AS date, user_id AS market, event_type AS commodity FROM events"""),
     "stream_rollup": (stream_rollup, f"WITH {LEVELS} {_LEVEL_ROWS}"),
     "stream_partials": (stream_partials, f"WITH {LEVELS} {_LEVEL_ROWS}"),
     "rollup_feed": (rollup_feed, f"WITH {LEVELS} {_LEVEL_ROWS}"),
