@@ -12,7 +12,7 @@ from llm.common import afforded, fold_of, per_row, texts
 from mandigrid.session import materialise
 
 # Rows of each label that the model is fitted on, and distinct words of their texts, at most.
-SAMPLE_ROWS, SAMPLE_WORDS = 3_000, 1_200_000
+SAMPLE_ROWS, SAMPLE_WORDS = 3_000, 400_000
 # Character n-grams of a word between its borders, hashed into 2**BUCKET_BITS vectors.
 GRAMS, BUCKET_BITS, SIZE = (3, 4, 5), 18, 8
 # Words in a bag. Each of the distinct words of a text, as they first come, begins a bag; a text
@@ -103,27 +103,24 @@ class Sample:
         return cls(np.concatenate([*numbered, np.zeros(0, np.int64)]), np.array(list(map(len, numbered))), bucket, owner)
 
     @classmethod
-    def unpacked(cls, rows: list[tuple[bytes, bytes, bytes]]) -> "Sample":
-        """From what ``packed_words`` made of each text."""
-        hashes = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
-        counts = np.concatenate([np.frombuffer(r[1], np.int32) for r in rows])
-        bucket = np.concatenate([np.frombuffer(r[2], np.int32) for r in rows])
-        _, first, words = np.unique(hashes, return_index=True, return_inverse=True)
-        begin = np.cumsum(counts, dtype=np.int64) - counts
-        size = counts[first].astype(np.int64)
-        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        return cls(words, np.array([len(r[0]) // 8 for r in rows]), bucket[np.repeat(begin[first], size) + inside].astype(np.int64),
-                   np.repeat(np.arange(len(first)), size))
-
-
-def packed_words(text: str) -> tuple[bytes, bytes, bytes]:
-    """Of each distinct word of a text: 64 bits to know it by, the number of its n-grams, and
-    their buckets."""
-    words = words_in(text)
+    def joined(cls, texts: list[np.ndarray], known: np.ndarray, buckets: list[np.ndarray]) -> "Sample":
+        """From the words of each text as 64-bit numbers, and the buckets of each ``known`` word."""
+        order = np.argsort(known)
+        words = order[np.searchsorted(known[order], np.concatenate([*texts, np.zeros(0, np.int64)]))]
+        return cls(words, np.array(list(map(len, texts))), np.concatenate([*buckets, np.zeros(0, np.int32)]).astype(np.int64),
+                   np.repeat(np.arange(len(known)), list(map(len, buckets))))
+
+
+def numbers_of(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in words]), np.int64)
+
+
+def bucket_lists(words: list[bytes]) -> list[np.ndarray]:
+    """The n-gram buckets of each word."""
     bucket, owner = subwords(words)
     order = np.argsort(owner, kind="stable")
-    return (b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in words]),
-            np.bincount(owner, minlength=len(words)).astype(np.int32).tobytes(), bucket[order].astype(np.int32).tobytes())
+    ends = np.cumsum(np.bincount(owner, minlength=len(words)))
+    return np.split(bucket[order].astype(np.int32), ends[:-1]) if words else []
 
 
 def fit_model(sample: Sample, labels: list[int], weights: list[float], rounds=200, rate=0.1, decay=1e-4) -> Model:
@@ -191,24 +188,36 @@ def fit(docs: DataFrame, labels: DataFrame, rows=SAMPLE_ROWS, size=SAMPLE_WORDS)
 
     def make():
         def function(batch):
-            made = [packed_words(t) for t in texts(batch.column(0))]
-            return [pa.array([len(m[0]) // 8 for m in made], pa.int64()), *[pa.array([m[k] for m in made], pa.binary()) for k in range(3)]]
+            made = [numbers_of(words_in(t)) for t in texts(batch.column(0))]
+            return [pa.array(list(map(len, made)), pa.int64()), pa.array([m.tobytes() for m in made], pa.binary())]
         return function
 
-    sample = materialise(per_row(sample, ["text"], "n long, hashes binary, counts binary, buckets binary", make, ["doc_id", "label"]),
-                         "toxicity-sample")
+    def spell(batches):
+        for batch in batches:
+            words = list(dict.fromkeys(w for t in texts(batch.column(0)) for w in words_in(t)))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers_of(words)), pa.array([b.tobytes() for b in bucket_lists(words)], pa.binary())],
+                                             names=["word", "buckets"])
+
+    sample = materialise(sample, "toxicity-texts")
+    numbered = materialise(per_row(sample, ["text"], "n long, words binary", make, ["doc_id", "label"]), "toxicity-sample")
     order = (F.xxhash64("doc_id", F.lit(1)), F.col("doc_id"))
-    sizes = [tuple(r) for r in sample.select("doc_id", "label", "n").orderBy(*order).collect()]  # bounded by the sample
+    sizes = [tuple(r) for r in numbered.select("doc_id", "label", "n").orderBy(*order).collect()]  # bounded by the sample
     ids, label_of = afforded(sizes, size), {i: label for i, label, _ in sizes}
     lost = {0, 1} - {label_of[i] for i in ids}
     if lost:
         raise ValueError(f"no text of label {sorted(lost)} fits into {size} words")
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], sample.select("doc_id").schema)
-    found = sample.join(F.broadcast(wanted), "doc_id").select("doc_id", "hashes", "counts", "buckets").collect()  # ``size`` words
-    found = sorted((tuple(r) for r in found), key=lambda r: str(r[0]))
-    ys = [label_of[r[0]] for r in found]
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], sample.select("doc_id").schema))
+    found = numbered.join(wanted, "doc_id").select("doc_id", "words").toArrow()  # ``size`` words
+    spelt = (sample.join(wanted, "doc_id").select("text").mapInArrow(spell, "word long, buckets binary")
+             .dropDuplicates(["word"]).toArrow())
+    rows = sorted(zip(found["doc_id"].to_pylist(), found["words"].to_pylist()), key=lambda r: str(r[0]))
+    order = np.argsort(spelt["word"].to_numpy())
+    buckets = spelt["buckets"].to_pylist()
+    made = Sample.joined([np.frombuffer(w, np.int64) for _, w in rows], spelt["word"].to_numpy()[order],
+                         [np.frombuffer(buckets[k], np.int32) for k in order])
+    ys = [label_of[i] for i, _ in rows]
     weights = [share[v] ** 0.5 / ys.count(v) for v in (0, 1)]  # between their shares and equal ones
-    return fit_model(Sample.unpacked([r[1:] for r in found]), ys, [weights[v] for v in ys])
+    return fit_model(made, ys, [weights[v] for v in ys])
 
 
 def score(docs: DataFrame, model: Model | None, keep=None, cut=0.3) -> DataFrame:

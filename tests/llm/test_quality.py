@@ -184,12 +184,14 @@ def test_toxicity_scores_by_hand(spark):
         assert row["predicted"] == int(row["score"] >= 0.3) and row.asDict().keys() == {"doc_id", "text", "score", "predicted"}
 
 
-def test_packed_texts_are_the_sample_of_their_words():
-    given = ["one two two three", "", "three four", "two"]
-    plain = toxicity.Sample.of([toxicity.words_in(t) for t in given])
-    packed = toxicity.Sample.unpacked([toxicity.packed_words(t) for t in given])
+def test_joined_texts_are_the_sample_of_their_words():
+    given = [toxicity.words_in(t) for t in ("one two two three", "", "three four", "two")]
+    words = [b"three", b"one", b"four", b"two"]
+    plain = toxicity.Sample.of(given)
+    joined = toxicity.Sample.joined([toxicity.numbers_of(w) for w in given], toxicity.numbers_of(words), toxicity.bucket_lists(words))
     of = lambda s: [sorted(s.bucket[s.owner == w]) for w in s.words]
-    assert of(plain) == of(packed) and plain.lengths.tolist() == packed.lengths.tolist() == [3, 0, 2, 1]
+    assert of(plain) == of(joined) and plain.lengths.tolist() == joined.lengths.tolist() == [3, 0, 2, 1]
+    assert toxicity.bucket_lists([]) == [] and len(toxicity.numbers_of([])) == 0
 
 
 def test_toxicity_of_rows_held_out(spark):
