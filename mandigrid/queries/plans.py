@@ -9,7 +9,7 @@ from mandigrid.plans import bulletins, reference_tables as tables
 from mandigrid.plans.statistics import combine_statistics, compute_statistics
 from mandigrid.operators.rollup import rollup_level
 from mandigrid.queries import quality as quality_queries
-from mandigrid.queries.common import OBS, STATE, n, names, present, s, snap
+from mandigrid.queries.common import OBS, STATE, n, names, present, s
 from mandigrid.queries.matching import _damaged
 from mandigrid.queries.quality import END, START
 from mandigrid.queries.reference import _CENSUS, _census
