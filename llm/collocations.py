@@ -16,11 +16,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from mandigrid.session import materialise
 
 # Bytes of text whose n-grams are counted together before they are sent on.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 # Bytes of one text that are words in memory at once.
 SLICE_BYTES = 1 << 20
 # Rows of a run of a count stream, and sampled rows for each that runs are cut at.
-RUN_ROWS, SAMPLED = 200_000, 32
+RUN_ROWS, SAMPLED = 60_000, 32
 # Bits of the filter for longer n-grams, at most.
 SIEVE_BITS = 28
 # Rows that are handed over at once.
