@@ -107,7 +107,9 @@ def near_pairs(left: DataFrame, right: DataFrame, on_left, on_right, k, block=()
     b = b.select(*block, "right_name", F.explode(right_keys).alias("p"))
     a, b = (side.withColumn("p", F.xxhash64("p")) for side in (a, b))
     distance = F.levenshtein(x, y, k)
-    return (a.join(b, [*block, "p"]).withColumn("distance", distance)
+    # a stored side's size is known before its names are taken apart: joined by shuffle, as the
+    # keys are many times larger than that and would all pass the driver in a broadcast
+    return (a.join(b.hint("merge"), [*block, "p"]).withColumn("distance", distance)
             .filter("distance >= 0").drop("p").distinct())
 
 
@@ -256,7 +258,7 @@ def canonical_spelling(df: DataFrame, name, block, k=2) -> DataFrame:
     counts = materialise(df.filter(F.col(name).isNotNull()).groupBy(*block, name).agg(
         F.count(F.lit(1)).alias("n")), "spellings")
     pairs = near_pairs(counts, counts, name, name, k, block, fold=False)
-    voted = pairs.join(counts.withColumnRenamed(name, "right_name"), [*block, "right_name"])
+    voted = pairs.join(counts.withColumnRenamed(name, "right_name").hint("merge"), [*block, "right_name"])
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col("right_name"))).alias("_r")
     return voted.groupBy(*block, F.col("left_name").alias(name)).agg(best).select(
         *block, name, F.col("_r.right_name").alias("canonical"))
