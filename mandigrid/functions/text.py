@@ -18,7 +18,13 @@ _JOINED_WORDS = r"(?<=[a-z])(?=[A-Z])"
 
 
 def strip(c) -> Column:
-    return F.trim(F.regexp_replace(col(c), r"^\s+|\s+$", ""))
+    """Without white space at both ends.
+
+    Only before a line separator at the very end, where ``$`` also stands, is a pattern needed.
+    """
+    c = col(c)
+    return F.when(F.substring(c, -1, 1).isin("\u0085", "\u2028", "\u2029"),
+                  F.trim(F.regexp_replace(c, r"^\s+|\s+$", ""))).otherwise(F.btrim(c, F.lit(" \t\n\x0b\f\r")))
 
 
 def squeeze(c) -> Column:

@@ -49,12 +49,32 @@ def clean_bulletins(obs: DataFrame, variety_rule=True) -> DataFrame:
     return clean_names(normalise(obs))
 
 
+def _market_name(c):
+    return F.trim(replace_patterns(c, BULLETIN_MARKET_PATTERNS))
+
+
+def _placed(clean: DataFrame, locations: DataFrame) -> DataFrame:
+    """Rows with their market's name, district and taluk.
+
+    The patterns go over each distinct name once; the rows are joined with the outcome.
+    """
+    written = clean.select(F.col("state").alias("_s"), F.col("market").alias("_m")).distinct()
+    names = add_location(materialise(written, "market-names").select(
+        "_m", F.col("_s").alias("state"), _market_name("_m").alias("market")), locations)
+    names = names.select("_m", F.col("state").alias("_s"), F.col("market").alias("_n"), "district", "taluk")
+    rows = clean.drop("district", "taluk")
+    others = [c for c in rows.columns if c not in ("state", "market")]
+    return rows.join(names, F.col("state").eqNullSafe(F.col("_s")) & F.col("market").eqNullSafe(F.col("_m")), "left").select(
+        "state", F.col("_n").alias("market"), *others, "district", "taluk")
+
+
 def integrate_bulletins(clean: DataFrame, locations: DataFrame) -> DataFrame:
     """Clean rows with district and taluk; a tonnage of zero is missing."""
-    named = clean.withColumn("market", F.trim(
-        replace_patterns("market", BULLETIN_MARKET_PATTERNS)))
-    place = add_location_rowwise if clean.isStreaming else add_location
-    placed = place(named, locations)
+    if clean.isStreaming:
+        named = clean.withColumn("market", _market_name("market"))
+        placed = add_location_rowwise(named, locations)
+    else:
+        placed = _placed(clean, locations)
     return placed.withColumns({
         "tonnage": zero_as_null("tonnage"),
         "variety_tonnage": F.lit(None).cast("double"),

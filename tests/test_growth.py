@@ -21,3 +21,24 @@ def test_spellings_pass_the_driver_in_no_broadcast(spark):
     assert "Broadcast" not in _plan(found)
     assert sorted((r.word, r.canonical) for r in found.collect()) == [
         ("rice", "rice"), ("wheat", "wheat"), ("wheet", "wheat")]
+
+
+def test_market_names_are_cleaned_once_each(spark, monkeypatch):
+    purposes = []
+    plain = bulletins.materialise
+    monkeypatch.setattr(bulletins, "materialise", lambda df, purpose: purposes.append(purpose) or plain(df, purpose))
+    clean = spark.createDataFrame([("S", "M Mkt.", 1.0), ("S", "M", 2.0), (None, "N Yard", 0.0), ("S", None, 4.0)],
+                                  "state string, market string, tonnage double")
+    places = spark.createDataFrame([("S_M", "d", "t")], "location_key string, district string, taluk string")
+    out = bulletins.integrate_bulletins(clean, places)
+    assert purposes == ["market-names"]
+    assert sorted((str(r.state), str(r.market), str(r.district), str(r.tonnage)) for r in out.collect()) == [
+        ("None", "N", "None", "None"), ("S", "M", "d", "1.0"), ("S", "M", "d", "2.0"), ("S", "None", "None", "4.0")]
+
+
+def test_strip_is_that_of_its_pattern(spark):
+    texts = [a + m + b for a in ("", " ", "\t\n", "\u2028", "\u00a0") for m in ("", "x", "x y")
+             for b in ("", " ", " \n", "\r\n", " \u2028", "\u0085", " \n\u2029", "\u00a0")] + [None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    slow = F.trim(F.regexp_replace("t", r"^\s+|\s+$", ""))
+    assert rows.filter(~strip("t").eqNullSafe(slow)).isEmpty()
