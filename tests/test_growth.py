@@ -23,6 +23,23 @@ def test_spellings_pass_the_driver_in_no_broadcast(spark):
         ("rice", "rice"), ("wheat", "wheat"), ("wheet", "wheat")]
 
 
+def test_batches_and_merges_are_written_as_they_are_dealt(spark, tmp_path, monkeypatch):
+    purposes = []
+    plain = ingest.materialise
+    monkeypatch.setattr(ingest, "materialise", lambda df, purpose: purposes.append(purpose) or plain(df, purpose))
+    store = ingest.RollupStore(spark, str(tmp_path / "store"))
+
+    def batch(price):
+        return spark.createDataFrame([("s", "d", "m", "c", "k", "v", price, 2.0)], "state string, district string,"
+                                     " market string, commodity string, category string, variety string,"
+                                     " modal_price double, tonnage double").withColumn("date", F.lit("2020-01-01").cast("date"))
+
+    store.add(batch(1.0), "a", 0), store.add(batch(3.0), "b", 1), store.merge("ab"), store.merge("ab")
+    assert "merged-partials" not in purposes
+    store.add(batch(5.0), "c", 2)
+    assert {r.price for r in store.rollups().collect()} == {3.0}
+
+
 def test_market_names_are_cleaned_once_each(spark, monkeypatch):
     purposes = []
     plain = bulletins.materialise
