@@ -23,6 +23,29 @@ def test_spellings_pass_the_driver_in_no_broadcast(spark):
         ("rice", "rice"), ("wheat", "wheat"), ("wheet", "wheat")]
 
 
+def test_market_rows_are_shuffled_once(spark):
+    obs = spark.range(4).selectExpr(
+        "DATE'2020-01-01' AS date", "'s' AS state", "'d' AS district", "'m' AS market", "'c' AS commodity",
+        "'k' AS category", "CAST(id % 3 AS STRING) AS variety", "CAST(id AS DOUBLE) AS modal_price", "CAST(id AS DOUBLE) AS tonnage")
+    rows = rollup.rollup_varieties(obs)
+    assert _plan(rows).count("Exchange ") == 1
+    one = rows.first()
+    assert (one.price, one.tonnage, one.varieties) == (1.5, 3.0, ["0", "1", "2"])
+
+
+def test_catalogues_share_the_stored_market_rows(spark, tmp_path, monkeypatch):
+    def never(*_):
+        raise AssertionError("made again")
+
+    monkeypatch.setattr(catalogue, "materialise", never)
+    monkeypatch.setattr(serving, "shared_base", lambda spark: str(tmp_path))
+    assert serving.hierarchy_options(spark, SF_DIR).count() == serving.hierarchy_options(spark, SF_DIR).count()
+    kept, direct = serving._stored_markets(spark, SF_DIR), market_rows(spark, SF_DIR)
+    keys = [c for c in direct.columns if c != "price"]
+    assert kept.columns == direct.columns and kept.count() == direct.count()
+    assert kept.select(keys).exceptAll(direct.select(keys)).isEmpty()
+
+
 def test_batches_and_merges_are_written_as_they_are_dealt(spark, tmp_path, monkeypatch):
     purposes = []
     plain = ingest.materialise
