@@ -81,9 +81,8 @@ class RollupStore:
         schemas = {"partials": _PARTIALS, "rollups": _ROLLUPS, "feed": _FEED}
         return existing(self.spark, f"{self.path}/{name}", T.StructType.fromDDL(schemas[name]))
 
-    def _write(self, rows: DataFrame, name, *partitions, dealt=False):
-        """``dealt``: by an aggregation, so that the rows are not moved once more."""
-        ((rows if dealt else rows.hint("rebalance", *partitions)).write.mode("overwrite")
+    def _write(self, rows: DataFrame, name, *partitions):
+        (rows.hint("rebalance", *partitions).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy(*partitions)
          .parquet(f"{self.path}/{name}"))
 
@@ -91,7 +90,7 @@ class RollupStore:
         """Merge a batch of bulletins; ``number`` puts the batches' changes in order."""
         partials = rollup.market_partials(batch).withColumns({
             "batch": F.lit(name), "covers": F.array(F.lit(name))})
-        self._write(partials, "partials", "date", "batch", dealt=True)
+        self._write(partials, "partials", "date", "batch")
         every = self._table("partials")
         if every is None:
             return  # nothing has arrived yet
@@ -121,7 +120,7 @@ class RollupStore:
         added = rollup.add_partials(rows).withColumnRenamed("date", "_d")
         out = added.join(names, F.col("_d").eqNullSafe(F.col("date"))).drop("_d")
         # the partitions it replaces are left until the new ones are complete
-        self._write(out, "partials", "date", "batch", dealt=True)
+        self._write(out, "partials", "date", "batch")
 
     def _publish(self, new, touched, name, number):
         feed = self._table("feed")

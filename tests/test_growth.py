@@ -46,7 +46,7 @@ def test_catalogues_share_the_stored_market_rows(spark, tmp_path, monkeypatch):
     assert kept.select(keys).exceptAll(direct.select(keys)).isEmpty()
 
 
-def test_batches_and_merges_are_written_as_they_are_dealt(spark, tmp_path, monkeypatch):
+def test_merges_are_written_once(spark, tmp_path, monkeypatch):
     purposes = []
     plain = ingest.materialise
     monkeypatch.setattr(ingest, "materialise", lambda df, purpose: purposes.append(purpose) or plain(df, purpose))
