@@ -15,9 +15,11 @@ from mandigrid.session import materialise
 # Entries of the list of frequent n-grams, which go last in the global order. Any such list
 # gives the same links; it only keeps shared passages out of the prefixes.
 FREQUENT = 200_000
-# Rounds in which near copies meet by two of their first n-grams each, before all of a prefix is
+# Rounds in which near copies meet by two min-hashes of their whole sets, before prefixes are
 # looked at.
 ROUNDS = 3
+# Odd factors, one for each min-hash: multiplied by one, the hashes stand in another order.
+ORDERS = np.array([int.from_bytes(hashlib.blake2b(bytes([k]), digest_size=8).digest(), "little") | 1 for k in range(2 * ROUNDS)], np.uint64)
 # Sets that one prefix tree holds; larger blocks are several trees.
 TREE_SETS = 512
 # Ids or n-grams that may be broadcast; more are joined by shuffle.
@@ -57,6 +59,11 @@ def shingles(words: list[bytes], n: int) -> np.ndarray:
     return np.unique(value)
 
 
+def set_key(grams: np.ndarray) -> bytes:
+    """Equal for equal sets."""
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+
+
 def ordered(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """In the global order: frequent n-grams last, by hash otherwise."""
     if not len(frequent) or not len(grams):
@@ -66,6 +73,12 @@ def ordered(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([grams[~late], grams[late]])
 
 
+def min_hashes(grams: np.ndarray) -> np.ndarray:
+    """The n-gram that comes first in each of the ORDERS, frequent or not: sets share each with the
+    probability of their similarity, however many sets share them."""
+    return np.array([(grams * factor).min() for factor in ORDERS], np.uint64)
+
+
 def prefix_length(n, percent: int):
     """Sets of which ``percent`` of the union are shared have one of this many first n-grams in
     common: a partner shares at least ``percent`` of these n."""
@@ -143,7 +156,7 @@ def frequent_grams(docs: DataFrame, n: int) -> np.ndarray:
     in a batch count once."""
     def run(batches):
         for batch in batches:
-            sets = {s.tobytes(): s for s in (shingles(words_of(t, True), n) for t in texts(batch.column(0)))}
+            sets = {set_key(s): s for s in (shingles(words_of(t, True), n) for t in texts(batch.column(0)))}
             joined = np.concatenate([*sets.values(), np.empty(0, np.uint64)])
             del sets
             joined.sort()
@@ -158,22 +171,24 @@ def frequent_grams(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, n: int, percent: int, frequent) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets) and the prefix of each document."""
+    """doc_id, n_shingles, set_key (equal for equal sets), prefix and min-hashes of each document."""
     def make():
         late = frequent.value
 
         def function(batch):
-            sizes, keys, prefixes = [], [], []
+            sizes, keys, prefixes, sketches = [], [], [], []
             for text in texts(batch.column(0)):
                 grams = shingles(words_of(text, True), n)
                 sizes.append(len(grams))
-                keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
+                keys.append(set_key(grams))
                 prefixes.append(ordered(grams, late)[:prefix_length(len(grams), percent)].view(np.int64) if len(grams) else [])
-            return [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+                sketches.append(min_hashes(grams).view(np.int64) if len(grams) else [])
+            return [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())),
+                    pa.array(sketches, pa.list_(pa.int64()))]
 
         return function
 
-    return per_row(docs, ["text"], "n_shingles long, set_key binary, prefix array<long>", make, ["doc_id"])
+    return per_row(docs, ["text"], "n_shingles long, set_key binary, prefix array<long>, sketch array<long>", make, ["doc_id"])
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int, frequent) -> DataFrame:
@@ -197,29 +212,35 @@ EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Lon
 
 
 def block_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within blocks of sets: ``members`` has block, node, class and grams.
+    """Links (a, b) within blocks of sets: ``members`` has block, node, class, grams and host.
 
+    Each set is looked for among the hosts that stand behind it; guests stand before all hosts.
     Links inside a class that is joined already are not looked for: they change no class.
     """
     arrow = to_arrow_schema(EDGES)
 
     def join(table):
+        table = table.sort_by("host")  # guests first
+        guests, hosts = table["host"].to_pylist().count(False), table["host"].to_pylist().count(True)
+        if not hosts:
+            return pa.Table.from_arrays([pa.array([], pa.int64())] * 2, schema=arrow)
         nodes, sets = table["node"].to_pylist(), table["grams"].to_pylist()
         first: dict[int, int] = {}
         classes, edges = Classes(len(nodes)), []
         for i, c in enumerate(table["class"].to_pylist()):
             classes.join(first.setdefault(c, i), i)
-        of, tree = classes.of, Tree(sets)
+        of, tree = classes.of, Tree(sets[guests:])
         for i, grams in enumerate(sets):
-            done = lambda ids: all(j <= i or of(j) == of(i) for j in ids)  # noqa: E731, B023
+            done = lambda ids: all(guests + j <= i or of(guests + j) == of(i) for j in ids)  # noqa: E731, B023
             for j in tree.linked(grams, percent, done):
+                j += guests
                 if of(i) != of(j):
                     classes.join(i, j)
                     edges.append((nodes[i], nodes[j]))
         a, b = zip(*edges) if edges else ((), ())
         return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=arrow)
 
-    return members.select("block", "node", "class", "grams").groupBy("block").applyInArrow(join, EDGES)
+    return members.select("block", "node", "class", "grams", "host").groupBy("block").applyInArrow(join, EDGES)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -252,6 +273,52 @@ def of_class(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     return nodes.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
 
 
+def near_classes(grams: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes that may have linked nodes: ``grams`` has the prefix n-grams of each class
+    (gram, class) and the sizes (least, most) of the sets that they are of.
+
+    The prefixes of linked sets share as many as the one that ends first has, less what its set
+    may lack. Of sets of several sizes the smallest and the largest need the fewest.
+    """
+    left, right = (grams.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "least", "most")]) for s in "lr")
+    sizes = (100 * F.col("most_l") >= percent * F.col("least_r")) & (100 * F.col("most_r") >= percent * F.col("least_l"))
+    shared = (left.join(right, "gram").where((F.col("class_l") < F.col("class_r")) & sizes).groupBy("class_l", "class_r")
+              .agg(F.count("*").alias("n"), *[f(f"{c}_{s}").alias(f"{c}_{s}") for s in "lr" for c, f in (("least", F.min), ("most", F.max))]))
+    small, large = F.least("least_l", "least_r"), F.greatest("most_l", "most_r")
+    due = F.floor((percent * (small + large) + 99 + percent) / (100 + percent)) + 1 - F.floor((percent * large + 99) / 100)
+    one_size = (F.col("least_l") == F.col("most_l")) & (F.col("least_r") == F.col("most_r"))
+    # rounding may make one n-gram of a difference in between
+    return shared.where(F.col("n") >= due - F.when(one_size, 0).otherwise(1)).select("class_l", "class_r")
+
+
+def meetings(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """block, node, class and host for all ``pairs`` of classes, whose nodes are ``members``.
+
+    The larger class is host to the smaller ones. Its nodes and those of its guests are dealt into parts
+    of about TREE_SETS, and each part of the one meets each part of the other in a block.
+    """
+    sides = pairs.select(F.col("class_l").alias("class")).union(pairs.select(F.col("class_r").alias("class"))).distinct()
+    members = materialise(members.join(sides, "class", "left_semi"), "jaccard-members")
+    size = members.groupBy("class").agg(F.count("*").alias("size"))
+    sized = pairs
+    for s in "lr":
+        sized = sized.join(size.select(F.col("class").alias(f"class_{s}"), F.col("size").alias(f"size_{s}")), f"class_{s}")
+    large = F.col("size_l") >= F.col("size_r")
+    invited = materialise(sized.select(
+        F.when(large, F.col("class_l")).otherwise(F.col("class_r")).alias("of"), F.when(large, F.col("class_r")).otherwise(F.col("class_l")).alias("guest"),
+        F.greatest("size_l", "size_r").alias("hosts"), F.least("size_l", "size_r").alias("guests")), "jaccard-invited")
+    parts = invited.groupBy("of").agg(F.ceil(F.max("hosts") / TREE_SETS).alias("host_parts"), F.ceil(F.sum("guests") / TREE_SETS).alias("guest_parts"))
+
+    def dealt(rows, own, other, host):
+        return rows.select("of", "node", "class", F.pmod(F.xxhash64("node", F.lit(own)), F.col(own)).alias(own),
+                           F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other)).select(
+            F.xxhash64("of", "host_parts", "guest_parts").alias("block"), "node", "class", F.lit(host).alias("host"))
+
+    hosts = members.join(parts.withColumn("class", F.col("of")), "class")
+    guests = members.join(invited.join(parts, "of").withColumn("class", F.col("guest")), "class")
+    return dealt(hosts, "host_parts", "guest_parts", True).union(dealt(guests, "guest_parts", "host_parts", False))
+
+
 def join_classes(docs: DataFrame, n=5, percent=80) -> DataFrame:
     """doc_id, n_shingles, component_id of each document.
 
@@ -260,13 +327,12 @@ def join_classes(docs: DataFrame, n=5, percent=80) -> DataFrame:
     join is exact: linked sets share an n-gram among their first (frequent n-grams last), so
 
     1. copies are one node, and each node gives out its prefix n-grams;
-    2. in ROUNDS by two of its first n-grams, a node that has them in common with nodes of
-       other classes meets these in a block, in which a prefix tree of the whole sets finds
-       the links; classes are joined after each, so that few n-grams are left that stand in
-       several;
-    3. those give pairs of nodes of different classes. The whole prefixes of a pair must share
-       what the sizes ask for: as many as the prefix that ends first has, less what its set
-       may lack. Prefix trees check what is left, a tree for each node's partners.
+    2. in ROUNDS by two min-hashes, a node that has them in common with nodes of other classes
+       meets these in a block, in which a prefix tree of the whole sets finds the links; classes
+       are joined after each, so that few n-grams are left that stand in several;
+    3. those give pairs of classes. The prefixes of a pair must share what the sizes ask for.
+       The nodes of the larger class are put into prefix trees in bounded blocks, in which those
+       of the smaller ones are looked for.
 
     No group is expanded into pairs of the same class, so large groups of copies or near
     copies cost one look a member and round. Ids are whole numbers; rows with the same id
@@ -283,7 +349,7 @@ def join_classes(docs: DataFrame, n=5, percent=80) -> DataFrame:
                           .select("doc_id", "set_key", "node").distinct(), "jaccard-copies")
     # of an id with several texts only those leave that are copies of a smaller id's
     nodes = full.join(small(copy_of.select("doc_id", "set_key")), ["doc_id", "set_key"], "left_anti").select(
-        F.col("doc_id").alias("node"), "n_shingles", "prefix")
+        F.col("doc_id").alias("node"), "n_shingles", "prefix", "sketch")
     classes = None
     links = [copy_of.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))]
 
@@ -291,13 +357,13 @@ def join_classes(docs: DataFrame, n=5, percent=80) -> DataFrame:
         return nodes.withColumn("class", F.col("node")) if classes is None else of_class(nodes, classes)
 
     def meet(number):
-        """Links found in blocks by two n-grams, and the classes that all links so far lead to."""
+        """Links found in blocks by two min-hashes, and the classes that all links so far lead to."""
         at = 2 * number
-        keyed = named().where(F.size("prefix") > at).select(
-            "node", "class", F.xxhash64(F.get("prefix", F.lit(at)), F.get("prefix", F.lit(at + 1))).alias("key"))
+        keyed = named().select("node", "class", F.xxhash64(F.get("sketch", F.lit(at)), F.get("sketch", F.lit(at + 1))).alias("key"))
         groups = keyed.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("n"))
         tree = F.pmod(F.xxhash64("node", F.lit(number)), F.ceil(F.col("n") / TREE_SETS))
-        met = keyed.join(groups.where("x <> y"), "key").select(F.xxhash64("key", tree).alias("block"), "node", "class")
+        met = keyed.join(groups.where("x <> y"), "key").select(F.xxhash64("key", tree).alias("block"), "node", "class",
+                                                        F.lit(True).alias("host"))
         met = materialise(met, "jaccard-blocks")
         sets = sets_of(docs, met.select("node"), n, frequent)
         links.append(materialise(block_links(met.join(sets, "node"), percent), "jaccard-links"))
@@ -308,28 +374,12 @@ def join_classes(docs: DataFrame, n=5, percent=80) -> DataFrame:
 
     for number in range(ROUNDS):
         classes = meet(number)
-    grams = named().select("node", "class", F.col("n_shingles").cast("int"), F.explode("prefix").alias("gram"))
     every = Window.partitionBy("gram")
+    grams = named().select("class", F.col("n_shingles").cast("int").alias("size"), F.explode("prefix").alias("gram"))
     grams = grams.withColumn("x", F.min("class").over(every)).withColumn("y", F.max("class").over(every)).where("x <> y")
-    grams = materialise(grams.select("gram", "node", "class", "n_shingles"), "jaccard-grams")
-    left, right = (grams.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n_shingles", "class")]) for s in "lr")
-    sizes = (100 * F.least("n_shingles_l", "n_shingles_r") >= percent * F.greatest("n_shingles_l", "n_shingles_r"))
-    least = F.floor((percent * (F.col("n_shingles_l") + F.col("n_shingles_r")) + 99 + percent) / (100 + percent))
-
-    def due(size):
-        """Shared n-grams of the prefixes, if the one of this size ends first."""
-        return least + 1 - F.floor((percent * F.col(size) + 99) / 100)
-
-    pairs = (left.join(right, "gram").where((F.col("class_l") < F.col("class_r")) & sizes)
-             .groupBy("node_l", "class_l", "n_shingles_l", "node_r", "class_r", "n_shingles_r").agg(F.count("*").alias("n"))
-             .where(F.col("n") >= F.least(due("n_shingles_l"), due("n_shingles_r"))).select("node_l", "class_l", "node_r", "class_r"))
-    pairs = materialise(pairs, "jaccard-pairs")
-    count = pairs.groupBy("node_l").agg(F.count("*").alias("n"))
-    part = F.xxhash64("node_l", F.pmod(F.xxhash64("node_r"), F.ceil(F.col("n") / TREE_SETS)))
-    placed = pairs.join(count, "node_l").withColumn("block", part)
-    meet = (placed.select("block", F.col("node_r").alias("node"), F.col("class_r").alias("class"))
-            .union(placed.select("block", F.col("node_l").alias("node"), F.col("class_l").alias("class")).distinct()))
-    meet = materialise(meet, "jaccard-blocks")
+    grams = materialise(grams.groupBy("gram", "class").agg(F.min("size").alias("least"), F.max("size").alias("most")), "jaccard-grams")
+    pairs = materialise(near_classes(grams, percent), "jaccard-pairs")
+    meet = materialise(meetings(pairs, named().select("node", "class").distinct()), "jaccard-blocks")
     sets = sets_of(docs, materialise(meet.select("node").distinct(), "jaccard-nodes"), n, frequent)
     links.append(materialise(block_links(meet.join(sets, "node"), percent), "jaccard-links"))
 

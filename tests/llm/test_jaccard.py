@@ -126,3 +126,53 @@ def test_an_id_with_two_texts_links_by_both(spark):
     for given in (rows, rows[::-1], rows + rows):
         out = jaccard.join_classes(spark.createDataFrame(given, "doc_id long, text string")).collect()
         assert {(r["doc_id"], r["component_id"]) for r in out} == {(5, 3), (3, 3), (9, 3)} and len(out) == len(given)
+
+
+def test_a_large_group_of_near_copies_meets_before_prefixes_are_joined(spark, monkeypatch):
+    seen, write = [], jaccard.materialise
+
+    def counted(df, purpose):
+        out = write(df, purpose)
+        seen.append((purpose, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    rng, rows = random.Random(4), []
+    for i in range(150):  # the n-grams that all share are frequent, so the prefixes begin with each one's own
+        words = [f"w{k}" for k in range(120)]
+        words[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    out = jaccard.join_classes(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r["component_id"] for r in out} == {0}
+    assert max(n for purpose, n in seen if purpose in ("jaccard-pairs", "jaccard-blocks")) <= 300
+
+
+@pytest.mark.parametrize("size", [2, 512])
+def test_prefixes_alone_lead_to_all_links(spark, monkeypatch, size):
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "TREE_SETS", size)
+    rows = near_copies(7)
+    out = jaccard.join_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == classes_by_hand(rows)
+
+
+def test_all_nodes_of_paired_classes_meet_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TREE_SETS", 4)
+    sizes, pairs = {1: 3, 2: 30, 3: 12, 4: 1, 5: 2}, [(1, 2), (2, 3), (2, 4), (4, 5)]
+    members = [(100 * c + i, c) for c, n in sizes.items() for i in range(n)]
+    met = jaccard.meetings(spark.createDataFrame(pairs, "class_l long, class_r long"), spark.createDataFrame(members, "node long, class long"))
+    blocks = {}
+    for r in met.collect():
+        blocks.setdefault(r["block"], ([], []))[r["host"]].append((r["node"], r["class"]))
+    together = {frozenset((h, g)) for guests, hosts in blocks.values() for h, _ in hosts for g, _ in guests}
+    assert together >= {frozenset((a, b)) for x, y in pairs for a, c in members for b, d in members if (c, d) == (x, y)}
+    assert max(max(map(len, both)) for both in blocks.values()) <= 14 and len(blocks) > 20
+
+
+@given(st.sets(st.integers(0, 40), min_size=1), st.sets(st.integers(0, 40), min_size=1))
+def test_min_hashes_of_equal_sets_are_equal_and_come_from_the_set(a, b):
+    a, b = (np.array(sorted(x), np.uint64) for x in (a, b))
+    assert len(set(jaccard.ORDERS.tolist())) == 2 * jaccard.ROUNDS and (jaccard.ORDERS % 2 == 1).all()
+    assert set(jaccard.min_hashes(a).tolist()) <= {int(g) * int(f) % 2**64 for g in a for f in jaccard.ORDERS}
+    joined = np.minimum(jaccard.min_hashes(a), jaccard.min_hashes(b))
+    assert (jaccard.min_hashes(np.union1d(a, b)) == joined).all()
