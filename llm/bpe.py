@@ -10,7 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from llm.common import per_row, texts
+from llm.common import kept, per_row, texts
 
 # Fixed value: the pre-token pattern of byte-level tokenizers.
 PRETOKEN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -134,15 +134,9 @@ class Pieces(dict):
             self.clear()
 
 
-#: Of a Python worker: tokenizer content to its model and pieces; a worker serves many tasks.
-_LOADED: dict[str, tuple[Bpe, Pieces]] = {}
-
-
 def loaded(content: str) -> tuple[Bpe, Pieces]:
-    if content not in _LOADED:
-        _LOADED.clear()
-        _LOADED[content] = (bpe := Bpe(content), Pieces(bpe))
-    return _LOADED[content]
+    """The model of a tokenizer file and its pieces, which a worker keeps."""
+    return kept(("bpe", content), lambda: (bpe := Bpe(content), Pieces(bpe)))
 
 
 def shipped(spark, path: str):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from llm.common import per_row, texts, words_of
+from llm.common import give_back, kept, per_row, texts, words_of
 from mandigrid.session import materialise
 
 # Entries of the list of frequent n-grams, which go last in the global order. Any such list
@@ -36,13 +36,11 @@ class Hashes(dict):
         return value
 
 
-_HASHES = Hashes()
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_HASHES) > REMEMBERED:
-        _HASHES.clear()
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    known = kept("word hashes", Hashes)
+    if len(known) > REMEMBERED:
+        known.clear()
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def shingles(words: list[bytes], n: int) -> np.ndarray:
@@ -164,6 +162,7 @@ def frequent_grams(docs: DataFrame, n: int) -> np.ndarray:
             third = np.unique(joined[2:][joined[2:] == joined[:-2]])
             counts = np.searchsorted(joined, third, "right") - np.searchsorted(joined, third)
             yield pa.RecordBatch.from_arrays([pa.array(third.view(np.int64)), pa.array(counts)], names=["gram", "n"])
+        give_back()
 
     found = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     rows = found.orderBy(F.desc("n"), "gram").limit(FREQUENT).select("gram").toArrow()  # FREQUENT numbers at most

@@ -1,14 +1,16 @@
 """Toxicity: averaged subword embeddings under a linear softmax, trained jointly in numpy."""
 
 import hashlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import afforded, fold_of, per_row, texts
+from llm.common import afforded, fold_of, give_back, listed, per_row, texts
 from mandigrid.session import materialise
 
 # Rows of each label that the model is fitted on, and distinct words of their texts, at most.
@@ -19,6 +21,10 @@ GRAMS, BUCKET_BITS, SIZE = (3, 4, 5), 18, 8
 # is scored by its worst bag. A bag that isn't full is averaged as if it were. Of 2, 3 and 4, two
 # were best on a fold of the training rows.
 BAG = 2
+# Words of a group of texts that are scored together, and of them those whose n-grams are made at once.
+GROUP_WORDS, SPELT_WORDS = 500_000, 5_000
+# N-grams of the sample that are added up at once.
+PIECE = 1 << 18
 
 
 def distinct(words: list[bytes], places: dict[bytes, int]) -> np.ndarray:
@@ -64,14 +70,31 @@ class Model:
     bias: float
 
     def word_logits(self, words: list[bytes]) -> np.ndarray:
-        bucket, owner = subwords(words)
-        count = np.bincount(owner, minlength=len(words))
-        return np.bincount(owner, self.bucket_logits[bucket], len(words)) / np.maximum(count, 1)
-
-    def scores(self, documents: list[list[bytes]]) -> list[float]:
+        logits = [np.zeros(0)]
+        for at in range(0, len(words), SPELT_WORDS):
+            part = words[at:at + SPELT_WORDS]
+            bucket, owner = subwords(part)
+            count = np.bincount(owner, minlength=len(part))
+            logits.append(np.bincount(owner, self.bucket_logits[bucket], len(part)) / np.maximum(count, 1))
+        return np.concatenate(logits)
+
+    def scores(self, documents: Iterable[list[bytes]]) -> list[float]:
+        """Of each document by its words. Documents are taken one after the other; of a group of
+        them only numbers and the distinct words are held."""
+        out: list[float] = []
         places: dict[bytes, int] = {}
-        numbered = [distinct(words, places) for words in documents]
-        logit = self.word_logits(list(places))
+        numbered: list[np.ndarray] = []
+        held = 0
+        for words in documents:
+            numbered.append(distinct(words, places))
+            held += len(words)
+            if held > GROUP_WORDS:
+                out += self.group_scores(list(places), numbered)
+                places, numbered, held = {}, [], 0
+        return out + self.group_scores(list(places), numbered)
+
+    def group_scores(self, words: list[bytes], numbered: list[np.ndarray]) -> list[float]:
+        logit = self.word_logits(words)
         out = []
         for numbers in numbered:
             so_far = np.concatenate([[0.0], np.cumsum(logit[numbers])])
@@ -105,10 +128,14 @@ class Sample:
     @classmethod
     def joined(cls, texts: list[np.ndarray], known: np.ndarray, buckets: list[np.ndarray]) -> "Sample":
         """From the words of each text as 64-bit numbers, and the buckets of each ``known`` word."""
+        return cls.spelt(texts, known, np.concatenate([*buckets, np.zeros(0, np.int32)]), np.array(list(map(len, buckets)), np.int64))
+
+    @classmethod
+    def spelt(cls, texts: list[np.ndarray], known: np.ndarray, buckets: np.ndarray, counts: np.ndarray) -> "Sample":
+        """The same with the ``buckets`` of all known words in one array, and how many each has."""
         order = np.argsort(known)
         words = order[np.searchsorted(known[order], np.concatenate([*texts, np.zeros(0, np.int64)]))]
-        return cls(words, np.array(list(map(len, texts))), np.concatenate([*buckets, np.zeros(0, np.int32)]).astype(np.int64),
-                   np.repeat(np.arange(len(known)), list(map(len, buckets))))
+        return cls(words, np.array(list(map(len, texts))), buckets, np.repeat(np.arange(len(known), dtype=np.int32), counts))
 
 
 def numbers_of(words: list[bytes]) -> np.ndarray:
@@ -129,9 +156,14 @@ def fit_model(sample: Sample, labels: list[int], weights: list[float], rounds=20
     A document's loss is taken at a soft maximum over its bags, which grows harder with the
     rounds: a label says only that some passage is toxic.
     """
-    bucket, owner, token = sample.bucket, sample.owner, sample.words
+    token = sample.words
     n_words = int(token.max()) + 1 if len(token) else 0
-    per_word = np.maximum(np.bincount(owner, minlength=n_words), 1)
+    per_word = np.maximum(np.bincount(sample.owner, minlength=n_words), 1)
+
+    def pieces():
+        for at in range(0, len(sample.bucket), PIECE):
+            yield sample.bucket[at:at + PIECE].astype(np.intp), sample.owner[at:at + PIECE].astype(np.intp)
+
     first, last, doc, offset = [], [], [], 0
     for d, length in enumerate(sample.lengths):
         a, b = bags(length)
@@ -148,7 +180,10 @@ def fit_model(sample: Sample, labels: list[int], weights: list[float], rounds=20
     moments = [(np.zeros_like(v), np.zeros_like(v)) for v in p]
     for step in range(1, rounds + 1):
         embedding, weight, bias = p
-        logit = np.bincount(owner, (embedding @ weight)[bucket], n_words) / per_word
+        logit, by_bucket, of_bucket = np.zeros(len(per_word)), np.zeros(1 << BUCKET_BITS), (embedding @ weight).astype(float)
+        for bucket, owner in pieces():
+            np.add.at(logit, owner, of_bucket[bucket])
+        logit /= per_word
         so_far = np.concatenate([[0.0], np.cumsum(logit[token])])
         score = bias[0] + (so_far[last] - so_far[first]) / BAG
         hard = 1.0 + 3.0 * step / rounds
@@ -159,7 +194,9 @@ def fit_model(sample: Sample, labels: list[int], weights: list[float], rounds=20
         part = slope[doc] * share / BAG
         edge = np.bincount(first, part, len(token) + 1) - np.bincount(last, part, len(token) + 1)
         by_word = np.bincount(token, np.cumsum(edge)[:-1], n_words) / per_word
-        by_bucket = np.bincount(bucket, by_word[owner], 1 << BUCKET_BITS).astype(np.float32)
+        for bucket, owner in pieces():
+            np.add.at(by_bucket, bucket, by_word[owner])
+        by_bucket = by_bucket.astype(np.float32)
         grads = [np.outer(by_bucket, weight) + decay * embedding, embedding.T @ by_bucket, np.array([slope.sum()], np.float32)]
         for v, g, (m, s) in zip(p, grads, moments):
             m += 0.1 * (g - m)
@@ -194,9 +231,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows=SAMPLE_ROWS, size=SAMPLE_WORDS)
 
     def spell(batches):
         for batch in batches:
-            words = list(dict.fromkeys(w for t in texts(batch.column(0)) for w in words_in(t)))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers_of(words)), pa.array([b.tobytes() for b in bucket_lists(words)], pa.binary())],
-                                             names=["word", "buckets"])
+            every = list(dict.fromkeys(w for t in texts(batch.column(0)) for w in words_in(t)))
+            for at in range(0, len(every), SPELT_WORDS):
+                words = every[at:at + SPELT_WORDS]
+                yield pa.RecordBatch.from_arrays([pa.array(numbers_of(words)), pa.array([b.tobytes() for b in bucket_lists(words)], pa.binary())],
+                                                 names=["word", "buckets"])
+        give_back()
 
     sample = materialise(sample, "toxicity-texts")
     numbered = materialise(per_row(sample, ["text"], "n long, words binary", make, ["doc_id", "label"]), "toxicity-sample")
@@ -206,18 +246,30 @@ def fit(docs: DataFrame, labels: DataFrame, rows=SAMPLE_ROWS, size=SAMPLE_WORDS)
     lost = {0, 1} - {label_of[i] for i in ids}
     if lost:
         raise ValueError(f"no text of label {sorted(lost)} fits into {size} words")
-    wanted = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], sample.select("doc_id").schema))
+    wanted = F.broadcast(listed(docs.sparkSession, ids, sample.schema["doc_id"]))
     found = numbered.join(wanted, "doc_id").select("doc_id", "words").toArrow()  # ``size`` words
     spelt = (sample.join(wanted, "doc_id").select("text").mapInArrow(spell, "word long, buckets binary")
              .dropDuplicates(["word"]).toArrow())
     rows = sorted(zip(found["doc_id"].to_pylist(), found["words"].to_pylist()), key=lambda r: str(r[0]))
-    order = np.argsort(spelt["word"].to_numpy())
-    buckets = spelt["buckets"].to_pylist()
-    made = Sample.joined([np.frombuffer(w, np.int64) for _, w in rows], spelt["word"].to_numpy()[order],
-                         [np.frombuffer(buckets[k], np.int32) for k in order])
+    made = Sample.spelt([np.frombuffer(w, np.int64) for _, w in rows], *spelling(spelt))
     ys = [label_of[i] for i, _ in rows]
     weights = [share[v] ** 0.5 / ys.count(v) for v in (0, 1)]  # between their shares and equal ones
-    return fit_model(made, ys, [weights[v] for v in ys])
+    del found, spelt, rows
+    give_back()
+    model = fit_model(made, ys, [weights[v] for v in ys])
+    del made
+    give_back()
+    return model
+
+
+def spelling(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words as numbers in order, the buckets of all of them in one array, and how many each has,
+    of a table of ``word`` and ``buckets``."""
+    table = table.sort_by("word")
+    flat = [np.zeros(0, np.int32)]
+    for at in range(0, len(table), SPELT_WORDS):
+        flat.append(np.frombuffer(b"".join(table["buckets"].slice(at, SPELT_WORDS).to_pylist()), np.int32))
+    return table["word"].to_numpy(), np.concatenate(flat), pc.binary_length(table["buckets"]).to_numpy().astype(np.int64) // 4
 
 
 def score(docs: DataFrame, model: Model | None, keep=None, cut=0.3) -> DataFrame:
@@ -230,14 +282,7 @@ def score(docs: DataFrame, model: Model | None, keep=None, cut=0.3) -> DataFrame
 
     def make():
         def function(batch):
-            values, waiting, held = [], [], 0
-            for text in texts(batch.column(0)):
-                waiting.append(words_in(text))
-                held += len(waiting[-1])
-                if held > 500_000:  # words of a group of documents, whose n-grams are made at once
-                    values += model.scores(waiting) if model else [0.0] * len(waiting)
-                    waiting, held = [], 0
-            values += model.scores(waiting) if model else [0.0] * len(waiting)
+            values = model.scores(map(words_in, texts(batch.column(0)))) if model else [0.0] * len(batch)
             return [pa.array(values, pa.float64())]
 
         return function

@@ -320,16 +320,9 @@ class Model:
             yield ids
 
 
-#: Of a Python worker: file and pattern to their model; a worker serves many tasks.
-_LOADED: dict[tuple[str, str], Model] = {}
-
-
 def loaded(content: str, pattern: str) -> Model:
-    key = (content, pattern)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Model(content, pattern)
-    return _LOADED[key]
+    """The model of a file and a pattern, which a worker keeps."""
+    return kept(("ranks", content, pattern), lambda: Model(content, pattern))
 
 
 def shipped(spark, path: str):
