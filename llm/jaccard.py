@@ -211,7 +211,8 @@ EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Lon
 
 
 def block_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within blocks of sets: ``members`` has block, node, class, grams and host.
+    """Classes (a) that links within blocks of sets lead to a smaller class (b) of the block, the
+    smallest that is reached there: ``members`` has block, node, class, grams and host.
 
     Each set is looked for among the hosts that stand behind it; guests stand before all hosts.
     Links inside a class that is joined already are not looked for: they change no class.
@@ -223,48 +224,59 @@ def block_links(members: DataFrame, percent: int) -> DataFrame:
         guests, hosts = table["host"].to_pylist().count(False), table["host"].to_pylist().count(True)
         if not hosts:
             return pa.Table.from_arrays([pa.array([], pa.int64())] * 2, schema=arrow)
-        nodes, sets = table["node"].to_pylist(), table["grams"].to_pylist()
+        given, sets = table["class"].to_pylist(), table["grams"].to_pylist()
         first: dict[int, int] = {}
-        classes, edges = Classes(len(nodes)), []
-        for i, c in enumerate(table["class"].to_pylist()):
+        classes = Classes(len(sets))
+        for i, c in enumerate(given):
             classes.join(first.setdefault(c, i), i)
         of, tree = classes.of, Tree(sets[guests:])
         for i, grams in enumerate(sets):
             done = lambda ids: all(guests + j <= i or of(guests + j) == of(i) for j in ids)  # noqa: E731, B023
             for j in tree.linked(grams, percent, done):
-                j += guests
-                if of(i) != of(j):
-                    classes.join(i, j)
-                    edges.append((nodes[i], nodes[j]))
+                classes.join(i, guests + j)
+        least: dict[int, int] = {}
+        for c, i in first.items():
+            least[of(i)] = min(c, least.get(of(i), c))
+        edges = [(c, least[of(i)]) for c, i in first.items() if c != least[of(i)]]
         a, b = zip(*edges) if edges else ((), ())
         return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=arrow)
 
-    return members.select("block", "node", "class", "grams", "host").groupBy("block").applyInArrow(join, EDGES)
+    return members.select("block", "class", "grams", "host").groupBy("block").applyInArrow(join, EDGES)
+
+
+def ends(edges: DataFrame, **marks) -> DataFrame:
+    """Each edge from both its ends, in one pass: a, b and the ``marks``, (its value as it stands, and turned)."""
+    sides = [F.struct(F.col(x).alias("a"), F.col(y).alias("b"), *[F.lit(v[k]).alias(c) for c, v in marks.items()])
+             for k, (x, y) in enumerate((("a", "b"), ("b", "a")))]
+    return edges.select(F.explode(F.array(*sides)).alias("end")).select("end.*")
+
+
+def settled(edges: DataFrame) -> bool:
+    """Whether ``edges`` (a > b) are stars: no node has two smaller ones, or a smaller and a larger one."""
+    of = ends(edges, down=(1, 0)).groupBy("a").agg(F.sum("down").alias("down"), F.count("*").alias("n"))
+    return of.where("down > 0 AND n > 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and class (smallest node reachable) of every node of ``edges`` (a, b).
 
-    Alternating large and small stars: each round is two joins on nodes, and the number of
-    rounds grows with the logarithm of the longest chain. Each round is written out.
+    Alternating large and small stars, until only stars are left; the number of rounds grows with
+    the logarithm of the longest chain. Each half of a round is written out and reads what it needs
+    twice from there: a plan of more steps holds the earlier ones over and over, and the driver all of that.
     """
-    edges, last = edges.where("a <> b"), None
-    while True:
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    stars = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    stars = materialise(stars, "jaccard-stars")
+    while not settled(stars):
+        both = ends(stars)
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        star = down.join(least, "a")
-        stars = (star.select(F.col("b").alias("a"), F.col("m").alias("b")).union(star.select("a", F.col("m").alias("b")))
-                 .where("a <> b").distinct())
-        edges = materialise(stars, "jaccard-stars")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if state == last:
-            break
-        last = state
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("class")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("class")).union(roots)
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = materialise(large, "jaccard-stars")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        near = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))
+        stars = large.join(least, "a").select(F.explode(near).alias("end")).select("end.*").where("a <> b").distinct()
+        stars = materialise(stars, "jaccard-stars")
+    roots = stars.select(F.col("b").alias("node"), F.col("b").alias("class")).distinct()
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("class")).union(roots)
 
 
 def of_class(nodes: DataFrame, classes: DataFrame) -> DataFrame:
@@ -350,13 +362,16 @@ def join_classes(docs: DataFrame, n=5, percent=80) -> DataFrame:
     nodes = full.join(small(copy_of.select("doc_id", "set_key")), ["doc_id", "set_key"], "left_anti").select(
         F.col("doc_id").alias("node"), "n_shingles", "prefix", "sketch")
     classes = None
-    links = [copy_of.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))]
 
     def named():
         return nodes.withColumn("class", F.col("node")) if classes is None else of_class(nodes, classes)
 
+    def joined(links):
+        """``links`` of classes, and each node's to its class."""
+        return links if classes is None else links.union(classes.select("node", "class"))
+
     def meet(number):
-        """Links found in blocks by two min-hashes, and the classes that all links so far lead to."""
+        """The classes that all links so far lead to, with those found in blocks by two min-hashes."""
         at = 2 * number
         keyed = named().select("node", "class", F.xxhash64(F.get("sketch", F.lit(at)), F.get("sketch", F.lit(at + 1))).alias("key"))
         groups = keyed.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("n"))
@@ -365,11 +380,8 @@ def join_classes(docs: DataFrame, n=5, percent=80) -> DataFrame:
                                                         F.lit(True).alias("host"))
         met = materialise(met, "jaccard-blocks")
         sets = sets_of(docs, met.select("node"), n, frequent)
-        links.append(materialise(block_links(met.join(sets, "node"), percent), "jaccard-links"))
-        edges = links[1]
-        for more in links[2:]:
-            edges = edges.union(more)
-        return small(materialise(components(edges), "jaccard-classes"))
+        links = block_links(met.join(sets, "node"), percent)
+        return small(materialise(components(joined(links)), "jaccard-classes"))
 
     for number in range(ROUNDS):
         classes = meet(number)
@@ -380,12 +392,8 @@ def join_classes(docs: DataFrame, n=5, percent=80) -> DataFrame:
     pairs = materialise(near_classes(grams, percent), "jaccard-pairs")
     meet = materialise(meetings(pairs, named().select("node", "class").distinct()), "jaccard-blocks")
     sets = sets_of(docs, materialise(meet.select("node").distinct(), "jaccard-nodes"), n, frequent)
-    links.append(materialise(block_links(meet.join(sets, "node"), percent), "jaccard-links"))
-
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.union(more)
-    found = components(edges).select(F.col("node").alias("doc_id"), "class")
+    links = joined(block_links(meet.join(sets, "node"), percent))
+    found = components(links.union(copy_of.select("doc_id", "node"))).select(F.col("node").alias("doc_id"), "class")
     out = rows.select("doc_id", "n_shingles").join(materialise(found, "jaccard-classes"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("component_id"))
 

@@ -176,3 +176,30 @@ def test_min_hashes_of_equal_sets_are_equal_and_come_from_the_set(a, b):
     assert set(jaccard.min_hashes(a).tolist()) <= {int(g) * int(f) % 2**64 for g in a for f in jaccard.ORDERS}
     joined = np.minimum(jaccard.min_hashes(a), jaccard.min_hashes(b))
     assert (jaccard.min_hashes(np.union1d(a, b)) == joined).all()
+
+
+def test_plans_of_components_do_not_grow_by_the_step(spark, monkeypatch):
+    leaves, write = [], jaccard.materialise
+
+    def counted(df, purpose):
+        leaves.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return write(df, purpose)
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long")
+    assert {(r["node"], r["class"]) for r in jaccard.components(chain).collect()} == {(i, 0) for i in range(13)}
+    assert max(leaves) <= 2
+    leaves.clear()
+    star = spark.createDataFrame([(i, 0) for i in range(1, 9)] + [(0, 3), (4, 4)], "a long, b long")
+    assert {(r["node"], r["class"]) for r in jaccard.components(star).collect()} == {(i, 0) for i in range(9)}
+    assert len(leaves) == 1
+
+
+def test_blocks_name_the_smallest_class_that_links_lead_to(spark):
+    a, b = list(range(10)), list(range(50, 60))
+    sets = [(9, 9, a), (8, 8, a[:9]), (7, 3, a), (4, 3, b), (5, 5, b[1:]), (6, 6, [80, 81])]
+    for hosts in ((True,) * 6, (False, True, False, True, True, True)):
+        rows = [(block, node, c, grams, host) for (node, c, grams), host in zip(sets, hosts) for block in (1, 2)]
+        members = spark.createDataFrame(rows, "block long, node long, class long, grams array<long>, host boolean")
+        got = sorted((r["a"], r["b"]) for r in jaccard.block_links(members, 80).collect())
+        assert got == sorted([(9, 3), (8, 3), (5, 3)] * 2)
